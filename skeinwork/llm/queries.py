@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import html_extract, line_dedup, mixing, quality_rules, secret_scan, url_filter
+from skeinwork.llm import decontaminate, html_extract, line_dedup, minhash, mixing, quality_rules, secret_scan, url_filter
 from skeinwork.llm.common import table
 
 
@@ -24,11 +24,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedupe(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return minhash.classify(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document the mix takes."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test items that documents hold."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
@@ -39,5 +49,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_line_dedup, op5_mixing, op8_html_extract, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_line_dedup, op4_minhash, op5_mixing, op6_decontaminate, op8_html_extract, op9_quality_rules)}
 ORACLES = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
