@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import decontaminate, html_extract, line_dedup, minhash, mixing, quality_rules, secret_scan, url_filter
+from skeinwork.llm import decontaminate, html_extract, line_dedup, minhash, mixing, ngram_quality, quality_rules, secret_scan, url_filter
 from skeinwork.llm.common import table
 
 
@@ -39,6 +39,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under the model of trusted text, and whether it stays."""
+    return ngram_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
@@ -49,5 +54,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_line_dedup, op4_minhash, op5_mixing, op6_decontaminate, op8_html_extract, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_line_dedup, op4_minhash, op5_mixing, op6_decontaminate, op7_ngram_quality, op8_html_extract, op9_quality_rules)}
 ORACLES = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
