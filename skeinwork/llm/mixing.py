@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import word_count
+from skeinwork.llm.common import staged, word_count
 
 #: The weights that sources take in turn.
 WEIGHTS = [5, 2, 1]
 SEED = 17
+#: Sources up to this number are broadcast; a source is a name and a number.
+BROADCAST_SOURCES = 10_000
 
 
 def uniform(doc_id: Column, seed: int = SEED) -> Column:
@@ -58,9 +60,17 @@ def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def expand(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document's ids once for each copy taken."""
-    return mixed.where("copies > 0").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+def emit(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The mix itself: every row of ``docs`` once for each copy taken, with ``copy`` (from 1) added."""
+    sized = docs.withColumn("_size", word_count(F.col(text)))
+    per = staged(targets(sized.select("source", F.col("_size").alias("size")), **options), "targets")
+    per = per.select(F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"))
+    if per.count() <= BROADCAST_SOURCES:
+        per = F.broadcast(per)
+    joined = docs.join(per, F.col("source").eqNullSafe(F.col("_source")))
+    copies = F.floor("_rate") + (uniform(F.col("doc_id")) < F.col("_rate") - F.floor("_rate")).cast("long")
+    taken = joined.withColumn("_copies", copies).where("_copies > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("copy"))
 
 
 ORACLE_TAIL = r"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import decontaminate, html_extract, line_dedup, minhash, mixing, ngram_quality, quality_rules, secret_scan, url_filter
+from skeinwork.llm import decontaminate, html_extract, line_dedup, minhash, mixing, ngram_quality, quality_rules, secret_scan, substring_dedup, url_filter
 from skeinwork.llm.common import table
 
 
@@ -54,5 +54,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_line_dedup, op4_minhash, op5_mixing, op6_decontaminate, op7_ngram_quality, op8_html_extract, op9_quality_rules)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without the 50-byte strings that start in earlier documents."""
+    return substring_dedup.dedupe(table(spark, sf_dir, "documents")).drop("removed")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_line_dedup, op4_minhash, op5_mixing, op6_decontaminate, op7_ngram_quality, op8_html_extract, op9_quality_rules, op10_substring_dedup)}
 ORACLES = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
