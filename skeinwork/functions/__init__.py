@@ -1 +1 @@
-"""See the package README."""
+"""Scalar functions as Columns: identifiers, timestamps, content ids, backoff and binary codecs."""

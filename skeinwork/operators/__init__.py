@@ -1 +1 @@
-"""See the package README."""
+"""Operators on repositories, streams and records as DataFrame transformations."""

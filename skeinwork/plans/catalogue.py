@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from skeinwork.plans import crawl, identifiers, records, repositories, stream  # noqa: F401  they register themselves
+from skeinwork.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "flagship_op_summary"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "f8_tid_encode"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -1,0 +1,176 @@
+"""Queries over repositories: tree functions, snapshots, joins of operations with state."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skeinwork.functions import cids, identifiers
+from skeinwork.operators import merkle, trees
+from skeinwork.plans.registry import query
+from skeinwork.plans.views import V_OPS, V_SNAPS, both, sql_cid, table, v_ops, v_snap_new, v_snap_old
+
+_HEIGHT = "strlen(regexp_extract(sha256(k), '^0*')) * 2 + CASE WHEN substr(sha256(k), 1 + strlen(regexp_extract(sha256(k), '^0*')), 1) IN ('1', '2', '3') THEN 1 ELSE 0 END"
+_KEYS = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'com.example.' || source || '/' || doc_id WHEN 1 THEN 'a/b/c' WHEN 2 THEN '/x' WHEN 3 THEN 'noslash' WHEN 4 THEN 'coll/' || repeat('k', 1019 + doc_id % 12) ELSE 'coll/é' END AS key FROM documents"
+# a commit for each repository and day; ops of repeated paths, and a state that lacks every thirteenth record
+_COMMITS = "SELECT repo, us // 86400000000 AS commit, seq AS place, action, path, CASE WHEN seq % 17 = 0 THEN NULL WHEN seq % 19 = 0 THEN 'bafyother' ELSE cid END AS cid FROM ops"
+_STATE = "SELECT repo, path AS key, arg_max(cid, seq) AS cid FROM ops WHERE seq % 13 > 0 GROUP BY ALL HAVING arg_max(coalesce(cid, ''), seq) <> ''"
+
+
+def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cid = F.when(F.col("seq") % 17 == 0, None).when(F.col("seq") % 19 == 0, "bafyother").otherwise(F.col("cid"))
+    return v_ops(spark, sf_dir).select("repo", F.expr("us div 86400000000").alias("commit"), F.col("seq").alias("place"), "action", "path", cid.alias("cid"))
+
+
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = v_ops(spark, sf_dir).where("seq % 13 > 0").groupBy("repo", F.col("path").alias("key")).agg(F.max_by(F.struct("cid"), "seq").alias("c"))
+    return last.select("repo", "key", "c.cid").where("cid IS NOT NULL")
+
+
+@query(f"SELECT doc_id, CAST({_HEIGHT} AS INTEGER) AS height FROM (SELECT doc_id, 'com.example.' || source || '/' || doc_id AS k FROM documents)")
+def b01_mst_height(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.expr("'com.example.' || source || '/' || doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", cids.key_height(key).alias("height"))
+
+
+@query(f"SELECT CAST({_HEIGHT} AS INTEGER) AS height, count(*) AS n FROM (SELECT 'com.example.' || source || '/' || doc_id AS k FROM documents) GROUP BY ALL")
+def b01_height_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b01_mst_height(spark, sf_dir).groupBy("height").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {V_SNAPS} SELECT repo, key, cid FROM new")
+def b02_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.walk(v_snap_new(spark, sf_dir))
+
+
+@query(f"WITH {V_SNAPS} SELECT n.repo, n.key, o.cid FROM new n LEFT JOIN old o USING (repo, key)")
+def b03_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.get(v_snap_old(spark, sf_dir), v_snap_new(spark, sf_dir))
+
+
+_OPS_ON_SNAP = "x AS (SELECT repo, key, row_number() OVER (PARTITION BY repo ORDER BY key) AS seq, CASE WHEN o.cid IS NULL THEN 'create' WHEN n.cid IS NULL THEN 'delete' ELSE 'update' END AS action, n.cid AS cid, o.cid AS prev FROM old o FULL JOIN new n USING (repo, key) WHERE o.cid IS DISTINCT FROM n.cid)"
+
+
+def _ops_on_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = trees.diff(v_snap_old(spark, sf_dir), v_snap_new(spark, sf_dir))
+    return changed.select("repo", "key", F.lit(1).alias("seq"), "action", F.col("new_cid").alias("cid"), F.col("old_cid").alias("prev"))
+
+
+@query(f"WITH {V_SNAPS} SELECT repo, key, cid FROM new")
+def b04_apply_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old snapshot and the ops between the two give the new one."""
+    return trees.apply_ops(v_snap_old(spark, sf_dir), _ops_on_snap(spark, sf_dir))
+
+
+@query(f"WITH {V_SNAPS} SELECT repo, key, cid FROM old WHERE (repo, key) NOT IN (SELECT (repo, key) FROM new)")
+def b05_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.remove(v_snap_old(spark, sf_dir), v_snap_new(spark, sf_dir))
+
+
+@query()
+def b06_root_cid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root of every repository's tree, before and after."""
+    before = merkle.roots(v_snap_old(spark, sf_dir)).withColumnRenamed("root", "before")
+    return before.join(merkle.roots(v_snap_new(spark, sf_dir)).withColumnRenamed("root", "after"), "repo", "full_outer")
+
+
+@query()
+def b07_node_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree nodes of every repository."""
+    return merkle.node_blocks(v_snap_new(spark, sf_dir)).select("repo", "cid", F.octet_length("data").alias("n_bytes"))
+
+
+@query(f"WITH {V_SNAPS} SELECT repo, key, cid FROM new")
+def b08_load_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read back from the node blocks."""
+    return merkle.entries(merkle.node_blocks(v_snap_new(spark, sf_dir)))
+
+
+@query(f"WITH {V_SNAPS} SELECT repo, key, CASE WHEN o.cid IS NULL THEN 'create' WHEN n.cid IS NULL THEN 'delete' ELSE 'update' END AS action, o.cid AS old_cid, n.cid AS new_cid FROM old o FULL JOIN new n USING (repo, key) WHERE o.cid IS DISTINCT FROM n.cid")
+def b11_tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.diff(v_snap_old(spark, sf_dir), v_snap_new(spark, sf_dir))
+
+
+@query(f"WITH {V_SNAPS}, {_OPS_ON_SNAP} SELECT repo, action, count(*) AS n FROM x GROUP BY ALL")
+def b11_diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b11_tree_diff(spark, sf_dir).groupBy("repo", "action").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, regexp_full_match(key, '{identifiers.MST_KEY}') AND strlen(key) <= 1024 AS valid FROM ({_KEYS})")
+def b12_key_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return both(spark, sf_dir, _KEYS).select("doc_id", identifiers.tree_key_valid(F.col("key")).alias("valid"))
+
+
+@query(f"SELECT doc_id, CASE WHEN contains(key, '/') THEN split_part(key, '/', 1) ELSE key END AS collection, CASE WHEN contains(key, '/') THEN substr(key, instr(key, '/') + 1) ELSE '' END AS rkey FROM ({_KEYS})")
+def b13_split_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return both(spark, sf_dir, _KEYS).select("doc_id", identifiers.split_key(F.col("key")).alias("p")).select("doc_id", "p.*")
+
+
+@query(f"WITH {V_SNAPS} SELECT o.repo, o.key, o.cid, (o.cid = n.cid) IS TRUE AS found FROM old o LEFT JOIN new n USING (repo, key)")
+def b14_read_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = v_snap_new(spark, sf_dir).select("cid", F.col("key").alias("data")).dropDuplicates(["cid"])
+    return trees.read_records(v_snap_old(spark, sf_dir), blocks).select("repo", "key", "cid", F.col("error").isNull().alias("found"))
+
+
+@query(f"WITH {V_OPS} SELECT repo, path AS key, arg_max(struct_pack(cid := cid), seq).cid AS cid FROM ops GROUP BY ALL HAVING arg_max(struct_pack(cid := cid), seq).cid IS NOT NULL")
+def b15_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All operations applied to empty repositories."""
+    ops = v_ops(spark, sf_dir).withColumnRenamed("path", "key")
+    return trees.apply_ops(ops.select("repo", "key", "cid").limit(0), ops)
+
+
+@query(f"WITH {V_SNAPS} SELECT repo, key, cid FROM old")
+def b18_invert_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ops between two snapshots undone on the new one."""
+    return trees.invert(v_snap_new(spark, sf_dir), _ops_on_snap(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, {sql_cid('text')} AS computed FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 4")
+def a02_block_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks whose claimed content id is wrong."""
+    text = F.col("text")
+    claimed = F.when(F.col("doc_id") % 10 == 4, cids.cid_of(F.concat(text, F.lit("x")))).otherwise(cids.cid_of(text))
+    blocks = table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("cid", claimed)
+    return trees.corrupt_blocks(blocks, cids.cid_of(text)).select("doc_id", cids.cid_of(text).alias("computed"))
+
+
+@query(f"WITH {V_OPS} SELECT repo, max(rev) AS rev, arg_max(cid, rev) AS cid FROM ops WHERE cid IS NOT NULL GROUP BY ALL")
+def a18_latest_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.latest_commit(v_ops(spark, sf_dir).where("cid IS NOT NULL"))
+
+
+@query(f"WITH {V_OPS} SELECT DISTINCT cid FROM ops WHERE cid IS NOT NULL")
+def a28_block_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = v_ops(spark, sf_dir).where("cid IS NOT NULL").select("cid", F.col("props").alias("data"))
+    return trees.put_blocks(ops.where("seq % 2 = 0"), ops).select("cid")
+
+
+@query(f"WITH {V_OPS} SELECT seq, o.repo, o.cid, CASE WHEN o.seq % 5 > 0 THEN o.props END AS data FROM ops o")
+def c01_ops_blocks_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = v_ops(spark, sf_dir)
+    blocks = ops.where("seq % 5 > 0").select("repo", F.coalesce("cid", F.concat(F.lit("none"), "seq")).alias("cid"), F.col("props").alias("data"))
+    keyed = ops.withColumn("_cid", F.coalesce("cid", F.concat(F.lit("none"), "seq")))
+    return keyed.join(blocks.select(F.col("cid").alias("_cid"), "data"), "_cid", "left").select("seq", "repo", "cid", "data")
+
+
+@query(f"WITH {V_OPS} SELECT repo, CAST(count(*) FILTER (cid IS NOT NULL AND seq % 5 = 0) AS BIGINT) AS missing FROM ops GROUP BY ALL")
+def c05_missing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = c01_ops_blocks_join(spark, sf_dir)
+    return joined.groupBy("repo").agg(F.count_if(F.col("data").isNull() & F.col("cid").isNotNull()).alias("missing"))
+
+
+@query(f"""WITH {V_OPS}, c AS ({_COMMITS}), s AS ({_STATE})
+, r AS (SELECT c.*, CASE WHEN action = 'delete' THEN CASE WHEN s.cid IS NOT NULL THEN 'delete_path_present' WHEN c.cid IS NOT NULL THEN 'delete_unexpected_cid' END WHEN c.cid IS NULL THEN action || '_missing_cid' WHEN c.cid IS DISTINCT FROM s.cid THEN action || '_cid_mismatch' END AS reason FROM c LEFT JOIN s ON c.repo = s.repo AND c.path = s.key)
+SELECT repo, commit, arg_min(path, place) AS path, arg_min(reason, place) AS reason FROM r WHERE reason IS NOT NULL GROUP BY ALL""")
+def c04_op_cid_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.op_cid_mismatch(_commits(spark, sf_dir), _state(spark, sf_dir))
+
+
+@query(f"WITH {V_SNAPS} SELECT DISTINCT n.repo, n.cid FROM new n WHERE (n.repo, n.cid) NOT IN (SELECT (repo, cid) FROM old)")
+def c06_incomplete_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.missing_blocks(v_snap_new(spark, sf_dir), v_snap_old(spark, sf_dir))
+
+
+@query(f"WITH {V_OPS}, c AS ({_COMMITS}), n AS (SELECT repo, commit, place, path, row_number() OVER (PARTITION BY repo, commit, path ORDER BY place) AS nth FROM c) SELECT repo, commit, arg_min(path, place) AS path FROM n WHERE nth = 2 GROUP BY ALL")
+def d03_duplicate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.duplicate_paths(_commits(spark, sf_dir))

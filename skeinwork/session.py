@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +24,12 @@ def local_session(cpus: int | str = 8, app: str = "skeinwork", **conf: str) -> S
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir`` where that is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='skeinwork-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/skeinwork/{label}-{uuid.uuid4().hex}"

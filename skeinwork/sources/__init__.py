@@ -1 +1 @@
-"""See the package README."""
+"""Readers and writers: block archives, event frames and JSON feeds."""

@@ -1 +1 @@
-"""See the package README."""
+"""Stateful operators on Structured Streaming, and their batch twins."""
