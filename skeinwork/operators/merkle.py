@@ -2,7 +2,8 @@
 
 The tree depends only on the set of (key, cid): a key stands in the layer that its hash gives, a node holds the
 keys of its layer between two keys of higher layers, and every run of keys without a key in a layer still has a node
-there that holds only its child. So each layer is one grouping, and a node is small however large its repository.
+there that holds only its child. So each layer is one grouping, written to the shared folder as the next one reads it,
+and a node is small however large its repository.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions.cbor import Link, decode, encode
 from skeinwork.functions.cids import key_height
+from skeinwork.session import stored
 
 
 def cid_of(data: bytes, codec: int = 0x71) -> Link:
@@ -73,8 +75,8 @@ def layers(records: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     before = W.partitionBy("repo").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
     # runs[L]: how many keys of layers above L - 1 come before; it numbers the runs of layer L - 1
     runs = F.array(*(F.coalesce(F.sum((F.col("height") >= level).cast("long")).over(before), F.lit(0)) for level in range(most + 2)))
-    placed = tall.withColumn("runs", runs)
-    tops = tall.groupBy("repo").agg(F.max("height").alias("top"))
+    placed = stored(tall.withColumn("runs", runs), "keys")
+    tops = placed.groupBy("repo").agg(F.max("height").alias("top"))
     out: list[DataFrame] = []
     for level in range(most + 1):
         entry = F.struct(F.col("runs")[level].alias("sub"), "key", "cid")
@@ -83,7 +85,7 @@ def layers(records: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             lower = out[-1].join(tops.where(F.col("top") >= level), "repo")
             own = own.unionByName(lower.select("repo", F.col("runs")[level + 1].alias("run"), "runs", F.lit(None).cast("struct<sub:bigint,key:string,cid:string>").alias("entry"), F.struct("run", "cid").alias("child")))
         nodes = own.groupBy("repo", "run").agg(F.min("runs").alias("runs"), F.collect_list("entry").alias("entries"), F.collect_list("child").alias("children"))
-        out.append(nodes.mapInArrow(_encoded, "repo string, run bigint, runs array<bigint>, cid string, data binary"))
+        out.append(stored(nodes.mapInArrow(_encoded, "repo string, run bigint, runs array<bigint>, cid string, data binary"), f"layer{level}"))
     return out, tops
 
 

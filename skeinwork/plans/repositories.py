@@ -106,7 +106,7 @@ def b13_split_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both(spark, sf_dir, _KEYS).select("doc_id", identifiers.split_key(F.col("key")).alias("p")).select("doc_id", "p.*")
 
 
-@query(f"WITH {V_SNAPS} SELECT o.repo, o.key, o.cid, (o.cid = n.cid) IS TRUE AS found FROM old o LEFT JOIN new n USING (repo, key)")
+@query(f"WITH {V_SNAPS} SELECT repo, key, cid, cid IN (SELECT cid FROM new) AS found FROM old")
 def b14_read_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = v_snap_new(spark, sf_dir).select("cid", F.col("key").alias("data")).dropDuplicates(["cid"])
     return trees.read_records(v_snap_old(spark, sf_dir), blocks).select("repo", "key", "cid", F.col("error").isNull().alias("found"))

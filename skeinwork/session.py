@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app: str = "skeinwork", **conf: str) -> SparkSession:
@@ -33,3 +33,10 @@ def work_dir(spark: SparkSession, label: str) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='skeinwork-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/skeinwork/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back, so that later steps don't compute it again."""
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
