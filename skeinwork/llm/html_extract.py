@@ -37,6 +37,8 @@ CLOSES_P = set("address article aside blockquote details div dl fieldset figcapt
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", "select", "div", "section", "article", "aside", "nav", "form", "blockquote", "body"}
 
+SECTIONS = set("article aside details dialog footer form header main nav section table".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -135,6 +137,28 @@ def tree_of(page: str) -> list[Node]:
     if at < len(page):
         run.append((html.unescape(page[at:]), linked > 0))
     flush()
+    return _described(nodes)
+
+
+def _described(nodes: list[Node]) -> list[Node]:
+    """The nodes with what stands around them: the names and kinds of all elements above, and how much of the text
+    below an element is links."""
+    size, links = [0] * len(nodes), [0] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        x = nodes[i]
+        if x.text is not None:
+            size[i], links[i] = len(x.text), min(x.linked, len(x.text))
+        size[x.parent] += size[i]
+        links[x.parent] += links[i]
+    above: list[tuple[str, ...]] = [()] * len(nodes)
+    for i, x in enumerate(nodes):
+        inherited = above[x.parent] if i else ()
+        own = tuple(f for f in x.features if f.startswith("name=") or f[4:] in SECTIONS and f.startswith("tag="))
+        above[i] = inherited if not own else tuple(dict.fromkeys(inherited + own))
+        if x.text is None:
+            x.features.append(f"{x.features[0]} links={min(3, links[i] * 4 // max(1, size[i]))}")
+        else:
+            x.features += [f"in {f}" for f in above[i]]
     return nodes
 
 
@@ -152,7 +176,7 @@ OTHER_NAMES = {
     "form": ["form", "search", "login", "contact", "newsletter", "subscribe", "signup", "feedback"],
     "section": ["comments", "comment", "comment-list", "reply", "replies", "respond", "discussion", "disqus", "reviews", "responses", "thread", "related", "notice"],
 }
-TRAIN_PAGES = 600
+TRAIN_PAGES = 1500
 
 
 def labelled_pages(count: int = TRAIN_PAGES, seed: int = 5) -> Iterator[tuple[str, list[bool]]]:
