@@ -1,0 +1,35 @@
+"""The verifier's fold: outcomes, and that the stream and the batch agree."""
+
+from skeinwork.operators import crawl
+from skeinwork.plans import stream
+from skeinwork.streaming import verifier
+from skeinwork.streaming.verifier import Policy, State, step
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_gates_come_in_order():
+    rev, later = "3jqfcqzm3fo2j", "3jqfcqzm4fo2j"
+    assert step(State(), "bad", "d", None)[1] == "InvalidRev"
+    assert step(State(), rev, "d", None, Policy(now_us=0))[1] == "FutureRev"
+    state, said = step(State(), rev, "d1", "anything")
+    assert said == "accepted" and state == State(rev, "d1")
+    assert step(state, rev, "d2", "d1") == (state, "replayed")
+    assert step(state, later, "d2", "d1") == (State(later, "d2"), "accepted")
+    assert step(state, later, "d2", "x") == (State(later, "d2"), "ChainBreak")
+    assert step(state, later, "d2", "x", Policy(advance_on_break=False)) == (state, "ChainBreak")
+
+
+def test_stream_and_batch_agree_and_nothing_is_lost(spark):
+    commits = stream._chain(spark, SF)
+    batch = {(r["seq"], r["outcome"]) for r in verifier.verify_batch(commits).collect()}
+    streamed = verifier.verify_stream(commits).collect()
+    assert len(streamed) == commits.count()
+    assert {(r["seq"], r["outcome"]) for r in streamed} == batch
+
+
+def test_token_bucket(spark):
+    minute = 60_000_000
+    rows = [(i, "a", i) for i in range(7)] + [(7, "a", minute // 5 + 7), (8, "b", 0)]
+    got = {r["seq"]: r["allowed"] for r in crawl.allowed(spark.createDataFrame(rows, "seq long, repo string, us long")).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: True, 4: True, 5: False, 6: False, 7: True, 8: True}
