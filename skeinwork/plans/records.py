@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.functions import cbor, cids
+from skeinwork.functions import cbor, cids, curves
 from skeinwork.operators import labels, lexicon
 from skeinwork.plans.registry import query
 from skeinwork.plans.views import V_FEED, V_LABELS, both, sql_cid, table, v_feed, v_labels
@@ -268,3 +268,32 @@ def m06_typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def schema_texts() -> list[str]:
     """The schemas as JSON documents; for readers of schema folders."""
     return [json.dumps(s) for s in SCHEMAS]
+
+
+# --- signatures ------------------------------------------------------------------------------------------
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    """(place, key, content, signature) of names signed by keys of both curves; some high S, some altered, some by another key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, said, signatures = [], [], []
+            for n, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                curve, content = curves.CURVES[n % 2], name.encode()
+                made = curves.sign(curve, n + 2, content)
+                if n % 5 == 1:
+                    made = made[:32] + (curve.n - int.from_bytes(made[32:], "big")).to_bytes(32, "big")
+                keys.append(curves.did_key(curve, n + 3 if n % 5 == 2 else n + 2))
+                said.append(content + b"!" if n % 5 == 3 else content)
+                signatures.append(made)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(said, pa.binary()), pa.array(signatures, pa.binary())], ["place", "key", "content", "signature"])
+
+    return rows.mapInArrow(run, "place bigint, key string, content binary, signature binary")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS place, n_nationkey % 5 IN (0, 4) AS valid FROM nation")
+def j01_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which signatures hold: not those with a high S, other content or another key."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("place"), "n_name")
+    return curves.verified(_signed(rows), ["place"])
