@@ -130,3 +130,36 @@ def field_mismatch(version: Column, repo: Column, did: Column, rev: Column, inne
 
 def outcome_counts(events: DataFrame, outcome: str = "outcome") -> DataFrame:
     return events.groupBy(outcome).agg(F.count("*").alias("n"))
+
+
+# --- syncs and resyncs -----------------------------------------------------------------------------------
+
+
+def sync_outcomes(syncs: DataFrame, state: DataFrame) -> DataFrame:
+    """(seq, repo, outcome) of sync events (seq, repo, rev, data): replayed, unchanged, or in need of a resync.
+
+    ``state`` has (repo, rev, data); a repository without state is fetched.
+    """
+    held = state.select("repo", F.col("rev").alias("held_rev"), F.col("data").alias("held_data"))
+    said = F.when(F.col("rev") <= F.col("held_rev"), "replayed").when(F.col("data") == F.col("held_data"), "unchanged").otherwise("resync")
+    return syncs.join(held, "repo", "left").select("seq", "repo", said.alias("outcome"))
+
+
+def resync_ops(wanted: DataFrame, records: DataFrame) -> DataFrame:
+    """(seq, repo, action, path, cid, n_ops): all records of each wanted repository (seq, repo); an empty one gives a
+    marker row without a path, as it still replaces what was known."""
+    joined = wanted.select("seq", "repo").join(records.select("repo", F.col("key").alias("path"), "cid"), "repo", "left")
+    count = wanted.select("repo").distinct().join(records, "repo", "left").groupBy("repo").agg(F.count("cid").alias("n_ops"))
+    return joined.join(count, "repo").select("seq", "repo", F.lit("resync").alias("action"), "path", "cid", "n_ops")
+
+
+def dropped(events: DataFrame, most: int, key: str = "repo", order: str = "seq") -> DataFrame:
+    """(key, n_dropped, last): how many events a full queue of each key drops, and the newest of them."""
+    nth = F.row_number().over(W.partitionBy(key).orderBy(F.col(order).desc()))
+    gone = events.withColumn("_nth", nth).where(F.col("_nth") > most)
+    return gone.groupBy(key).agg(F.count("*").alias("n_dropped"), F.max(order).alias("last"))
+
+
+def in_flight(events: DataFrame) -> DataFrame:
+    """One row: the least unfinished number of rows (seq, done), 0 where all are finished."""
+    return events.agg(F.coalesce(F.min(F.when(~F.col("done"), F.col("seq"))), F.lit(0)).alias("low"))

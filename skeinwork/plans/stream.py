@@ -155,3 +155,36 @@ def i02_verify_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k06_stateful_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same outcomes from a stream of the same commits."""
     return verifier.verify_stream(_chain(spark, sf_dir))
+
+
+_SYNCS = "syncs AS (SELECT seq + 1000000 AS seq, repo, CASE seq % 3 WHEN 0 THEN '2222222222222' ELSE 'jzzzzzzzzzzzz' END AS rev, CASE seq % 3 WHEN 1 THEN data ELSE 'bafynew' END AS data FROM (SELECT repo, max(seq) AS seq, arg_max(data, seq) AS data FROM chain GROUP BY repo))"
+
+
+def _syncs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sync for each repository: a third replayed, a third with the data that is known."""
+    last = _chain(spark, sf_dir).groupBy("repo").agg(F.max("seq").alias("n"), F.max_by("data", "seq").alias("held"))
+    rev = F.when(F.col("n") % 3 == 0, "2222222222222").otherwise("jzzzzzzzzzzzz")
+    return last.select((F.col("n") + 1_000_000).alias("seq"), "repo", rev.alias("rev"), F.when(F.col("n") % 3 == 1, F.col("held")).otherwise("bafynew").alias("data"))
+
+
+@query(f"WITH {V_OPS}, {_CHAIN}, {_SYNCS} SELECT seq, repo, CASE (seq - 1000000) % 3 WHEN 0 THEN 'replayed' WHEN 1 THEN 'unchanged' ELSE 'resync' END AS outcome FROM syncs")
+def i11_sync_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.sync_outcomes(_syncs(spark, sf_dir), d07_chain_state(spark, sf_dir))
+
+
+@query(f"""WITH {V_OPS}, {_CHAIN}, {_SYNCS}, r AS (SELECT DISTINCT repo, path, max(seq) OVER (PARTITION BY repo, path) AS m FROM ops WHERE seq % 2 = 0 AND cid IS NOT NULL AND strlen(repo) % 2 = 0)
+SELECT s.seq, s.repo, 'resync' AS action, r.path, CASE WHEN r.path IS NOT NULL THEN 'c' || r.m END AS cid, count(r.path) OVER (PARTITION BY s.repo) AS n_ops FROM syncs s LEFT JOIN r ON s.repo = r.repo WHERE (s.seq - 1000000) % 3 = 2""")
+def i12_resync_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the repositories that need a resync hold now; those without records give a marker."""
+    records = v_ops(spark, sf_dir).where("seq % 2 = 0 AND cid IS NOT NULL AND octet_length(repo) % 2 = 0").groupBy("repo", F.col("path").alias("key")).agg(F.concat(F.lit("c"), F.max("seq")).alias("cid"))
+    return streams.resync_ops(i11_sync_outcomes(spark, sf_dir).where("outcome = 'resync'"), records)
+
+
+@query(f"WITH {V_OPS}, n AS (SELECT repo, seq, row_number() OVER (PARTITION BY repo ORDER BY seq DESC) AS n FROM ops) SELECT repo, count(*) AS n_dropped, max(seq) AS last FROM n WHERE n > 64 GROUP BY repo")
+def d08_drop_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.dropped(v_ops(spark, sf_dir), 64)
+
+
+@query(f"WITH {V_OPS} SELECT coalesce(min(seq) FILTER (seq % 1001 = 1000), 0) AS low FROM ops")
+def d06_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.in_flight(v_ops(spark, sf_dir).withColumn("done", F.col("seq") % 1001 != 1000))
