@@ -13,9 +13,9 @@ more than one document shares go on, so that each round works on what the last o
    in the same way, and what is open still is refined down to single strings.
 
 Identifiers of anchors and runs are 64-bit hashes, and a run is known by its anchor and its content together.
-Which anchors or strings are shared travels as a bit for each hash prefix: ``FILTER_BITS`` bits, whatever the data's
-size. A bit set by another hash only lets work through that the exact comparison settles, so the result never
-depends on the filters.
+Which anchors or strings are shared travels as a bit for each hash prefix: half a bit for each byte of text, and at
+most 2^``FILTER_BITS`` bits, whatever the data's size. A bit set by another hash only lets work through that the exact
+comparison settles, so the result never depends on the filters.
 
 Null and empty texts have no strings. Null ids have no order: their documents are left whole and lend nothing. Rows
 with one id count as one document: what goes from one goes from all, as far as they reach. An empty table gives an
@@ -40,7 +40,7 @@ from skeinwork.llm.common import staged
 
 LENGTH = 50
 GRAM = 16
-FILTER_BITS = 28
+LEAST_BITS, FILTER_BITS = 16, 28
 #: Hashes that a task holds before it sends them on, and bytes of text for each part they are sent to.
 HELD = 3_000_000
 PART_BYTES = 32 << 20
@@ -114,8 +114,13 @@ class Runs:
         return self
 
 
+def bits_for(n_bytes: int) -> int:
+    """The logarithm of a filter's size for so much text."""
+    return max(LEAST_BITS, min(FILTER_BITS, math.ceil(math.log2(max(1, n_bytes / 2)))))
+
+
 def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    at = (hashes >> np.uint64(62 - len(bits).bit_length())).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -133,7 +138,7 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def shared_filter(docs: DataFrame, hashes: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], parts_log: int) -> np.ndarray:
+def shared_filter(docs: DataFrame, hashes: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], parts_log: int, bits_log: int) -> np.ndarray:
     """The filter of the hashes that more than one document has.
 
     ``hashes`` gives (hash, row) of a batch. Documents lie whole in a batch, so a hash is shared where two rows of a
@@ -167,17 +172,17 @@ def shared_filter(docs: DataFrame, hashes: Callable[[pa.RecordBatch], tuple[np.n
         if held:
             yield from flush()
 
-    width = 1 << (FILTER_BITS - parts_log)
+    width = 1 << (bits_log - parts_log)
 
     def merge(group: pa.Table) -> pa.Table:
         values = np.sort(np.concatenate([_unpack(x) for x in group.column("data").to_pylist()]))
         key = values >> np.uint64(1)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         shared = (np.diff(np.append(first, len(key))) > 1) | (np.bitwise_or.reduceat(values, first) & np.uint64(1) == 1)
-        return _bits(group.column("part")[0].as_py(), (key[first][shared] >> np.uint64(_KEPT - FILTER_BITS)).astype(np.int64) % width, width)
+        return _bits(group.column("part")[0].as_py(), (key[first][shared] >> np.uint64(_KEPT - bits_log)).astype(np.int64) % width, width)
 
     sent = docs.mapInArrow(send, "part int, data binary")
-    return _assembled(sent.groupBy("part").applyInArrow(merge, "part int, bits binary"), width)
+    return _assembled(sent.groupBy("part").applyInArrow(merge, "part int, bits binary"), width, bits_log)
 
 
 def _bits(part: int, places: np.ndarray, width: int) -> pa.Table:
@@ -186,25 +191,25 @@ def _bits(part: int, places: np.ndarray, width: int) -> pa.Table:
     return pa.table({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(mask, bitorder="little").tobytes()], pa.binary())})
 
 
-def _assembled(chunks: DataFrame, width: int) -> np.ndarray:
-    """The whole filter from its parts: FILTER_BITS bits, however large the data."""
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+def _assembled(chunks: DataFrame, width: int, bits_log: int) -> np.ndarray:
+    """The whole filter from its parts: at most 2^FILTER_BITS bits, however large the data."""
+    out = np.zeros((1 << bits_log) // 8, np.uint8)
     for row in chunks.toLocalIterator(prefetchPartitions=True):
         at = row["part"] * (width // 8)
         out[at : at + width // 8] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
-def filter_of(hashes: DataFrame, parts_log: int = 7) -> np.ndarray:
+def filter_of(hashes: DataFrame, bits_log: int, parts_log: int = 7) -> np.ndarray:
     """The filter of the column ``h``."""
-    width = 1 << (FILTER_BITS - parts_log)
-    at = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    chunks = hashes.select(F.shiftright(at, FILTER_BITS - parts_log).cast("int").alias("part"), (at % width).cast("int").alias("place")).distinct()
+    width = 1 << (bits_log - parts_log)
+    at = F.shiftrightunsigned("h", 64 - bits_log)
+    chunks = hashes.select(F.shiftright(at, bits_log - parts_log).cast("int").alias("part"), (at % width).cast("int").alias("place")).distinct()
 
     def merge(group: pa.Table) -> pa.Table:
         return _bits(group.column("part")[0].as_py(), group.column("place").to_numpy(), width)
 
-    return _assembled(chunks.groupBy("part").applyInArrow(merge, "part int, bits binary"), width)
+    return _assembled(chunks.groupBy("part").applyInArrow(merge, "part int, bits binary"), width, bits_log)
 
 
 # --- refinement ----------------------------------------------------------------------------------------
@@ -239,13 +244,14 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     sc = docs.sparkSession.sparkContext
     own = docs.where("doc_id IS NOT NULL").select("doc_id", F.col(text).alias("_text"))
     size = own.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    parts_log = max(3, min(20, math.ceil(math.log2(max(1, size / PART_BYTES)))))
+    bits_log = bits_for(size)
+    parts_log = max(3, min(bits_log - 4, math.ceil(math.log2(max(1, size / PART_BYTES)))))
 
     def anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         r = Runs(*buffer_of(batch.column(1)))
         return r.h, r.row
 
-    shared: Broadcast = sc.broadcast(shared_filter(own, anchors, parts_log))
+    shared: Broadcast = sc.broadcast(shared_filter(own, anchors, parts_log, bits_log))
 
     def whole(data: np.ndarray, offsets: np.ndarray) -> Runs:
         r = Runs(data, offsets)
@@ -253,7 +259,8 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
     covered, differ = _settled(_files(own, whole), "runs")
     out = [staged(covered, "covered")]
-    open_ = sc.broadcast(filter_of(differ))
+    shared.unpersist()
+    open_ = sc.broadcast(filter_of(differ, bits_log))
 
     def strings(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         r = Runs(*buffer_of(batch.column(1)))
@@ -261,7 +268,7 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
         start, run = r.strings()
         return span_hashes(r.data, start, start + LENGTH, 3), r.row[run]
 
-    twice = sc.broadcast(shared_filter(own, strings, parts_log))
+    twice = sc.broadcast(shared_filter(own, strings, parts_log, bits_log))
 
     def picker(left: Broadcast, single: bool) -> Callable[[np.ndarray, np.ndarray], Runs]:
         def pick(data: np.ndarray, offsets: np.ndarray) -> Runs:
@@ -274,9 +281,12 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
     covered, differ = _settled(_files(own, picker(open_, False)), "stretches")
     out.append(staged(covered, "covered"))
-    still = sc.broadcast(filter_of(differ))
+    still = sc.broadcast(filter_of(differ, bits_log))
+    open_.unpersist()
     covered, _ = _settled(_files(own, picker(still, True)), "strings")
     out.append(staged(covered, "covered"))
+    still.unpersist()
+    twice.unpersist()
     return out[0].unionAll(out[1]).unionAll(out[2])
 
 
