@@ -8,9 +8,10 @@ more than one document shares go on, so that each round works on what the last o
    neighbouring strings shares an anchor and equal strings have equal anchors. Identifiers of q-grams come from pairs
    of identifiers of shorter grams (1, 2, 4, 8, 16 bytes). Anchors in one document only are dropped.
 2. The buckets of the other anchors are refined by their whole run's content. A run that a smaller document has goes
-   as a whole; a bucket whose runs are all equal is settled; the rest stay open.
-3. In open buckets the strings that only one document has are dropped, the remaining stretches of each run are refined
-   in the same way, and what is open still is refined down to single strings.
+   as a whole; a bucket whose runs are all equal is settled; in the others the first document's run of each content
+   stays open, as all that its strings can still meet are other contents' first runs.
+3. In open runs the strings that only one document has are dropped, the remaining stretches of each run are refined
+   in the same way, and the stretches open still are refined down to single strings.
 
 Identifiers of anchors and runs are 64-bit hashes, and a run is known by its anchor and its content together.
 Which anchors or strings are shared travels as a bit for each hash prefix: half a bit for each byte of text, and at
@@ -94,6 +95,10 @@ class Runs:
         """Each run's identifier: all its bytes and where its anchor stands."""
         return finish(span_hashes(self.data, self.a, self.b + self.length) + (self.at - self.a).astype(np.uint64))
 
+    def keys(self, ids: np.ndarray) -> np.ndarray:
+        """Each run's anchor, content and document in one hash; ``ids`` has the rows' documents."""
+        return finish(mix(mix(self.h, self.content()), ids[self.row]))
+
     def strings(self) -> tuple[np.ndarray, np.ndarray]:
         """Every string's start and its run."""
         count = self.b - self.a + 1
@@ -215,34 +220,42 @@ def filter_of(hashes: DataFrame, bits_log: int, parts_log: int = 7) -> np.ndarra
 # --- refinement ----------------------------------------------------------------------------------------
 
 
-def _files(docs: DataFrame, pick: Callable[[np.ndarray, np.ndarray], Runs]) -> DataFrame:
-    """(h, u, doc_id, a, stop) of the runs that ``pick`` takes from each batch; offsets within the document."""
+Pick = Callable[[np.ndarray, np.ndarray, np.ndarray], Runs]
+
+
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column(2)).view(np.uint64)
+
+
+def _files(docs: DataFrame, pick: Pick) -> DataFrame:
+    """(h, u, k, doc_id, a, stop) of the runs that ``pick`` takes from each batch; offsets within the document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
             data, offsets = buffer_of(batch.column(1))
-            r = pick(data, offsets)
+            ids = _ids(batch)
+            r = pick(data, offsets, ids)
             base = offsets[r.row]
-            columns = [pa.array(r.h.view(np.int64)), pa.array(r.content().view(np.int64)), batch.column(0).take(pa.array(r.row)), pa.array((r.a - base).astype(np.int32)), pa.array((r.b + r.length - base).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "u", "doc_id", "a", "stop"])
+            columns = [pa.array(r.h.view(np.int64)), pa.array(r.content().view(np.int64)), pa.array(r.keys(ids).view(np.int64)), batch.column(0).take(pa.array(r.row)), pa.array((r.a - base).astype(np.int32)), pa.array((r.b + r.length - base).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "u", "k", "doc_id", "a", "stop"])
 
-    return docs.mapInArrow(run, f"h bigint, u bigint, doc_id {kind}, a int, stop int")
+    return docs.mapInArrow(run, f"h bigint, u bigint, k bigint, doc_id {kind}, a int, stop int")
 
 
 def _settled(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """Covered spans (doc_id, a, stop), and the anchors ``h`` whose runs differ."""
-    known = staged(rows.groupBy("h", "u").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), label)
-    several = known.where("first < last").select("h", "u", "first")
-    covered = rows.join(several, ["h", "u"]).where("doc_id > first").select("doc_id", "a", "stop")
+    """Covered spans (doc_id, a, stop), and the keys ``h`` of the first runs of every content where an anchor has several."""
+    known = staged(rows.groupBy("h", "u").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.max("doc_id").alias("last")), label)
+    several = known.where("first.doc_id < last").select("h", "u", "first.doc_id")
+    covered = rows.join(several.withColumnRenamed("doc_id", "first"), ["h", "u"]).where("doc_id > first").select("doc_id", "a", "stop")
     differ = known.groupBy("h").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("h")
-    return covered, differ
+    return covered, known.join(differ, "h").select(F.col("first.k").alias("h"))
 
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, a, stop): byte spans that go; they may overlap."""
     sc = docs.sparkSession.sparkContext
-    own = docs.where("doc_id IS NOT NULL").select("doc_id", F.col(text).alias("_text"))
+    own = docs.where("doc_id IS NOT NULL").select("doc_id", F.col(text).alias("_text"), F.xxhash64("doc_id").alias("_id"))
     size = own.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     bits_log = bits_for(size)
     parts_log = max(3, min(bits_log - 4, math.ceil(math.log2(max(1, size / PART_BYTES)))))
@@ -253,40 +266,44 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
     shared: Broadcast = sc.broadcast(shared_filter(own, anchors, parts_log, bits_log))
 
-    def whole(data: np.ndarray, offsets: np.ndarray) -> Runs:
+    def whole(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Runs:
         r = Runs(data, offsets)
         return r.only(has(shared.value, r.h))
 
-    covered, differ = _settled(_files(own, whole), "runs")
+    covered, first = _settled(_files(own, whole), "runs")
     out = [staged(covered, "covered")]
-    shared.unpersist()
-    open_ = sc.broadcast(filter_of(differ, bits_log))
+    open_ = sc.broadcast(filter_of(first, bits_log))
+
+    def opened(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Runs:
+        r = whole(data, offsets, ids)
+        return r.only(has(open_.value, r.keys(ids)))
 
     def strings(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        r = Runs(*buffer_of(batch.column(1)))
-        r.only(has(open_.value, r.h))
+        r = opened(*buffer_of(batch.column(1)), _ids(batch))
         start, run = r.strings()
         return span_hashes(r.data, start, start + LENGTH, 3), r.row[run]
 
     twice = sc.broadcast(shared_filter(own, strings, parts_log, bits_log))
 
-    def picker(left: Broadcast, single: bool) -> Callable[[np.ndarray, np.ndarray], Runs]:
-        def pick(data: np.ndarray, offsets: np.ndarray) -> Runs:
-            r = Runs(data, offsets)
-            r.only(has(left.value, r.h))
-            start, run = r.strings()
-            return r.narrowed(has(twice.value, span_hashes(data, start, start + LENGTH, 3)), start, run, single)
-
-        return pick
+    def stretches(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Runs:
+        r = opened(data, offsets, ids)
+        start, run = r.strings()
+        return r.narrowed(has(twice.value, span_hashes(data, start, start + LENGTH, 3)), start, run, False)
 
-    covered, differ = _settled(_files(own, picker(open_, False)), "stretches")
+    covered, first = _settled(_files(own, stretches), "stretches")
     out.append(staged(covered, "covered"))
-    still = sc.broadcast(filter_of(differ, bits_log))
-    open_.unpersist()
-    covered, _ = _settled(_files(own, picker(still, True)), "strings")
+    still = sc.broadcast(filter_of(first, bits_log))
+
+    def single(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Runs:
+        r = stretches(data, offsets, ids)
+        r.only(has(still.value, r.keys(ids)))
+        start, run = r.strings()
+        return r.narrowed(np.ones(len(start), bool), start, run, True)
+
+    covered, _ = _settled(_files(own, single), "strings")
     out.append(staged(covered, "covered"))
-    still.unpersist()
-    twice.unpersist()
+    for done in (shared, open_, twice, still):
+        done.unpersist()
     return out[0].unionAll(out[1]).unionAll(out[2])
 
 
