@@ -7,10 +7,11 @@ next arrival is later than every component's first (early termination). Two docu
 the probability of their probability Jaccard similarity.
 
 Equal word sequences collapse first. Bands of components bring documents into buckets; in every bucket all members
-are held against one leader, and pairs are verified on the whole texts: the probability Jaccard, or the plain one,
-must be at least 0.8. Buckets left with members of several classes are narrowed by the next band and meet under
-another leader, round after round until none is left, so a bucket never gives all its pairs. Classes are the
-connected components of the verified links, found by label propagation over tables in the shared folder.
+are held against a leader, and pairs are verified on the whole texts: the probability Jaccard, or the plain one,
+must be at least 0.8. A leader leaves its bucket once it has met all members; as long as the others are of several
+classes they meet again under more leaders, round after round. So every pair of a bucket is either held together or
+already in one class, and only the pairs between classes can be as many as the square of a bucket's size. Classes are
+the connected components of the verified links, found by label propagation over tables in the shared folder.
 
 Texts without words are alone in their class. Null ids get a null class; rows with one id count as one document,
 which is near whatever one of its texts is near; an empty table gives an empty result; other columns may be null.
@@ -34,6 +35,7 @@ THRESHOLD = 0.8
 #: Pairs whose components agree less often than this are not read again: at a similarity of 0.8 the standard
 #: deviation over 125 components is 0.036, so this lies more than four deviations below.
 SKETCH_FLOOR = 0.65
+#: How many times more leaders a bucket has from round to round.
 LEADERS = 4
 #: Up to so many ids of candidates (8 bytes each) are broadcast to pick their texts; beyond, the texts are shuffled.
 BROADCAST_IDS = 2_000_000
@@ -214,36 +216,48 @@ def merged_labels(known: DataFrame | None, new: DataFrame) -> DataFrame:
 def links_of(docs: DataFrame, marks: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between distinct texts, and their classes (id, label).
 
-    ``marks`` has (doc_id, bands, sig) for one document of every distinct text.
+    ``marks`` has (doc_id, bands, sig) for one document of every distinct text. A member's ``place`` in a bucket of n
+    is drawn from 0 to n by its hash, and is -1 for the one that shares most buckets with others: it meets all the
+    bucket first and, where the members are copies of it, settles it. A round's leaders are the members with places
+    below a bound that grows ``LEADERS`` times a round; they meet all members with later places.
     """
-    buckets = marks.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    full = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("band", "bucket")
-    members = staged(buckets.join(full, ["band", "bucket"]).select("band", F.xxhash64("band", "bucket").alias("bucket"), "doc_id", F.col("doc_id").alias("label")), "buckets")
+    buckets = marks.select("doc_id", F.explode("bands").alias("bucket"))
+    full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = staged(buckets.join(full, "bucket"), "buckets")
+    crowd = shared.groupBy("doc_id").agg(F.sum("n").alias("crowd"))
+    centre = shared.join(crowd, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("crowd", F.xxhash64("doc_id"), "doc_id")).alias("centre"))
+    drawn = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) * F.lit(2.0**-53) * F.col("n")
+    place = F.when(F.col("doc_id") == F.col("centre"), -1.0).otherwise(drawn)
+    members = staged(shared.join(centre, "bucket").select("bucket", "doc_id", place.alias("place"), F.col("doc_id").alias("label")), "buckets")
     links: DataFrame | None = None
     classes: DataFrame | None = None
-    turn = 0
+    far: DataFrame | None = None
+    bound = 0
     while True:
-        # one leader for all bands at first, then one for each of LEADERS sets of bands, so that a group of near copies
-        # gives about as many pairs for each member
-        order = F.xxhash64("doc_id") if turn == 0 else F.xxhash64("doc_id", F.col("band") % LEADERS, F.lit(turn))
-        leader = members.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "label"), F.struct(order, "doc_id")).alias("leader"))
-        pairs = members.join(leader, "bucket").where("label <> leader.label").select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        leader = members.where(F.col("place") < bound).select("bucket", F.col("doc_id").alias("a"), F.col("place").alias("at"), F.col("label").alias("la"))
+        met = members.join(leader, "bucket").where((F.col("label") != F.col("la")) & (F.struct("at", "a") < F.struct("place", "doc_id")))
+        low, high = F.least("a", "doc_id").alias("low"), F.greatest("a", "doc_id").alias("high")
+        once = met.select(low, high, "a").groupBy("low", "high").agg(F.min("a").alias("a"))
+        pairs = once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
         sigs = marks.select("doc_id", "sig")
         agree = pairs.join(sigs.withColumnsRenamed({"doc_id": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"doc_id": "b", "sig": "sb"}), "b")
-        likely = staged(agree.where(_agreement("sa", "sb") >= SKETCH_FLOOR).select("a", "b"), "pairs")
-        new = staged(verify(likely, docs, text), "verified")
+        likely = agree.where(_agreement("sa", "sb") >= SKETCH_FLOOR).select("a", "b", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        if far is not None:  # pairs that another bucket brought together before
+            likely = likely.join(far, ["low", "high"], "left_anti")
+        likely = staged(likely.select("a", "b", "low", "high"), "pairs")
+        new = staged(verify(likely.select("a", "b"), docs, text), "verified")
         links = new if links is None else links.unionByName(new)
+        far = likely.select("low", "high") if far is None else far.unionByName(likely.select("low", "high"))
         if classes is None or not new.isEmpty():
             classes = merged_labels(classes, new)
-        # buckets that hold more than one class meet again, narrowed by one band more, under other leaders
-        turn += 1
+        # leaders have met all of their buckets; of the others, buckets that hold more than one class meet again
         label = classes.select(F.col("id").alias("doc_id"), "label")
-        named = members.drop("label").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        narrowed = named.join(marks.select("doc_id", "bands"), "doc_id").select("band", F.xxhash64("bucket", F.get("bands", (F.col("band") + turn) % BANDS)).alias("bucket"), "doc_id", "label")
-        mixed = narrowed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        members = staged(narrowed.join(mixed, "bucket").select("band", "bucket", "doc_id", "label"), "buckets")
-        if turn == BANDS or members.isEmpty():
+        named = members.where(F.col("place") >= bound).drop("label").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        members = staged(named.join(mixed, "bucket").select("bucket", "doc_id", "place", "label"), "buckets")
+        if members.isEmpty():
             return links, classes
+        bound = max(1, bound) * LEADERS
 
 
 def classify(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -92,3 +92,29 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["id"]: r["label"] for r in mh.components(links).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_copies_near_their_base_and_not_each_other(spark):
+    draw = random.Random(5)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(300)]
+        texts = [base]
+        for _ in range(200):
+            copy = list(base)
+            for at in draw.sample(range(5, 295), 6):
+                copy[at] = f"x{draw.random()}"
+            texts.append(copy)
+        rows += [(g, " ".join(t)) for t in texts]
+    draw.shuffle(rows)
+    sets = [frozenset(shingles(t)) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):  # sets of one size without repeats: both similarities are the same
+            if rows[i][0] == rows[j][0] and label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert len(set(label)) < 60
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in mh.classify(docs).collect()}
+    assert got == dict(enumerate(label))
