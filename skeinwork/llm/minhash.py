@@ -4,9 +4,11 @@ A document is the weighted set of its five-word shingles, weighted by how often
 Poisson process of arrivals whose rate is its weight and whose times and components come from its hash; a
 component keeps the shingle that arrives first. The processes run in rounds, and a shingle stops for good once its
 next arrival is later than every component's first (early termination). Two documents agree in a component with
-the probability of their probability Jaccard similarity.
+the probability of their probability Jaccard similarity. A document that repeats shingles has a second signature, in
+which every distinct shingle weighs 1, so that two documents agree with the probability of their plain Jaccard
+similarity; for others both are the same. Two documents at 0.8 in either share no band once in 20 000 times.
 
-Equal word sequences collapse first. Bands of components bring documents into buckets; in every bucket all members
+Equal word sequences collapse first. Bands of both signatures bring documents into buckets; in every bucket all members
 are held against a leader, and pairs are verified on the whole texts: the probability Jaccard, or the plain one,
 must be at least 0.8. A leader leaves its bucket once it has met all members; as long as the others are of several
 classes they meet again under more leaders, round after round. So every pair of a bucket is either held together or
@@ -32,9 +34,9 @@ from skeinwork.llm.common import staged
 
 BANDS, ROWS = 25, 5
 THRESHOLD = 0.8
-#: Pairs whose components agree less often than this are not read again: at a similarity of 0.8 the standard
-#: deviation over 125 components is 0.036, so this lies more than four deviations below.
-SKETCH_FLOOR = 0.65
+#: Pairs whose components agree less often than this in both signatures are not read again: at a similarity of 0.8 the
+#: standard deviation over 125 components is 0.036, so this lies more than eight deviations below.
+SKETCH_FLOOR = 0.5
 #: How many times more leaders a bucket has from round to round.
 LEADERS = 4
 #: Up to so many ids of candidates (8 bytes each) are broadcast to pick their texts; beyond, the texts are shuffled.
@@ -77,8 +79,24 @@ def signatures(found: np.ndarray, bounds: np.ndarray, size: int = BANDS * ROWS)
     return who.reshape(rows, size)
 
 
+def plain_signatures(found: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that repeat a shingle, and their signatures when every distinct shingle weighs 1."""
+    row, item, weight = weighted(found, bounds)
+    rows = np.unique(row[weight > 1])
+    some = np.isin(row, rows)
+    return rows, signatures(item[some], np.append(np.searchsorted(row[some], rows), some.sum()))
+
+
+def _bands(sig: np.ndarray) -> np.ndarray:
+    bands = np.full((len(sig), BANDS), 0x9E37, np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        bands = mix(bands, sig[:, k::ROWS])
+    return bands.astype(np.int64)
+
+
 def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_words, key, bands, sig): the digest of the words, a hash for each band, the components' low bytes."""
+    """(doc_id, n_words, key, bands, sig, plain): the digest of the words, a hash for each band of both signatures, the
+    components' low bytes; ``plain`` has those of the second signature and is null where both are the same."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +106,10 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
             hashes = span_hashes(data, starts, ends)
             found, at = shingles(hashes, bounds)
             sig = signatures(found, at)
-            bands = np.full((len(sig), BANDS), 0x9E37, np.uint64) + np.arange(BANDS, dtype=np.uint64)
-            for k in range(ROWS):
-                bands = mix(bands, sig[:, k::ROWS])
+            bands, plain = list(_bands(sig)), [None] * len(sig)
+            again, flat = plain_signatures(found, at)
+            for r, own, other in zip(again.tolist(), flat, _bands(flat), strict=True):
+                bands[r], plain[r] = np.union1d(bands[r], other), own.astype(np.uint8).view(np.int8)
             second = span_hashes(data, starts, ends, 7)
             keys = [hashes[a:b].tobytes() + second[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -98,14 +117,15 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
                     batch.column(0),
                     pa.array(np.diff(bounds), pa.int64()),
                     pa.array([hashlib.md5(k).digest() for k in keys], pa.binary()),
-                    pa.FixedSizeListArray.from_arrays(pa.array(bands.astype(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
+                    pa.array(bands, pa.list_(pa.int64())),
                     pa.FixedSizeListArray.from_arrays(pa.array(sig.astype(np.uint8).view(np.int8).ravel()), BANDS * ROWS).cast(pa.list_(pa.int8())),
+                    pa.array(plain, pa.list_(pa.int8())),
                 ],
-                ["doc_id", "n_words", "key", "bands", "sig"],
+                ["doc_id", "n_words", "key", "bands", "sig", "plain"],
             )
 
     picked = docs.select("doc_id", F.col(text).alias("_text"))
-    return picked.mapInArrow(run, f"doc_id {kind}, n_words bigint, key binary, bands array<bigint>, sig array<tinyint>")
+    return picked.mapInArrow(run, f"doc_id {kind}, n_words bigint, key binary, bands array<bigint>, sig array<tinyint>, plain array<tinyint>")
 
 
 # --- verification --------------------------------------------------------------------------------------
@@ -216,7 +236,7 @@ def merged_labels(known: DataFrame | None, new: DataFrame) -> DataFrame:
 def links_of(docs: DataFrame, marks: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between distinct texts, and their classes (id, label).
 
-    ``marks`` has (doc_id, bands, sig) for one document of every distinct text. A member's ``place`` in a bucket of n
+    ``marks`` has (doc_id, bands, sig, plain) for one document of every distinct text. A member's ``place`` in a bucket of n
     is drawn from 0 to n by its hash, and is -1 for the one that shares most buckets with others: it meets all the
     bucket first and, where the members are copies of it, settles it. A round's leaders are the members with places
     below a bound that grows ``LEADERS`` times a round; they meet all members with later places.
@@ -239,9 +259,9 @@ def links_of(docs: DataFrame, marks: DataFrame, text: str = "text") -> tuple[Dat
         low, high = F.least("a", "doc_id").alias("low"), F.greatest("a", "doc_id").alias("high")
         once = met.select(low, high, "a").groupBy("low", "high").agg(F.min("a").alias("a"))
         pairs = once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
-        sigs = marks.select("doc_id", "sig")
-        agree = pairs.join(sigs.withColumnsRenamed({"doc_id": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"doc_id": "b", "sig": "sb"}), "b")
-        likely = agree.where(_agreement("sa", "sb") >= SKETCH_FLOOR).select("a", "b", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        sigs = marks.select("doc_id", "sig", F.coalesce("plain", "sig").alias("plain"))
+        agree = pairs.join(sigs.withColumnsRenamed({"doc_id": "a", "sig": "sa", "plain": "pa"}), "a").join(sigs.withColumnsRenamed({"doc_id": "b", "sig": "sb", "plain": "pb"}), "b")
+        likely = agree.where((_agreement("sa", "sb") >= SKETCH_FLOOR) | (_agreement("pa", "pb") >= SKETCH_FLOOR)).select("a", "b", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         if far is not None:  # pairs that another bucket brought together before
             likely = likely.join(far, ["low", "high"], "left_anti")
         likely = staged(likely.select("a", "b", "low", "high"), "pairs")
@@ -270,7 +290,7 @@ def classify(docs: DataFrame, text: str = "text") -> DataFrame:
     solid = marks.where("n_words > 0 AND doc_id IS NOT NULL")
     first = solid.groupBy("key").agg(F.min("doc_id").alias("rep"))
     chosen = solid.join(first.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"])
-    reps = staged(chosen.groupBy("doc_id").agg(F.min(F.struct("key", "bands", "sig")).alias("m")).select("doc_id", "m.*"), "reps")
+    reps = staged(chosen.groupBy("doc_id").agg(F.min(F.struct("key", "bands", "sig", "plain")).alias("m")).select("doc_id", "m.*"), "reps")
     links, classes = links_of(docs, reps, text)
     own = marks.select("doc_id", "key", "n_words")
     named = own.join(first, "key", "left").withColumn("rep", F.when(F.col("n_words") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))

@@ -118,3 +118,14 @@ def test_copies_near_their_base_and_not_each_other(spark):
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in mh.classify(docs).collect()}
     assert got == dict(enumerate(label))
+
+
+def test_pairs_that_differ_by_a_repeated_line(spark):
+    rows = []
+    for g in range(12):
+        base = " ".join(f"g{g}w{i}" for i in range(200))
+        rows += [(2 * g, base), (2 * g + 1, base + "\n" + "all rights are reserved by the owner here\n" * 50)]
+    sets = [shingles(t) for _, t in rows[:2]]
+    assert len(sets[0].keys() & sets[1].keys()) >= 0.8 * len(sets[0].keys() | sets[1].keys())
+    got = {r["doc_id"]: r["class_id"] for r in mh.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
