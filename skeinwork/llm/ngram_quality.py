@@ -15,9 +15,8 @@ A document is kept where its perplexity lies between two quantiles of its langua
 with the root of its bytes: what is stranger than trusted text goes, and what is far duller. The quantiles come from
 histograms of log perplexity in steps of 1/256, which add up exactly.
 
-Trusted documents are those labelled 1. Up to ``TRUSTED_IDS`` of their ids (8 bytes each, by smallest hash) are
-shipped to the tasks; all their text counts. Texts without words are rejected with a null perplexity; a language
-without a trusted document, null included, borrows the thresholds and the model of all trusted text together;
+Trusted documents are those labelled 1; all their text counts. Texts without words are rejected with a null perplexity; a language
+without a model, null included, borrows the thresholds and the model of all trusted text together;
 rows that repeat are judged alike; empty tables give an empty result.
 """
 
@@ -38,7 +37,6 @@ from skeinwork.llm.arrays import IS_SPACE, buffer_of, pieces
 from skeinwork.llm.common import staged
 
 ORDER = 5
-TRUSTED_IDS = 1_000_000
 LOW, HIGH = 0.005, 0.995
 SLACK = 0.5
 ALLOW_LOW, ALLOW_HIGH = 4.0, 1.0
@@ -121,25 +119,20 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 # --- counts and the model ------------------------------------------------------------------------------
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_IDS) -> np.ndarray:
-    """Sorted ids of documents labelled 1, at most ``most``, those with the smallest hashes."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    picked = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return np.sort(picked.toArrow().column(0).to_numpy().astype(np.int64))
-
-
 _COUNTS = "shard int, lang string, grams binary, counts binary"
 
 
-def counts(docs: DataFrame, ids: np.ndarray, shards: int, any_too: bool, text: str = "text") -> DataFrame:
-    """(shard, lang, grams, counts): the packed counts of the trusted documents, one row for each shard and language.
+def counts(docs: DataFrame, ids: DataFrame | np.ndarray, shards: int, any_too: bool, text: str = "text") -> DataFrame:
+    """(shard, lang, grams, counts): the packed counts of the documents with these ids (a table of doc_id, or an array),
+    one row for each shard and language.
 
     With ``any_too`` every gram also counts for the language ``ANY``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
+    if not isinstance(ids, DataFrame):
+        ids = docs.sparkSession.createDataFrame([(int(x),) for x in ids], "doc_id long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trusted, held = shared.value, {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def tally() -> Iterator[pa.RecordBatch]:
             for lang, found in held.items():
@@ -148,16 +141,10 @@ def counts(docs: DataFrame, ids: np.ndarray, shards: int, any_too: bool, text: s
             held.clear()
 
         for batch in pieces(batches, "_text"):
-            id_ = np.array(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), np.int64)
-            at = np.minimum(np.searchsorted(trusted, id_), max(len(trusted) - 1, 0))
-            good = (trusted[at] == id_) & batch.column(0).is_valid().to_numpy(zero_copy_only=False) if len(trusted) else np.zeros(len(id_), bool)
-            if not good.any():
-                continue
-            kept = batch.filter(pa.array(good))
-            langs = np.array(_language(kept.column(1)))
+            langs = np.array(_language(batch.column(0)))
             for lang in np.unique(langs):
-                some = kept.filter(pa.array(langs == lang))
-                tallied = _counted(grams(*buffer_of(some.column(2)))[0])
+                some = batch.filter(pa.array(langs == lang))
+                tallied = _counted(grams(*buffer_of(some.column(1)))[0])
                 for name in (str(lang), ANY) if any_too else (str(lang),):
                     held.setdefault(name, []).append(tallied)
                     if sum(len(k) for k, _ in held[name]) > 4_000_000:
@@ -166,13 +153,24 @@ def counts(docs: DataFrame, ids: np.ndarray, shards: int, any_too: bool, text: s
                 yield from tally()
         yield from tally()
 
+    picked = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select("lang", F.col(text).alias("_text"))
+    return _merged_rows(picked.mapInArrow(run, _COUNTS))
+
+
+def _merged_rows(parts: DataFrame) -> DataFrame:
+    """One row for each shard and language."""
+
     def merge(group: pa.Table) -> pa.Table:
         rows = zip(group.column("grams").to_pylist(), group.column("counts").to_pylist(), strict=True)
         keys, n = _merged([(_unpack_grams(g), _unpack(c, np.int64)) for g, c in rows])
         return pa.table({"shard": group.column("shard")[:1], "lang": group.column("lang")[:1], "grams": pa.array([_pack_grams(keys)], pa.binary()), "counts": pa.array([_pack(n)], pa.binary())})
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col(text).alias("_text"))
-    return picked.mapInArrow(run, _COUNTS).groupBy("shard", "lang").applyInArrow(merge, _COUNTS)
+    return parts.groupBy("shard", "lang").applyInArrow(merge, _COUNTS)
+
+
+def with_any(top: DataFrame) -> DataFrame:
+    """``top`` with the counts of all languages together as those of ``ANY``."""
+    return top.where(F.col("lang") != ANY).unionByName(_merged_rows(top.withColumn("lang", F.lit(ANY))))
 
 
 def _count_rows(lang: str, keys: np.ndarray, n: np.ndarray, shards: int) -> pa.RecordBatch:
@@ -423,13 +421,13 @@ def thresholds(trusted: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """A row for each document: doc_id, lang, n_bytes, perplexity, low, high, kept."""
-    ids = trusted_ids(labels)
     good = labels.where("quality = 1").select("doc_id").distinct()
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = shards_for(size)
-    langs = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
-    strange = langs.join(langs.join(good, "doc_id", "left_semi").select("lang").distinct(), "lang", "left_anti")
-    top = staged(counts(docs, ids, shards, not strange.isEmpty(), text), "grams")
+    top = staged(counts(docs, good, shards, False, text), "grams")
+    strange = docs.select(F.coalesce("lang", F.lit("")).alias("lang")).distinct().join(top.select("lang").distinct(), "lang", "left_anti")
+    if not strange.isEmpty():
+        top = staged(with_any(top), "grams")
     scored = staged(perplexities(docs, top, low_orders(top), shards, text), "perplexity")
     logs = scored.withColumn("logppl", F.ln("perplexity"))
     cut = staged(thresholds(logs.where("logppl IS NOT NULL").join(good, "doc_id", "left_semi").select("lang", "logppl")), "thresholds")

@@ -96,3 +96,16 @@ def test_repeats_clashes_and_empty_tables(spark):
     none = docs.limit(0)
     assert nq.judge(none, labels).count() == 0
     assert nq.judge(docs, labels.limit(0)).count() == len(TEXTS) + 2
+
+
+def test_all_trusted_documents_count(spark):
+    texts = [*TEXTS[:5], (10, "", "fr"), (11, "le chat", "fr")]
+    docs, _ = frames(spark, texts)
+    labels = spark.range(3_000_000).selectExpr("id AS doc_id", "IF(id IN (5, 11), 0, 1) AS quality")  # most label nothing here
+    got = {r["doc_id"]: r["perplexity"] for r in nq.judge(docs, labels).collect()}
+    for i, by in ((1, [1, 2]), (2, [1, 2]), (3, [3, 4]), (4, [3, 4]), (5, [1, 2]), (11, GOOD)):  # fr has no trusted byte
+        p = model_of([t.encode() for k, t, _ in texts if k in by])
+        text = next(t.encode() for k, t, _ in texts if k == i)
+        padded = b"\0" * 4 + text
+        logs = [math.log(p(padded[k : k + 5])) for k in range(len(text))]
+        assert got[i] == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-4), i
