@@ -1,26 +1,36 @@
-"""Exact substring deduplication by bucket refinement.
-
-A string of ``LENGTH`` bytes goes wherever it also starts in a document with a smaller id. Positions are sorted into
-buckets by a short q-gram first; buckets are then refined by the identifiers of later offsets, and only buckets that
-more than one document shares go on, so that each round works on what the last one left open:
-
-1. Every string is filed under one of its q-grams, the one with the least hash (its anchor), so a run of
-   neighbouring strings shares an anchor and equal strings have equal anchors. Identifiers of q-grams come from pairs
-   of identifiers of shorter grams (1, 2, 4, 8, 16 bytes). Anchors in one document only are dropped.
-2. The buckets of the other anchors are refined by their whole run's content. A run that a smaller document has goes
-   as a whole; a bucket whose runs are all equal is settled; in the others the first document's run of each content
-   stays open, as all that its strings can still meet are other contents' first runs.
-3. In open runs the strings that only one document has are dropped, the remaining stretches of each run are refined
-   in the same way, and the stretches open still are refined down to single strings.
-
-Identifiers of anchors and runs are 64-bit hashes, and a run is known by its anchor and its content together.
-Which anchors or strings are shared travels as a bit for each hash prefix: half a bit for each byte of text, and at
-most 2^``FILTER_BITS`` bits, whatever the data's size. A bit set by another hash only lets work through that the exact
-comparison settles, so the result never depends on the filters.
+"""Exact substring deduplication by bucket-pointer refinement.
+
+A string of ``LENGTH`` bytes goes wherever it also starts in a document with a smaller id. Positions lie in buckets,
+known by a bucket identifier; a bucket is refined by the identifier of a later offset, the new identifiers take the
+place of the old ones, and the next refinement sorts by those:
+
+* The initial buckets are the 8-grams. The bucket of the 16-gram at i is refined from the bucket at i by that at i + 8,
+  the 32-gram's from the 16-gram's at i and i + 16, and the 50-gram's from the 32-gram's at i and i + 18.
+* What is in a bucket of one document only can't be shared, nor can anything refined from it, so buckets are compared
+  over all documents three times, each time for the positions still open:
+
+  1. *Buckets of 32-grams.* Each string is filed under one of its 32-grams, the one with the least identifier (its
+     anchor), so that neighbouring strings mostly share one and equal strings have equal anchors. Anchors in one
+     document close all their strings.
+  2. *Runs.* Neighbouring strings with one anchor are a run, known by the anchor's bucket and its content. Runs that a
+     smaller document has go as a whole; a bucket whose runs are all equal is settled; in the others the first
+     document's run of each content stays open, as all that its strings can still meet are other contents' first runs.
+  3. *Buckets of 50-grams.* The strings of open runs are refined to their last bucket, whose least document keeps them.
+
+Documents lie in blocks that are written once, bucketed by block (``blocks.Bucketed``). A block asks about its own
+distinct buckets only: sorted, delta-coded arrays, a row for each range of identifiers. A range sorts what all blocks
+ask and answers in bits, and only the answers travel back to the blocks. So a bucket that a third of all documents has
+is one entry for each block. Anchors in more than ``HOT`` blocks aren't gathered by anchor in the second comparison
+but by content; their runs count as of several contents, which opens more strings and changes no result.
+
+Bucket identifiers are 64-bit hashes of the pair that they were refined from, so two different strings are taken for
+equal with a chance of 2^-64 a pair.
 
 Null and empty texts have no strings. Null ids have no order: their documents are left whole and lend nothing. Rows
-with one id count as one document: what goes from one goes from all, as far as they reach. An empty table gives an
-empty result; other columns may be null.
+with one id lend nothing to each other; each is held against the documents with smaller ids. Ids of any type that
+can be compared will do. A text longer than ``WINDOW`` is worked off in windows that overlap by ``LENGTH`` - 1 bytes,
+each with runs of its own, so its length bounds nothing but the text itself. An empty table gives an empty result;
+other columns may be null or have any name.
 """
 
 from __future__ import annotations
@@ -31,316 +41,402 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skeinwork.llm.arrays import buffer_of, finish, mix, pieces, span_hashes
+from skeinwork.llm.blocks import Bucketed, blocks, opened, pack, pack_batch, pack_sorted, unpack, unpack_sorted
 from skeinwork.llm.common import staged
 
 LENGTH = 50
-GRAM = 16
-LEAST_BITS, FILTER_BITS = 16, 28
-#: Hashes that a task holds before it sends them on, and bytes of text for each part they are sent to.
-HELD = 3_000_000
-PART_BYTES = 32 << 20
+GRAM = 32
+#: Bytes of text that a task refines at a time.
+WINDOW = 1 << 18
+#: Text bytes for each range of identifiers.
+RANGE_BYTES, LEAST_RANGES_LOG = 32 << 20, 6
+#: An anchor in more blocks than this is hot.
+HOT = 64
 _PLACE = np.uint64((1 << 28) - 1)
-_KEPT = 48  # leading bits of a hash that are sent for the filters
-
-
-# --- strings, anchors and runs -------------------------------------------------------------------------
-
-
-class Runs:
-    """The runs of strings in some documents: ``row``, first string ``a``, last ``b``, anchor place ``at`` and id ``h``."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-        self.data, self.length = data, length
-        width = length - gram + 1
-        empty = np.zeros(0, np.int64)
-        if len(data) < length:
-            self.row = self.a = self.b = self.at = empty
-            self.h = np.zeros(0, np.uint64)
-            return
-        ids, k = finish(data.astype(np.uint64) + np.uint64(1)), 1
-        while k < gram:
-            step = min(k, gram - k)
-            ids = mix(ids[: len(ids) - step], ids[step:])
-            k += step
-        low = (ids & ~_PLACE) | np.arange(len(ids), dtype=np.uint64)
-        k = 1
-        while k < width:
-            step = min(k, width - k)
-            low = np.minimum(low[: len(low) - step], low[step:])
-            k += step
-        place = (low & _PLACE).astype(np.int64)
-        end = np.repeat(offsets[1:], np.diff(offsets))[: len(place)]
-        start = np.flatnonzero(np.arange(len(place)) + length <= end)
-        place = place[start]
-        new = np.ones(len(start), bool)
-        new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
-        first = np.flatnonzero(new)
-        self.a, self.at = start[first], place[first]
-        self.b = start[np.append(first[1:], len(start)) - 1] if len(start) else empty
-        self.h = ids[self.at]
-        self.row = np.searchsorted(offsets, self.a, "right") - 1
-
-    def only(self, keep: np.ndarray) -> Runs:
-        for name in ("row", "a", "b", "at", "h"):
-            setattr(self, name, getattr(self, name)[keep])
-        return self
-
-    def content(self) -> np.ndarray:
-        """Each run's identifier: all its bytes and where its anchor stands."""
-        return finish(span_hashes(self.data, self.a, self.b + self.length) + (self.at - self.a).astype(np.uint64))
-
-    def keys(self, ids: np.ndarray) -> np.ndarray:
-        """Each run's anchor, content and document in one hash; ``ids`` has the rows' documents."""
-        return finish(mix(mix(self.h, self.content()), ids[self.row]))
-
-    def strings(self) -> tuple[np.ndarray, np.ndarray]:
-        """Every string's start and its run."""
-        count = self.b - self.a + 1
-        run = np.repeat(np.arange(len(count)), count)
-        return np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + self.a[run], run
-
-    def narrowed(self, keep: np.ndarray, start: np.ndarray, run: np.ndarray, single: bool) -> Runs:
-        """The stretches of kept strings, or each kept string by itself."""
-        start, run = start[keep], run[keep]
-        new = np.ones(len(start), bool)
-        if not single:
-            new[1:] = (run[1:] != run[:-1]) | (start[1:] != start[:-1] + 1)
-        first = np.flatnonzero(new)
-        run_ = run[first]
-        self.row, self.at, self.h = self.row[run_], self.at[run_], self.h[run_]
-        self.a = start[first]
-        self.b = start[np.append(first[1:], len(start)) - 1] if len(start) else start
-        return self
-
-
-def bits_for(n_bytes: int) -> int:
-    """The logarithm of a filter's size for so much text."""
-    return max(LEAST_BITS, min(FILTER_BITS, math.ceil(math.log2(max(1, n_bytes / 2)))))
-
-
-def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes >> np.uint64(62 - len(bits).bit_length())).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
-# --- filters -------------------------------------------------------------------------------------------
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Sorted 49-bit numbers as compressed differences, byte by byte."""
-    step = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    return zstandard.compress(np.ascontiguousarray(step.T).tobytes(), 1)
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
-
-
-def shared_filter(docs: DataFrame, hashes: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], parts_log: int, bits_log: int) -> np.ndarray:
-    """The filter of the hashes that more than one document has.
-
-    ``hashes`` gives (hash, row) of a batch. Documents lie whole in a batch, so a hash is shared where two rows of a
-    batch have it or two batches; a batch sends each of its hashes once with a bit that says which.
-    """
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            values = np.sort(np.concatenate(held))
-            held.clear()
-            key = values >> np.uint64(1)
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            many = np.diff(np.append(first, len(key))) > 1
-            values = (key[first] << np.uint64(1)) | (many | (np.bitwise_or.reduceat(values, first) & np.uint64(1) == 1))
-            cuts = np.searchsorted(values, np.arange((1 << parts_log) + 1, dtype=np.uint64) << np.uint64(_KEPT + 1 - parts_log))
-            out = [(p, _pack(values[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["part", "data"])
+_16 = np.uint64(16)
+_1 = np.uint64(1)
 
-        for batch in pieces(batches, "_text"):
-            h, row = hashes(batch)
-            order = np.lexsort((row, h))
-            h, row = h[order], row[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])  # a document's own repeats don't count
-            if len(h):
-                held.append((h[new] >> np.uint64(64 - _KEPT)) << np.uint64(1))
-            if sum(map(len, held)) >= HELD:
-                yield from flush()
-        if held:
-            yield from flush()
-
-    width = 1 << (bits_log - parts_log)
-
-    def merge(group: pa.Table) -> pa.Table:
-        values = np.sort(np.concatenate([_unpack(x) for x in group.column("data").to_pylist()]))
-        key = values >> np.uint64(1)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        shared = (np.diff(np.append(first, len(key))) > 1) | (np.bitwise_or.reduceat(values, first) & np.uint64(1) == 1)
-        return _bits(group.column("part")[0].as_py(), (key[first][shared] >> np.uint64(_KEPT - bits_log)).astype(np.int64) % width, width)
-
-    sent = docs.mapInArrow(send, "part int, data binary")
-    return _assembled(sent.groupBy("part").applyInArrow(merge, "part int, bits binary"), width, bits_log)
-
-
-def _bits(part: int, places: np.ndarray, width: int) -> pa.Table:
-    mask = np.zeros(width, bool)
-    mask[places] = True
-    return pa.table({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(mask, bitorder="little").tobytes()], pa.binary())})
-
-
-def _assembled(chunks: DataFrame, width: int, bits_log: int) -> np.ndarray:
-    """The whole filter from its parts: at most 2^FILTER_BITS bits, however large the data."""
-    out = np.zeros((1 << bits_log) // 8, np.uint8)
-    for row in chunks.toLocalIterator(prefetchPartitions=True):
-        at = row["part"] * (width // 8)
-        out[at : at + width // 8] = np.frombuffer(row["bits"], np.uint8)
+
+# --- buckets within a text -----------------------------------------------------------------------------
+
+
+def refined(at: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """The identifiers of buckets refined by those of a later offset."""
+    return finish(mix(at, later))
+
+
+def buckets(data: np.ndarray) -> np.ndarray:
+    """The identifier of the ``GRAM``-gram bucket of every position that has one."""
+    n = len(data) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    data = np.ascontiguousarray(data)
+    ids = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,)).astype(np.uint64)
+    width = 8
+    while width < GRAM:
+        ids = refined(ids[:-width], ids[width:])
+        width *= 2
+    return ids
+
+
+def windows(offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, first byte, offsets from there) of pieces of about ``WINDOW`` bytes that hold every string once."""
+    row, n = 0, len(offsets) - 1
+    while row < n:
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + WINDOW, "right")) - 1)
+        if stop > row + 1 or offsets[row + 1] - offsets[row] <= WINDOW:
+            yield row, int(offsets[row]), offsets[row : stop + 1] - offsets[row]
+        else:
+            for lo in range(int(offsets[row]), int(offsets[row + 1]), WINDOW):
+                yield row, lo, np.array([0, min(int(offsets[row + 1]), lo + WINDOW + LENGTH - 1) - lo])
+        row = stop
+
+
+def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first string, last string, bucket of the anchor, bucket of the content) of a window's runs."""
+    ids, width = buckets(data), LENGTH - GRAM + 1
+    if len(data) < LENGTH:
+        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    low = (ids & ~_PLACE) | np.arange(len(ids), dtype=np.uint64)
+    k = 1
+    while k < width:
+        step = min(k, width - k)
+        low = np.minimum(low[:-step], low[step:])
+        k += step
+    place = (low & _PLACE).astype(np.int64)
+    end = np.repeat(offsets[1:], np.diff(offsets))[: len(place)]
+    start = np.flatnonzero(np.arange(len(place)) + LENGTH <= end)
+    place = place[start]
+    new = np.ones(len(start), bool)
+    new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    a, at = start[first], place[first]
+    b = start[np.append(first[1:], len(start)) - 1] if len(start) else a
+    content = finish(span_hashes(data, a, b + LENGTH) + (at - a).astype(np.uint64))
+    return np.searchsorted(offsets, a, "right") - 1, a, b, ids[at], refined(ids[at], content)
+
+
+def strings(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket of the 50-gram, run, start) of all strings of some runs."""
+    count = b - a + 1
+    size = count + LENGTH - 1
+    base = np.cumsum(size) - size
+    ids = buckets(data[np.arange(size.sum()) - np.repeat(base - a, size)])
+    run = np.repeat(np.arange(len(a)), count)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    at = base[run] + step
+    return refined(ids[at], ids[at + LENGTH - GRAM]) if len(at) else np.zeros(0, np.uint64), run, a[run] + step
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns begin a new group."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _grouped(heads: np.ndarray, n: int) -> np.ndarray:
+    """The group of each of n sorted rows."""
+    return np.repeat(np.arange(len(heads)), np.diff(np.append(heads, n)))
+
+
+# --- a block's part ------------------------------------------------------------------------------------
+
+
+def _ranks(ids: pa.Array) -> np.ndarray:
+    """Numbers that compare as the ids do."""
+    if pa.types.is_integer(ids.type):
+        return ids.to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.unique(np.array(ids.to_pylist(), object), return_inverse=True)[1] if len(ids) else np.zeros(0, np.int64)
+
+
+class Block:
+    """A block's open positions, from one comparison to the next."""
+
+    def __init__(self, data: bytes):
+        self.batch = opened(data)
+        self.data, self.offsets = buffer_of(self.batch.column(1))
+        parts = []
+        for row, lo, offsets in windows(self.offsets):
+            r, a, b, h, u = runs(self.data[lo : lo + int(offsets[-1])], offsets)
+            parts.append((r + row, a + lo, b + lo, h >> _16, u))
+        self.row, self.a, self.b, h, self.u = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        self.rank = _ranks(self.batch.column(0))
+        order = np.lexsort((self.row, h))
+        h = h[order]
+        heads = _heads(h)
+        self.anchor = np.empty(len(h), np.int64)
+        self.anchor[order] = _grouped(heads, len(h))
+        self.anchors = h[heads]
+        many = np.zeros(len(heads), bool)
+        many[_grouped(heads, len(h))[1:][(h[1:] == h[:-1]) & (self.row[order][1:] != self.row[order][:-1])]] = True
+        self.asked = (self.anchors << _1) | many
+
+    def with_anchors(self, shared: np.ndarray, hot: np.ndarray) -> None:
+        """Only runs of shared anchors stay; they are sorted by (filed, u), where ``filed`` is what they are gathered by."""
+        keep = np.flatnonzero(shared[self.anchor])
+        anchor, u = self.anchor[keep], self.u[keep]
+        filed = (np.where(hot[anchor], u >> _16, self.anchors[anchor]) << _1) | hot[anchor]
+        rank = self.rank[self.row[keep]]
+        order = np.lexsort((rank, u, filed))
+        keep = keep[order]
+        self.row, self.a, self.b, self.u, self.filed, rank = self.row[keep], self.a[keep], self.b[keep], u[order], filed[order], rank[order]
+        self.head = _heads(self.filed, self.u)
+        self.group = _grouped(self.head, len(keep))
+        self.first = rank == rank[self.head][self.group]
+
+    def with_runs(self, covered: np.ndarray, open_: np.ndarray) -> None:
+        """Covered runs give spans; the strings of open ones are sorted by their last bucket."""
+        gone = ~self.first | covered[self.group]
+        self.spans = [(self.row[gone], self.a[gone], self.b[gone] + LENGTH)]
+        keep = np.flatnonzero(self.first & open_[self.group])
+        self.key, run, self.start = strings(self.data, self.a[keep], self.b[keep])
+        self.row = self.row[keep][run]
+        rank = self.rank[self.row]
+        order = np.lexsort((rank, self.key))
+        self.key, self.start, self.row, rank = self.key[order], self.start[order], self.row[order], rank[order]
+        self.head = _heads(self.key)
+        self.group = _grouped(self.head, len(order))
+        self.first = rank == rank[self.head][self.group]
+
+    def with_strings(self, covered: np.ndarray) -> None:
+        gone = ~self.first | covered[self.group]
+        self.spans.append((self.row[gone], self.start[gone], self.start[gone] + LENGTH))
+
+    def pack_ids(self, at: np.ndarray) -> bytes:
+        ids = self.batch.column(0)
+        if pa.types.is_integer(ids.type):
+            return pack(self.rank[self.row[at]])
+        return pack_batch(pa.RecordBatch.from_arrays([ids.take(pa.array(self.row[at]))], ["id"]))
+
+
+def _unpacked_ids(messages: list[bytes], kind: pa.DataType) -> np.ndarray:
+    if pa.types.is_integer(kind):
+        return np.concatenate([unpack(m, np.int64) for m in messages])
+    return _ranks(pa.concat_arrays([opened(m).column(0) for m in messages]))
+
+
+# --- the three comparisons -----------------------------------------------------------------------------
+
+
+def _cuts(keys: np.ndarray, bits: int, log: int) -> np.ndarray:
+    """Where the ranges begin in sorted keys of so many bits; there are 2^log ranges."""
+    return np.append(np.searchsorted(keys, np.arange(1 << log, dtype=np.uint64) << np.uint64(bits - log)), len(keys))
+
+
+def _bits(*flags: np.ndarray) -> bytes:
+    return b"".join(np.packbits(f).tobytes() for f in flags)
+
+
+def _flags(answers: pa.Table, kind: int, cuts: np.ndarray, n: int) -> list[np.ndarray]:
+    """The flags that the ranges answered, n for each entry, in the order of the entries."""
+    out = [np.zeros(int(cuts[-1]), bool) for _ in range(n)]
+    for k, part, data in zip(answers.column("kind").to_pylist(), answers.column("part").to_pylist(), answers.column("bits").to_pylist(), strict=True):
+        if k == kind:
+            size = int(cuts[part + 1] - cuts[part])
+            for flags, bits in zip(out, np.split(np.frombuffer(data, np.uint8), n), strict=True):
+                flags[cuts[part] : cuts[part + 1]] = np.unpackbits(bits, count=size)
     return out
 
 
-def filter_of(hashes: DataFrame, bits_log: int, parts_log: int = 7) -> np.ndarray:
-    """The filter of the column ``h``."""
-    width = 1 << (bits_log - parts_log)
-    at = F.shiftrightunsigned("h", 64 - bits_log)
-    chunks = hashes.select(F.shiftright(at, bits_log - parts_log).cast("int").alias("part"), (at % width).cast("int").alias("place")).distinct()
+def _answer_rows(group: pa.Table, kind: int, sizes: list[int], *flags: np.ndarray) -> pa.Table:
+    ends = np.cumsum(sizes)
+    data = [_bits(*(f[e - n : e] for f in flags)) for e, n in zip(ends, sizes, strict=True)]
+    n = group.num_rows
+    return pa.table({"block": group.column("block"), "kind": pa.array([kind] * n, pa.int32()), "part": group.column("part"), "bits": pa.array(data, pa.binary())})
+
+
+_ANSWER = "block bigint, kind int, part int, bits binary"
+
+
+def _of_anchors(hot: int) -> Callable[[pa.Table], pa.Table]:
+    """Which anchors several documents have, and which are in more than ``hot`` blocks."""
+
+    def answer(group: pa.Table) -> pa.Table:
+        found = [unpack_sorted(d, np.uint64) for d in group.column("data").to_pylist()]
+        values = np.concatenate(found)
+        order = np.argsort(values, kind="stable")
+        key = values[order] >> _1
+        heads = _heads(key)
+        times = np.diff(np.append(heads, len(key)))
+        shared = (times > 1) | (np.bitwise_or.reduceat(values[order], heads) & _1 == 1)
+        flags = np.empty((2, len(key)), bool)
+        flags[:, order] = np.stack([shared, times > hot])[:, _grouped(heads, len(key))]
+        return _answer_rows(group, 1, [len(x) for x in found], *flags)
+
+    return answer
+
+
+def _of_runs(kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
+    """Which runs a smaller document has, and which of the first ones stay open."""
+
+    def answer(group: pa.Table) -> pa.Table:
+        found = [unpack_sorted(d, np.uint64) for d in group.column("data").to_pylist()]
+        filed, u = np.concatenate(found), np.concatenate([unpack(d, np.uint64) for d in group.column("contents").to_pylist()])
+        rank = _unpacked_ids(group.column("ids").to_pylist(), kind)
+        order = np.lexsort((rank, u, filed))
+        filed, u, rank = filed[order], u[order], rank[order]
+        heads, tops = _heads(filed, u), _heads(filed)
+        late = rank != rank[heads][_grouped(heads, len(rank))]
+        several = (filed[tops] & _1 == 1) | (u[tops] != u[np.append(tops[1:], len(u)) - 1])
+        flags = np.empty((2, len(rank)), bool)
+        flags[:, order] = np.stack([late, ~late & several[_grouped(tops, len(rank))]])
+        return _answer_rows(group, 2, [len(x) for x in found], *flags)
+
+    return answer
+
 
-    def merge(group: pa.Table) -> pa.Table:
-        return _bits(group.column("part")[0].as_py(), group.column("place").to_numpy(), width)
+def _of_strings(kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
+    """Which strings a smaller document has."""
 
-    return _assembled(chunks.groupBy("part").applyInArrow(merge, "part int, bits binary"), width, bits_log)
+    def answer(group: pa.Table) -> pa.Table:
+        found = [unpack_sorted(d, np.uint64) for d in group.column("data").to_pylist()]
+        key, rank = np.concatenate(found), _unpacked_ids(group.column("ids").to_pylist(), kind)
+        order = np.lexsort((rank, key))
+        heads = _heads(key[order])
+        flags = np.empty(len(key), bool)
+        flags[order] = rank[order] != rank[order][heads][_grouped(heads, len(key))]
+        return _answer_rows(group, 3, [len(x) for x in found], flags)
 
+    return answer
 
-# --- refinement ----------------------------------------------------------------------------------------
 
+def _questions(block: int, log: int, bits: int, keys: np.ndarray, row: Callable[[int, int], list[bytes]]) -> pa.Table:
+    """A row (part, block, ...) for each range that the sorted keys reach; ``row`` packs the entries from a to b."""
+    cuts = _cuts(keys, bits, log)
+    parts = np.flatnonzero(np.diff(cuts))
+    packed = [row(int(cuts[p]), int(cuts[p + 1])) for p in parts]
+    names = ["data", "contents", "ids"]
+    columns = [pa.array([p[k] for p in packed], pa.binary()) for k in range(3)]
+    return pa.table([pa.array(parts, pa.int32()), pa.array([block] * len(parts), pa.int64()), *columns], names=["part", "block", *names])
 
-Pick = Callable[[np.ndarray, np.ndarray, np.ndarray], Runs]
 
+_QUESTION = "part int, block bigint, data binary, contents binary, ids binary"
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return np.asarray(batch.column(2)).view(np.uint64)
 
+def spans_of(block: Block, answers: pa.Table, log: int) -> None:
+    """Take the block as far as the answers go."""
+    kinds = set(answers.column("kind").to_pylist())
+    if 1 in kinds:
+        block.with_anchors(*_flags(answers, 1, _cuts(block.asked, 49, log), 2))
+    else:
+        none = np.zeros(len(block.anchors), bool)
+        block.with_anchors(none, none)
+    block.cuts = _cuts(block.filed[block.head], 49, log)
 
-def _files(docs: DataFrame, pick: Pick) -> DataFrame:
-    """(h, u, k, doc_id, a, stop) of the runs that ``pick`` takes from each batch; offsets within the document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
+def _asking(stage: int, log: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The questions of the second and the third comparison."""
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for number, data in zip(left.column("block").to_pylist(), left.column("data").to_pylist(), strict=True):
+            block = Block(data)
+            spans_of(block, right, log)
+            if stage == 2:
+                at = block.head
+                filed, u = block.filed[at], block.u[at]
+                out.append(_questions(number, log, 49, filed, lambda a, b: [pack_sorted(filed[a:b]), pack(u[a:b]), block.pack_ids(at[a:b])]))  # noqa: B023
+            else:
+                block.with_runs(*_flags(right, 2, block.cuts, 2))
+                at = block.head
+                key = block.key[at]
+                out.append(_questions(number, log, 64, key, lambda a, b: [pack_sorted(key[a:b]), b"", block.pack_ids(at[a:b])]))  # noqa: B023
+        return pa.concat_tables(out) if out else _questions(0, log, 49, np.zeros(0, np.uint64), lambda a, b: [])
+
+    return ask
+
+
+def _asked_anchors(log: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
-            data, offsets = buffer_of(batch.column(1))
-            ids = _ids(batch)
-            r = pick(data, offsets, ids)
-            base = offsets[r.row]
-            columns = [pa.array(r.h.view(np.int64)), pa.array(r.content().view(np.int64)), pa.array(r.keys(ids).view(np.int64)), batch.column(0).take(pa.array(r.row)), pa.array((r.a - base).astype(np.int32)), pa.array((r.b + r.length - base).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "u", "k", "doc_id", "a", "stop"])
-
-    return docs.mapInArrow(run, f"h bigint, u bigint, k bigint, doc_id {kind}, a int, stop int")
-
-
-def _settled(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """Covered spans (doc_id, a, stop), and the keys ``h`` of the first runs of every content where an anchor has several."""
-    known = staged(rows.groupBy("h", "u").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.max("doc_id").alias("last")), label)
-    several = known.where("first.doc_id < last").select("h", "u", "first.doc_id")
-    covered = rows.join(several.withColumnRenamed("doc_id", "first"), ["h", "u"]).where("doc_id > first").select("doc_id", "a", "stop")
-    differ = known.groupBy("h").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("h")
-    return covered, known.join(differ, "h").select(F.col("first.k").alias("h"))
-
-
-def spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, a, stop): byte spans that go; they may overlap."""
-    sc = docs.sparkSession.sparkContext
-    own = docs.where("doc_id IS NOT NULL").select("doc_id", F.col(text).alias("_text"), F.xxhash64("doc_id").alias("_id"))
-    size = own.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    bits_log = bits_for(size)
-    parts_log = max(3, min(bits_log - 4, math.ceil(math.log2(max(1, size / PART_BYTES)))))
-
-    def anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        r = Runs(*buffer_of(batch.column(1)))
-        return r.h, r.row
-
-    shared: Broadcast = sc.broadcast(shared_filter(own, anchors, parts_log, bits_log))
-
-    def whole(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Runs:
-        r = Runs(data, offsets)
-        return r.only(has(shared.value, r.h))
-
-    covered, first = _settled(_files(own, whole), "runs")
-    out = [staged(covered, "covered")]
-    open_ = sc.broadcast(filter_of(first, bits_log))
-
-    def opened(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Runs:
-        r = whole(data, offsets, ids)
-        return r.only(has(open_.value, r.keys(ids)))
-
-    def strings(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        r = opened(*buffer_of(batch.column(1)), _ids(batch))
-        start, run = r.strings()
-        return span_hashes(r.data, start, start + LENGTH, 3), r.row[run]
-
-    twice = sc.broadcast(shared_filter(own, strings, parts_log, bits_log))
-
-    def stretches(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Runs:
-        r = opened(data, offsets, ids)
-        start, run = r.strings()
-        return r.narrowed(has(twice.value, span_hashes(data, start, start + LENGTH, 3)), start, run, False)
-
-    covered, first = _settled(_files(own, stretches), "stretches")
-    out.append(staged(covered, "covered"))
-    still = sc.broadcast(filter_of(first, bits_log))
-
-    def single(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Runs:
-        r = stretches(data, offsets, ids)
-        r.only(has(still.value, r.keys(ids)))
-        start, run = r.strings()
-        return r.narrowed(np.ones(len(start), bool), start, run, True)
-
-    covered, _ = _settled(_files(own, single), "strings")
-    out.append(staged(covered, "covered"))
-    for done in (shared, open_, twice, still):
-        done.unpersist()
-    return out[0].unionAll(out[1]).unionAll(out[2])
-
-
-def _merged(starts: list[int], stops: list[int], size: int) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(zip(starts, stops, strict=True)):
-        b = min(b, size)
-        if a >= b:
-            continue
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(b, out[-1][1])
-        else:
-            out.append((a, b))
-    return out
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys = Block(data).asked
+                yield from _questions(number, log, 49, keys, lambda a, b: [pack_sorted(keys[a:b]), b"", b""]).to_batches()  # noqa: B023
+
+    return run
+
+
+def _merged(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs of bytes under the spans, sorted; spans of one row meet where they touch."""
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], b[order]
+    reach = np.maximum.accumulate(b)  # rows follow each other in the block's bytes
+    new = np.ones(len(a), bool)
+    new[1:] = (row[1:] != row[:-1]) | (a[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    return row[first], a[first], reach[np.append(first[1:], len(a)) - 1] if len(a) else b
 
 
-def dedupe(docs: DataFrame, text: str = "text") -> DataFrame:
+_ROW = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
+
+
+def _rows(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray, kind: pa.DataType) -> pa.Table:
+    content = data.tobytes()
+    cut = np.searchsorted(row, np.arange(len(ids) + 1)).tolist()
+    a, b, offsets = a.tolist(), b.tolist(), offsets.tolist()
+    out: list[list] = [[], [], [], [], []]
+    for r in range(len(ids)):
+        lo, hi = offsets[r], offsets[r + 1]
+        own = list(zip(a[cut[r] : cut[r + 1]], b[cut[r] : cut[r + 1]], strict=True))
+        digest, last = hashlib.sha256(), lo
+        for x, y in own:
+            digest.update(content[last:x])
+            last = y
+        digest.update(content[last:hi])
+        for column, value in zip(out, (hi - lo, sum(y - x for x, y in own), len(own), digest.hexdigest(), ",".join(f"{x - lo}:{y - lo}" for x, y in own)), strict=True):
+            column.append(value)
+    kinds = pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()
+    return pa.table([ids.cast(kind), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=_ROW)
+
+
+def ranges_log(size: int) -> int:
+    return max(LEAST_RANGES_LOG, min(20, math.ceil(math.log2(max(1, size / RANGE_BYTES)))))
+
+
+def dedupe(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (start:stop in bytes)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    gone = spans(docs, text).groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("stop").alias("stop"))
+    kind, id_type = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
+    shape = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed string"
     own = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    both = own.join(gone, "doc_id", "left").select("doc_id", "a", "stop", "_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = Bucketed(blocks(own.where("doc_id IS NOT NULL")), "block", "texts")
+    held = table.rows.select("block", "data")
+    log = ranges_log(table.rows.agg(F.sum("size")).first()[0] or 0)
+
+    def compared(questions: DataFrame, answer: Callable[[pa.Table], pa.Table], label: str) -> DataFrame:
+        return staged(questions.groupBy("part").applyInArrow(answer, _ANSWER), label)
+
+    def beside(answers: DataFrame):
+        return held.groupBy("block").cogroup(answers.groupBy("block"))
+
+    answers = compared(held.mapInArrow(_asked_anchors(log), _QUESTION), _of_anchors(hot), "anchors")
+    answers = answers.unionAll(compared(beside(answers).applyInArrow(_asking(2, log), _QUESTION), _of_runs(id_type), "runs"))
+    answers = answers.unionAll(compared(beside(answers).applyInArrow(_asking(3, log), _QUESTION), _of_strings(id_type), "strings"))
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [pa.table([pa.array([], t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())], names=_ROW)]
+        for data in left.column("data").to_pylist():
+            block = Block(data)
+            spans_of(block, right, log)
+            block.with_runs(*_flags(right, 2, block.cuts, 2))
+            block.with_strings(*_flags(right, 3, _cuts(block.key[block.head], 64, log), 1))
+            spans = _merged(*(np.concatenate(x) for x in zip(*block.spans, strict=True)))
+            out.append(_rows(block.batch.column(0), block.data, block.offsets, *spans, id_type))
+        return pa.concat_tables(out)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
         for batch in pieces(batches, "_text"):
-            out: list[list] = [[], [], [], [], []]
-            for a, b, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                found = _merged(a or [], b or [], len(data))
-                digest, last = hashlib.sha256(), 0
-                for x, y in found:
-                    digest.update(data[last:x])
-                    last = y
-                digest.update(data[last:])
-                row = len(data), sum(y - x for x, y in found), len(found), digest.hexdigest(), ",".join(f"{x}:{y}" for x, y in found)
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            kinds = pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
-
-    return both.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed string")
+            yield from _rows(batch.column(0), *buffer_of(batch.column(1)), none, none, none, id_type).to_batches()
+
+    done = staged(beside(answers).applyInArrow(cut, shape), "substrings")
+    table.drop()
+    return done.unionAll(own.where("doc_id IS NULL").mapInArrow(whole, shape))

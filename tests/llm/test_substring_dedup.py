@@ -52,16 +52,49 @@ def test_equals_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("bits", [16, 20])
-def test_filters_only_save_work(spark, monkeypatch, bits):
-    monkeypatch.setattr(sd, "bits_for", lambda n: bits)
-    rows = texts()[:40]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sd.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+@pytest.mark.parametrize("hot", [0, 1])
+def test_hot_anchors_change_nothing(spark, hot):
+    rows = texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sd.dedupe(docs, hot=hot).collect() if r["doc_id"] is not None}
     assert got == brute(rows)
 
 
-def test_empty_table_and_filter_lookup(spark):
+def test_repeated_rows_and_a_text_longer_than_a_window(spark):
+    draw = random.Random(9)
+    long = "".join(draw.choice("abcdefgh \n") for _ in range(3 * sd.WINDOW + 77))
+    inner = long[sd.WINDOW - 200 : sd.WINDOW + 300]
+    rows = [(1, inner), (2, long), (2, long), (3, long[: 2 * sd.WINDOW]), (3, "tail " + inner), (4, long)]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in sd.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(long)
+    assert got == [(1, 500, 0, 0), (2, n, 500, 1), (2, n, 500, 1), (3, 505, 500, 1), (3, 2 * sd.WINDOW, 2 * sd.WINDOW, 1), (4, n, n, 1)]
+
+
+def test_ids_that_are_words(spark):
+    rows = [("b", "x" * 80), ("é", "x" * 60 + "y"), ("a", "x" * 50), ("B", "z" * 10)]
+    got = {r["doc_id"]: r["n_removed"] for r in sd.dedupe(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"b": 80, "é": 60, "a": 0, "B": 0}
+
+
+def test_windows_hold_every_string_once(monkeypatch):
+    monkeypatch.setattr(sd, "WINDOW", 100)
+    offsets = np.array([0, 30, 30, 95, 400, 449, 450, 700])
+    found = []
+    for row, lo, inner in sd.windows(offsets):
+        found += [(row + k, lo + p) for k in range(len(inner) - 1) for p in range(inner[k], inner[k + 1] - sd.LENGTH + 1)]
+    assert sorted(found) == [(k, p) for k in range(7) for p in range(offsets[k], offsets[k + 1] - sd.LENGTH + 1)]
+    data = np.frombuffer(b"".join(hashlib.sha256(bytes([k])).digest() for k in range(22))[:700], np.uint8)
+    covered = sorted(p for row, lo, inner in sd.windows(offsets) for a, b in zip(*sd.runs(data[lo : lo + inner[-1]], inner)[1:3], strict=True) for p in range(lo + a, lo + b + 1))
+    assert covered == sorted(p for _, p in found)
+
+
+def test_refined_buckets_tell_strings_apart():
+    data = np.frombuffer(b"abcabcabd" * 30, np.uint8)
+    ids = sd.buckets(data)
+    grams = [data[k : k + sd.GRAM].tobytes() for k in range(len(ids))]
+    assert len(set(ids.tolist())) == len(set(grams))
+    assert len(set(zip(ids.tolist(), grams, strict=True))) == len(set(grams))
+
+
+def test_empty_table(spark):
     assert sd.dedupe(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    bits = np.zeros((1 << 16) // 8, np.uint8)
-    bits[0xABCD >> 3] |= 1 << (0xABCD & 7)
-    assert sd.has(bits, np.array([0xABCD << 48, 0xABCE << 48], np.uint64)).tolist() == [True, False]
