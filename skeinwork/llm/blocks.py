@@ -25,7 +25,7 @@ BLOCK_BYTES = 8 << 20
 
 def pack(values: np.ndarray) -> bytes:
     """Numbers compressed byte plane by byte plane."""
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
@@ -80,14 +80,17 @@ def _gathered(batches: Iterator[pa.RecordBatch], text: str, at: int) -> Iterator
 
 
 class Bucketed:
-    """A DataFrame written to the shared folder in buckets of ``column``; ``drop`` forgets the table's name."""
+    """A DataFrame written to the shared folder in buckets of ``column``; ``drop`` forgets the table's name.
 
-    def __init__(self, df: DataFrame, column: str, label: str):
+    Where a column's rows are together already, as the blocks of a task are, ``deal`` is not needed: they go to one file.
+    """
+
+    def __init__(self, df: DataFrame, column: str, label: str, deal: bool = True):
         self.spark: SparkSession = df.sparkSession
         self.name = f"skeinwork_{label}_{uuid.uuid4().hex}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         path = f"{shared_dir(self.spark)}/skeinwork/{self.name}"
-        df.repartition(n, column).write.format("parquet").option("path", path).bucketBy(n, column).saveAsTable(self.name)
+        (df.repartition(n, column) if deal else df).write.format("parquet").option("path", path).bucketBy(n, column).saveAsTable(self.name)
 
     @property
     def rows(self) -> DataFrame:

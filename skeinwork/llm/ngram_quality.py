@@ -7,17 +7,22 @@ of the highest order give its lower orders (which count distinct left neighbours
 grams of one and two bytes add up over the shards. Those are a table of 65 536 probabilities for a language.
 Discounts follow from the counts of counts of each language and order.
 
-Documents travel as compressed blocks. Each block asks each shard for its own distinct grams, the questions meet the
-shard's counts in a join, and the answers go back to their blocks, which add up every document's log probability.
+Documents lie in compressed blocks that are written once, bucketed by the task that wrote them, so no text is shuffled.
+Which rows are trusted comes to a task's blocks as row numbers. Each block asks each shard for its own distinct grams,
+the questions meet the shard's counts, and the answers go back to the task's blocks, which add up every document's log
+probability. Questions about a shard are split into groups of ``QUESTIONS`` blocks, each of which gets the shard's
+counts, and counts are merged in a tree of ``FAN`` at a time, so no shard is too common for a task: a pair of bytes has
+at most 2^24 grams.
 
 A document is kept where its perplexity lies between two quantiles of its language's trusted documents, widened by
 ``SLACK`` times their distance from the median and, as a short text's mean varies more, by an allowance that falls
 with the root of its bytes: what is stranger than trusted text goes, and what is far duller. The quantiles come from
 histograms of log perplexity in steps of 1/256, which add up exactly.
 
-Trusted documents are those labelled 1; all their text counts. Texts without words are rejected with a null perplexity; a language
-without a model, null included, borrows the thresholds and the model of all trusted text together;
-rows that repeat are judged alike; empty tables give an empty result.
+Trusted documents are those labelled 1; all their text counts. Texts without words are rejected with a null perplexity;
+a language without a trusted byte, null included, borrows the thresholds and the model of all trusted text together;
+rows that repeat are judged alike; ids may be of any type; a long text is a block of its own and is worked off in
+pieces only where it shares its block; other columns may be null or have any name; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -26,14 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from skeinwork.llm.arrays import IS_SPACE, buffer_of, pieces
+from skeinwork.llm.blocks import Bucketed, blocks, opened, pack, pack_sorted, unpack, unpack_sorted
 from skeinwork.llm.common import staged
 
 ORDER = 5
@@ -41,11 +45,13 @@ LOW, HIGH = 0.005, 0.995
 SLACK = 0.5
 ALLOW_LOW, ALLOW_HIGH = 4.0, 1.0
 STEPS = 256
-#: Text bytes in a block; a block holds at least one document, whatever its size.
-BLOCK_BYTES = 16 << 20
+#: Text bytes that a task works on at a time.
+PIECE = 1 << 19
+#: Blocks that ask a shard together, and partial counts that are merged at a time.
+QUESTIONS, FAN = 256, 64
 #: Text bytes of the corpus for each shard of the model, and the bounds of their number; there are 2^16 pairs of bytes.
 SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 128 << 20, 32, 1 << 16
-ANY = "*"  # the language that stands for all
+ANY = "*"  # the model of all languages; a language's own model is its name after "="
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,31 +73,6 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
-def _language(column: pa.Array) -> list[str]:
-    return [x if x is not None else "" for x in column.to_pylist()]
-
-
-# --- packed grams --------------------------------------------------------------------------------------
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Numbers compressed byte plane by byte plane; sorted ones as differences are short."""
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
-
-
-def _unpack(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
-def _pack_grams(keys: np.ndarray) -> bytes:
-    return _pack(np.diff(keys, prepend=np.int64(0)))
-
-
-def _unpack_grams(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(data, np.int64))
-
-
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each gram: a hash of its third and fourth byte."""
     pair = ((keys >> 8) & 0xFFFF).astype(np.uint64)
@@ -119,63 +100,77 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 # --- counts and the model ------------------------------------------------------------------------------
 
 
-_COUNTS = "shard int, lang string, grams binary, counts binary"
+_COUNTS = "shard int, model string, part bigint, grams binary, counts binary"
 
 
-def counts(docs: DataFrame, ids: DataFrame | np.ndarray, shards: int, any_too: bool, text: str = "text") -> DataFrame:
-    """(shard, lang, grams, counts): the packed counts of the documents with these ids (a table of doc_id, or an array),
-    one row for each shard and language.
+def _by_model(batch: pa.RecordBatch, rows: np.ndarray | None = None) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """The rows of each model, with their places as ``_row``."""
+    models = np.array(batch.column(2).to_pylist())
+    every = batch.append_column("_row", pa.array(np.arange(batch.num_rows)))
+    chosen = np.ones(batch.num_rows, bool) if rows is None else np.isin(np.arange(batch.num_rows), rows)
+    for name in np.unique(models[chosen]):
+        yield str(name), every.filter(pa.array(chosen & (models == name)))
 
-    With ``any_too`` every gram also counts for the language ``ANY``.
-    """
-    if not isinstance(ids, DataFrame):
-        ids = docs.sparkSession.createDataFrame([(int(x),) for x in ids], "doc_id long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def tally() -> Iterator[pa.RecordBatch]:
-            for lang, found in held.items():
-                keys, n = _merged(found)
-                yield _count_rows(lang, keys, n, shards)
-            held.clear()
-
-        for batch in pieces(batches, "_text"):
-            langs = np.array(_language(batch.column(0)))
-            for lang in np.unique(langs):
-                some = batch.filter(pa.array(langs == lang))
-                tallied = _counted(grams(*buffer_of(some.column(1)))[0])
-                for name in (str(lang), ANY) if any_too else (str(lang),):
-                    held.setdefault(name, []).append(tallied)
-                    if sum(len(k) for k, _ in held[name]) > 4_000_000:
-                        held[name] = [_merged(held[name])]
-            if sum(len(k) for parts in held.values() for k, _ in parts) > 8_000_000:
-                yield from tally()
-        yield from tally()
-
-    picked = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select("lang", F.col(text).alias("_text"))
-    return _merged_rows(picked.mapInArrow(run, _COUNTS))
-
-
-def _merged_rows(parts: DataFrame) -> DataFrame:
-    """One row for each shard and language."""
+def trusted_rows(held: DataFrame, good: DataFrame, id_type: str) -> DataFrame:
+    """(task, block, row) of the documents in blocks whose ids are in ``good``."""
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task, block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = opened(data).column(0)
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([found, pa.array([task] * n, pa.int64()), pa.array([block] * n, pa.int64()), pa.array(np.arange(n), pa.int64())], ["doc_id", "task", "block", "row"])
+
+    return held.mapInArrow(ids, f"doc_id {id_type}, task bigint, block bigint, row bigint").join(good, "doc_id", "left_semi").select("task", "block", "row")
+
+
+def counts(held: DataFrame, trusted: DataFrame, tasks: int, shards: int) -> DataFrame:
+    """(shard, model, part, grams, counts): the packed counts of the trusted rows, one row for each shard and model."""
+
+    def tally(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        block_of, row_of = right.column("block").to_numpy(), right.column("row").to_numpy()
+        for block, data in zip(left.column("block").to_pylist(), left.column("data").to_pylist(), strict=True):
+            for model, rows in _by_model(opened(data), row_of[block_of == block]):
+                for piece in pieces(iter([rows]), "_text", PIECE):
+                    parts.setdefault(model, []).append(_counted(grams(*buffer_of(piece.column(3)))[0]))
+                    if sum(len(k) for k, _ in parts[model]) > 4_000_000:
+                        parts[model] = [_merged(parts[model])]
+        task = left.column("task")[0].as_py() if left.num_rows else 0
+        return pa.Table.from_batches([_count_rows(model, task, *_merged(found), shards) for model, found in parts.items()], _COUNTS_ARROW)
+
+    return _merged_rows(held.groupBy("task").cogroup(trusted.groupBy("task")).applyInArrow(tally, _COUNTS), tasks)
+
+
+_COUNTS_ARROW = pa.schema([("shard", pa.int32()), ("model", pa.string()), ("part", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+
+def _merged_rows(rows: DataFrame, parts: int) -> DataFrame:
+    """One row for each shard and model, ``FAN`` parts of each at a time."""
 
     def merge(group: pa.Table) -> pa.Table:
-        rows = zip(group.column("grams").to_pylist(), group.column("counts").to_pylist(), strict=True)
-        keys, n = _merged([(_unpack_grams(g), _unpack(c, np.int64)) for g, c in rows])
-        return pa.table({"shard": group.column("shard")[:1], "lang": group.column("lang")[:1], "grams": pa.array([_pack_grams(keys)], pa.binary()), "counts": pa.array([_pack(n)], pa.binary())})
+        merged = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for g, c in zip(group.column("grams"), group.column("counts"), strict=True):
+            merged = _merged([merged, (unpack_sorted(g.as_py(), np.int64), unpack(c.as_py(), np.int64))])
+        return pa.table([group.column("shard")[:1], group.column("model")[:1], group.column("part")[:1], pa.array([pack_sorted(merged[0])], pa.binary()), pa.array([pack(merged[1])], pa.binary())], schema=_COUNTS_ARROW)
 
-    return parts.groupBy("shard", "lang").applyInArrow(merge, _COUNTS)
+    while True:
+        rows = rows.withColumn("part", F.expr(f"part div {FAN}")).groupBy("shard", "model", "part").applyInArrow(merge, _COUNTS)
+        parts = -(-parts // FAN)
+        if parts <= 1:
+            return rows
 
 
-def with_any(top: DataFrame) -> DataFrame:
-    """``top`` with the counts of all languages together as those of ``ANY``."""
-    return top.where(F.col("lang") != ANY).unionByName(_merged_rows(top.withColumn("lang", F.lit(ANY))))
+def with_any(top: DataFrame, models: int) -> DataFrame:
+    """``top`` with the counts of all models together as those of ``ANY``."""
+    numbered = top.withColumn("part", F.expr(f"pmod(xxhash64(model), {models})")).withColumn("model", F.lit(ANY))
+    return top.unionByName(_merged_rows(numbered, models))
 
 
-def _count_rows(lang: str, keys: np.ndarray, n: np.ndarray, shards: int) -> pa.RecordBatch:
-    rows = [(s, _pack_grams(keys[at]), _pack(n[at].astype(np.int64))) for s, at in _dealt(keys, shards)]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([lang] * len(rows), pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "lang", "grams", "counts"])
+def _count_rows(model: str, task: int, keys: np.ndarray, n: np.ndarray, shards: int) -> pa.RecordBatch:
+    rows = [(s, pack_sorted(keys[at]), pack(n[at].astype(np.int64))) for s, at in _dealt(keys, shards)]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([model] * len(rows), pa.string()), pa.array([task] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=_COUNTS_ARROW)
 
 
 def _orders(keys: np.ndarray, n: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -221,45 +216,39 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, otherwis
     return np.where(keys[at] == asked, values[at], otherwise)
 
 
-def low_orders(top: DataFrame) -> dict[str, tuple[dict[int, np.ndarray], np.ndarray]]:
-    """For each language: the discounts of orders 3 to 5, and the probabilities of all pairs of bytes.
-
-    What reaches the driver is bounded: 65 536 sums and a few numbers for each language.
-    """
+def low_orders(top: DataFrame) -> DataFrame:
+    """(model, low): for each model the packed discounts of orders 3 to 5 and the probabilities of all pairs of bytes."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, g, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                orders = _orders(_unpack_grams(g), _unpack(c, np.int64))
+            for model, g, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                orders = _orders(unpack_sorted(g, np.int64), unpack(c, np.int64))
                 pairs, n = orders[2]
-                names = [int(p) for p in pairs] + [-(10 * order + k + 1) for order in (3, 4, 5) for k in range(4)]
-                sums = [int(x) for x in n] + [int(x) for order in (3, 4, 5) for x in _count_of_counts(orders[order][1])]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names, pa.int32()), pa.array(sums, pa.int64())], ["lang", "what", "n"])
-
-    sums = top.mapInArrow(part, "lang string, what int, n bigint").groupBy("lang", "what").agg(F.sum("n").alias("n"))
-    found = sums.toArrow()
-    langs, what, n = np.array(found.column("lang").to_pylist()), found.column("what").to_numpy(), found.column("n").to_numpy()
-    out = {}
-    for lang in np.unique(langs) if len(langs) else []:
-        some = langs == lang
-        stats = dict(zip(what[some].tolist(), n[some].tolist(), strict=True))
-        discounts = {order: _discounts(np.array([stats.get(-(10 * order + k), 0) for k in (1, 2, 3, 4)], np.float64)) for order in (3, 4, 5)}
+                names = np.append(pairs, [-(10 * order + k + 1) for order in (3, 4, 5) for k in range(4)])
+                sums = np.concatenate([n, *(_count_of_counts(orders[order][1]) for order in (3, 4, 5))])
+                yield pa.RecordBatch.from_arrays([pa.array([model] * len(names), pa.string()), pa.array(names, pa.int32()), pa.array(sums, pa.int64())], ["model", "what", "n"])
+
+    def lows(group: pa.Table) -> pa.Table:
+        stats = dict(zip(group.column("what").to_pylist(), group.column("n").to_pylist(), strict=True))
+        discounts = [_discounts(np.array([stats.get(-(10 * order + k), 0) for k in (1, 2, 3, 4)], np.float64)) for order in (3, 4, 5)]
         pairs = np.array(sorted(k for k in stats if k >= 0), np.int64)
         two = pairs, np.array([stats[k] for k in pairs.tolist()], np.int64)
         one = _counted(pairs & 0xFF)
-        level = {1: Level(*one, _discounts(_count_of_counts(one[1]))), 2: Level(*two, _discounts(_count_of_counts(two[1])))}
-        single = level[1].over(np.arange(256), np.full(256, 1 / 256))
+        single = Level(*one, _discounts(_count_of_counts(one[1]))).over(np.arange(256), np.full(256, 1 / 256))
         both = np.arange(1 << 16)
-        out[str(lang)] = discounts, level[2].over(both, single[both & 0xFF])
-    return out
+        known = Level(*two, _discounts(_count_of_counts(two[1]))).over(both, single[both & 0xFF])
+        return pa.table({"model": group.column("model")[:1], "low": pa.array([pack(np.concatenate([*discounts, known]))], pa.binary())})
+
+    sums = top.select("model", "grams", "counts").mapInArrow(part, "model string, what int, n bigint").groupBy("model", "what").agg(F.sum("n").alias("n"))
+    return sums.groupBy("model").applyInArrow(lows, "model string, low binary")
 
 
 class Shard:
-    """The model of one shard and language."""
+    """The model of one shard, from its packed grams, counts and lower orders."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, discounts: dict[int, np.ndarray], pairs: np.ndarray):
-        orders = _orders(keys, n)
-        self.levels, self.pairs = [(order, Level(*orders[order], discounts[order])) for order in (3, 4, 5)], pairs
+    def __init__(self, grams: bytes, counts: bytes, low: bytes):
+        orders, numbers = _orders(unpack_sorted(grams, np.int64), unpack(counts, np.int64)), unpack(low, np.float64)
+        self.levels, self.pairs = [(order, Level(*orders[order], numbers[3 * k : 3 * k + 3])) for k, order in enumerate((3, 4, 5))], numbers[9:]
 
     def probabilities(self, asked: np.ndarray) -> np.ndarray:
         """P(e | a b c d) of grams a b c d e."""
@@ -272,136 +261,85 @@ class Shard:
 # --- scoring -------------------------------------------------------------------------------------------
 
 
-def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(block, data): compressed runs of documents; a block's id is the digest of what it holds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in _gathered(batches):
-            with pa.BufferOutputStream() as sink:
-                with pa.ipc.new_stream(sink, batch.schema) as writer:
-                    writer.write_batch(batch)
-                raw = sink.getvalue()
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(raw)], pa.int64()), pa.array([pack.compress(raw)], pa.binary())], ["block", "data"])
-
-    picked = docs.select("doc_id", "lang", F.col(text).alias("_text"))
-    return picked.mapInArrow(run, "block bigint, data binary")
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``BLOCK_BYTES`` of text."""
-    held, size = [], 0
-    for piece in pieces(batches, "_text", BLOCK_BYTES // 4):
-        held.append(piece)
-        size += piece.column(2).nbytes
-        if size >= BLOCK_BYTES:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
-def _digest(raw: pa.Buffer) -> int:
-    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
-
-
-def _by_language(batch: pa.RecordBatch, known: set[str]) -> dict[str, pa.RecordBatch]:
-    langs = np.array([x if x in known else ANY for x in _language(batch.column(1))])
-    return {str(x): batch.append_column("_row", pa.array(np.arange(batch.num_rows))).filter(pa.array(langs == x)) for x in np.unique(langs)}
-
-
-def _opened(data: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_next_batch()
-
-
-def asked(packed: DataFrame, known: set[str], shards: int) -> DataFrame:
-    """(shard, lang, block, grams): what each block needs to know of each shard."""
+def asked(held: DataFrame, shards: int, groups: int) -> DataFrame:
+    """(shard, model, salt, task, block, grams): what each block needs to know of each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for lang, rows in _by_language(_opened(data), known).items():
+            for task, block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for model, rows in _by_model(opened(data)):
                     found: list[np.ndarray] = []
-                    for piece in pieces(iter([rows]), "_text"):
-                        found.append(_counted(grams(*buffer_of(piece.column(2)))[0])[0])
-                        if sum(map(len, found)) > 4_000_000:
+                    for piece in pieces(iter([rows]), "_text", PIECE):
+                        found.append(_counted(grams(*buffer_of(piece.column(3)))[0])[0])
+                        if sum(map(len, found)) > 2_000_000:
                             found = [_counted(np.concatenate(found))[0]]
                     keys = _counted(np.concatenate(found))[0]
-                    out = [(s, _pack_grams(keys[at])) for s, at in _dealt(keys, shards)]
-                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([lang] * len(out), pa.string()), pa.array([block] * len(out), pa.int64()), pa.array([g for _, g in out], pa.binary())], ["shard", "lang", "block", "grams"])
+                    out = [(s, pack_sorted(keys[at])) for s, at in _dealt(keys, shards)]
+                    n = len(out)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([s for s, _ in out], pa.int32()), pa.array([model] * n, pa.string()), pa.array([(block + (block >> 33)) % groups] * n, pa.int64()), pa.array([task] * n, pa.int64()), pa.array([block] * n, pa.int64()), pa.array([g for _, g in out], pa.binary())],
+                        ["shard", "model", "salt", "task", "block", "grams"],
+                    )
 
-    return packed.mapInArrow(run, "shard int, lang string, block bigint, grams binary")
+    return held.mapInArrow(run, "shard int, model string, salt bigint, task bigint, block bigint, grams binary")
 
 
-_ANSWER = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("grams", pa.binary()), ("logp", pa.binary())])
+_ANSWER = pa.schema([("task", pa.int64()), ("block", pa.int64()), ("model", pa.string()), ("grams", pa.binary()), ("logp", pa.binary())])
 
 
-def answered(questions: DataFrame, top: DataFrame, low: dict[str, tuple[dict[int, np.ndarray], np.ndarray]]) -> DataFrame:
-    """(block, lang, grams, logp): each question with its log probabilities; without a model they are uniform."""
-    shared = questions.sparkSession.sparkContext.broadcast(low)
+def answered(questions: DataFrame, top: DataFrame, low: DataFrame, shards: int, groups: int) -> DataFrame:
+    """(task, block, model, grams, logp): each question with its log probabilities; without a model they are uniform."""
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _ANSWER.empty_table()
-        lang = left.column("lang")[0].as_py()
-        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if right.num_rows:
-            keys, n = _unpack_grams(right.column("grams")[0].as_py()), _unpack(right.column("counts")[0].as_py(), np.int64)
-        model = Shard(keys, n, *shared.value[lang]) if lang in shared.value else None
+        model = Shard(*(right.column(c)[0].as_py() for c in ("grams", "counts", "low"))) if right.num_rows else None
         out = []
         for g in left.column("grams").to_pylist():
-            own = _unpack_grams(g)
+            own = unpack_sorted(g, np.int64)
             p = model.probabilities(own) if model else np.full(len(own), 1 / 256)
-            out.append(_pack(np.log(p).astype(np.float32)))
-        return pa.table([left.column("block"), left.column("lang"), left.column("grams"), pa.array(out, pa.binary())], schema=_ANSWER)
+            out.append(pack(np.log(p).astype(np.float32)))
+        return pa.table([left.column("task"), left.column("block"), left.column("model"), left.column("grams"), pa.array(out, pa.binary())], schema=_ANSWER)
 
-    both = questions.groupBy("shard", "lang").cogroup(top.groupBy("shard", "lang"))
-    return both.applyInArrow(answer, "block bigint, lang string, grams binary, logp binary")
+    # a shard without counts of a model still has the model's lower orders
+    empty = pack(np.zeros(0, np.int64))
+    every = low.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    parts = every.join(top.select("shard", "model", "grams", "counts"), ["shard", "model"], "left")
+    filled = parts.select("shard", "model", *(F.coalesce(c, F.lit(bytearray(empty))).alias(c) for c in ("grams", "counts")), "low").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
+    both = questions.groupBy("shard", "model", "salt").cogroup(filled.groupBy("shard", "model", "salt"))
+    return both.applyInArrow(answer, "task bigint, block bigint, model string, grams binary, logp binary")
 
 
-def perplexities(docs: DataFrame, top: DataFrame, low: dict[str, tuple[dict[int, np.ndarray], np.ndarray]], shards: int, text: str = "text") -> DataFrame:
+def perplexities(held: DataFrame, told: DataFrame, id_type) -> DataFrame:
     """A row for each document: doc_id, lang, n_bytes, perplexity (for each byte; null without words)."""
-    packed, kind, known = blocks(docs, text), docs.schema["doc_id"].dataType.simpleString(), set(low)
-    told = answered(asked(packed, known, shards), top, low)
-    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    shape = pa.schema([("doc_id", id_type), ("lang", pa.string()), ("n_bytes", pa.int64()), ("perplexity", pa.float64())])
+    shape = pa.schema([("doc_id", to_arrow_type(id_type)), ("lang", pa.string()), ("n_bytes", pa.int64()), ("perplexity", pa.float64())])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: dict[str, tuple[list, list]] = {}
-        for lang, g, p in zip(right.column("lang").to_pylist(), right.column("grams").to_pylist(), right.column("logp").to_pylist(), strict=True):
-            parts = found.setdefault(lang, ([], []))
-            parts[0].append(_unpack_grams(g))
-            parts[1].append(_unpack(p, np.float32))
-        tables = {}
-        for lang, (keys, values) in found.items():
-            keys, values = np.concatenate(keys), np.concatenate(values)
-            order = np.argsort(keys, kind="stable")
-            tables[lang] = keys[order], values[order]
-        found.clear()
-        out = []
-        copies = left.column("data").to_pylist()
-        for data in dict.fromkeys(copies):  # equal blocks have equal answers
-            batch = _opened(data)
+        out = [shape.empty_table()]
+        block_of, model_of = right.column("block").to_numpy(), right.column("model").to_pylist()
+        for block, data in zip(left.column("block").to_pylist(), left.column("data").to_pylist(), strict=True):
+            batch = opened(data)
             total, size, wordy = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
-            for lang, whole in _by_language(batch, known).items():
-                keys, values = tables.get(lang, (np.zeros(0, np.int64), np.zeros(0, np.float32)))
-                for rows in pieces(iter([whole]), "_text"):
-                    content, offsets = buffer_of(rows.column(2))
+            mine = np.flatnonzero(block_of == block).tolist()
+            for model, whole in _by_model(batch):
+                some = [i for i in mine if model_of[i] == model]
+                keys = np.concatenate([np.zeros(0, np.int64), *(unpack_sorted(right.column("grams")[i].as_py(), np.int64) for i in some)])
+                values = np.concatenate([np.zeros(0, np.float32), *(unpack(right.column("logp")[i].as_py(), np.float32) for i in some)])
+                order = np.argsort(keys, kind="stable")
+                keys, values = keys[order], values[order]
+                for rows in pieces(iter([whole]), "_text", PIECE):
+                    content, offsets = buffer_of(rows.column(3))
                     key, row = grams(content, offsets)
-                    at = rows.column(3).to_numpy()
+                    at = rows.column(4).to_numpy()
                     size[at] = np.diff(offsets)
                     if len(key):
-                        place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                        if not len(keys) or not (keys[place] == key).all():
-                            raise RuntimeError("a block came back with other content; its questions have to be asked again")
-                        total[at] = np.bincount(row, values[place], len(at))
+                        total[at] = np.bincount(row, values[np.searchsorted(keys, key)], len(at))
                         wordy[at] = np.bincount(row, ~IS_SPACE[content], len(at)) > 0
             value = np.exp(-total / np.maximum(size, 1))
-            table = pa.table([batch.column(0), batch.column(1), pa.array(size), pa.array(value, mask=~wordy)], schema=shape)
-            out += [table] * copies.count(data)
-        return pa.concat_tables(out) if out else shape.empty_table()
+            out.append(pa.table([batch.column(0), batch.column(1), pa.array(size), pa.array(value, mask=~wordy)], schema=shape))
+        return pa.concat_tables(out)
 
-    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"doc_id {kind}, lang string, n_bytes bigint, perplexity double")
+    return held.groupBy("task").cogroup(told.groupBy("task")).applyInArrow(score, f"doc_id {id_type.simpleString()}, lang string, n_bytes bigint, perplexity double")
 
 
 def shards_for(n_bytes: int) -> int:
@@ -422,13 +360,21 @@ def thresholds(trusted: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """A row for each document: doc_id, lang, n_bytes, perplexity, low, high, kept."""
     good = labels.where("quality = 1").select("doc_id").distinct()
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    shards = shards_for(size)
-    top = staged(counts(docs, good, shards, False, text), "grams")
-    strange = docs.select(F.coalesce("lang", F.lit("")).alias("lang")).distinct().join(top.select("lang").distinct(), "lang", "left_anti")
-    if not strange.isEmpty():
-        top = staged(with_any(top), "grams")
-    scored = staged(perplexities(docs, top, low_orders(top), shards, text), "perplexity")
+    id_type, tag = docs.schema["doc_id"].dataType, F.concat(F.lit("="), F.coalesce("lang", F.lit("")))
+    some = docs.where(F.octet_length(text) > 0).select("doc_id", tag.alias("_own")).join(good, "doc_id", "left_semi")
+    own = staged(some.select("_own").distinct(), "languages")
+    named = docs.select("doc_id", "lang", F.col(text).alias("_text"), tag.alias("_tag")).join(own, F.col("_tag") == F.col("_own"), "left")
+    cut_up = blocks(named.select("doc_id", "lang", F.coalesce("_own", F.lit(ANY)).alias("model"), "_text"))
+    texts = Bucketed(cut_up.select(F.shiftright("block", 33).alias("task"), "block", "size", "data"), "task", "texts", deal=False)
+    held = texts.rows.select("task", "block", "data")
+    whole = texts.rows.agg(F.sum("size").alias("size"), F.count("*").alias("blocks"), F.max("task").alias("task")).first()
+    shards, groups = shards_for(whole["size"] or 0), -(-max(1, whole["blocks"]) // QUESTIONS)
+    top = staged(counts(held, trusted_rows(held, good, id_type.simpleString()), (whole["task"] or 0) + 1, shards), "grams")
+    if not docs.select(tag.alias("_tag")).join(own, F.col("_tag") == F.col("_own"), "left_anti").isEmpty():
+        top = staged(with_any(top, max(1, own.count())), "grams")
+    told = answered(asked(held, shards, groups), top, staged(low_orders(top), "low"), shards, groups)
+    scored = staged(perplexities(held, told, id_type), "perplexity")
+    texts.drop()
     logs = scored.withColumn("logppl", F.ln("perplexity"))
     cut = staged(thresholds(logs.where("logppl IS NOT NULL").join(good, "doc_id", "left_semi").select("lang", "logppl")), "thresholds")
     own = cut.withColumnRenamed("lang", "_lang")

@@ -118,7 +118,8 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     a, at = start[first], place[first]
     b = start[np.append(first[1:], len(start)) - 1] if len(start) else a
     content = finish(span_hashes(data, a, b + LENGTH) + (at - a).astype(np.uint64))
-    return np.searchsorted(offsets, a, "right") - 1, a, b, ids[at], refined(ids[at], content)
+    anchor = finish(ids[at])  # least identifiers are small; this spreads them over the ranges
+    return np.searchsorted(offsets, a, "right") - 1, a, b, anchor, refined(anchor, content)
 
 
 def strings(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

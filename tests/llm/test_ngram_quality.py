@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 from skeinwork.llm import ngram_quality as nq
+from skeinwork.llm.blocks import blocks, unpack_sorted
+from skeinwork.llm.common import staged
 
 TEXTS = [
     (1, "the cat sat on the mat and the dog sat on the log", "en"),
@@ -77,15 +79,36 @@ def test_perplexities_equal_the_textbook(spark):
 
 def test_probabilities_sum_to_one(spark):
     docs, labels = frames(spark)
-    top = nq.counts(docs, np.array(GOOD), 4, True)
-    low = nq.low_orders(top)
-    for lang, row in {(r["lang"]): r for r in top.collect()}.items():
-        keys, n = nq._unpack_grams(row["grams"]), nq._unpack(row["counts"], np.int64)
-        shard = nq.Shard(keys, n, *low[lang])
-        for context in keys[:20] >> 8:
+    named = docs.selectExpr("doc_id", "lang", "concat('=', coalesce(lang, '')) AS model", "text AS _text")
+    held = staged(blocks(named).selectExpr("shiftright(block, 33) AS task", "block", "data"), "test")
+    trusted = nq.trusted_rows(held, labels.where("quality = 1").select("doc_id"), "bigint")
+    top = nq.with_any(nq.counts(held, trusted, 4, 4), 2)
+    low = {r["model"]: r["low"] for r in nq.low_orders(top).collect()}
+    rows = top.collect()
+    assert {r["model"] for r in rows} == {"=en", "=de", nq.ANY} and len(rows) == len({(r["model"], r["shard"]) for r in rows})
+    for row in rows:
+        shard = nq.Shard(row["grams"], row["counts"], low[row["model"]])
+        for context in unpack_sorted(row["grams"], np.int64)[:20] >> 8:
             assert shard.probabilities((context << 8) | np.arange(256)).sum() == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("fan, questions", [(2, 1)])
+def test_small_groups_give_the_same(spark, monkeypatch, fan, questions):
+    docs, labels = frames(spark)
+    want = {r["doc_id"]: r["perplexity"] for r in nq.judge(docs.repartition(1), labels).collect()}
+    monkeypatch.setattr(nq, "FAN", fan)
+    monkeypatch.setattr(nq, "QUESTIONS", questions)
+    got = {r["doc_id"]: r["perplexity"] for r in nq.judge(docs.repartition(6), labels).collect()}
+    assert {k: v and round(v, 4) for k, v in got.items()} == {k: v and round(v, 4) for k, v in want.items()}
+
+
+def test_ids_that_are_words_and_a_long_text(spark):
+    docs, labels = frames(spark, [*TEXTS, (20, "the cat and the dog " * 60_000, "en")])
+    want = {str(r["doc_id"]): r["perplexity"] for r in nq.judge(docs, labels).collect()}
+    got = {r["doc_id"]: r["perplexity"] for r in nq.judge(docs.withColumn("doc_id", docs.doc_id.cast("string")), labels.withColumn("doc_id", labels.doc_id.cast("string"))).collect()}
+    assert got == want and got["20"] > 1
+
+
 def test_repeats_clashes_and_empty_tables(spark):
     docs, labels = frames(spark, TEXTS + TEXTS[:2])
     odd = docs.selectExpr("*", "'x' AS low", "1 AS kept", "2 AS block")
