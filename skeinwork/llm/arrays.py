@@ -88,11 +88,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of byte spans, from prefix sums of a polynomial; equal spans have equal hashes."""
+    return sequence_hashes(data.astype(np.uint64) + np.uint64(1 + seed), starts, ends)
+
+
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of numbers; equal spans have equal hashes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1 + seed)) * _power(_BASE, len(data)), out=total[1:])
-    x = (total[ends] - total[starts]) * _power(_INVERSE, len(data))[starts]
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power(_BASE, len(values)), out=total[1:])
+    x = (total[ends] - total[starts]) * _power(_INVERSE, len(values))[starts]
     return finish(x ^ ((ends - starts).astype(np.uint64) * _A))
 
 

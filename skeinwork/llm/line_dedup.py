@@ -1,116 +1,179 @@
 """Substring deduplication by hashing units.
 
-A unit is a line. It is normalised (A-Z lower-cased, runs of white space to one space, trimmed) and hashed to
-128 bits; digests are grouped over all documents and the occurrence with the least (doc_id, offset) stays.
-The others go, with their offsets in the original text (code points, ends exclusive) kept. Units of fewer than
-``MIN_WORDS`` words always stay: they repeat by chance.
-
-Each task first reduces its own units to their earliest occurrences, so a unit that a third of all documents
-share arrives as a row for each task; Spark splits the join where one unit's rows are many. Null and empty texts
-have no units and come out empty; a document whose id repeats is one document with the units of all its rows,
-and so is removed from in every row alike; null ids stay whole; an empty table gives an empty result.
+A unit is a line or a part of one that ends with a punctuation mark: a new unit begins with each word that follows a
+line's end or a word ending in one of ``ENDS``, and reaches to the next unit. A unit is normalised (A-Z lower-cased, a
+space between words) and hashed; digests are grouped over all documents, and the document with the least id keeps its
+occurrences. Elsewhere the unit is a repeat. Repeats go where neighbouring ones together have ``MIN_WORDS`` words or
+more, so that a passage goes however it is wrapped and wherever in a line it begins, and a stock line or a short
+phrase that repeats by chance stays. Spans are offsets in the original text (code points, ends exclusive).
+
+Documents lie in blocks that are written once (``blocks.Bucketed``); a block asks about its own distinct units
+(``ranges``), so a unit that a third of all documents share is one entry for each block, and no text is joined.
+Digests have 64 bits: two different units are taken for equal with a chance of 2^-64 a pair.
+
+Null and empty texts have no units and come out empty; rows with one id don't repeat each other; null ids stay whole
+and lend nothing; ids of any type that can be compared will do; a long text is a block of its own and is read whole;
+other columns may be null or have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from skeinwork.llm.arrays import pieces
-
-MIN_WORDS = 8
-_GAPS = re.compile(rb"[\x20\x09-\x0d]+")
-
-
-def key_of(line: bytes, min_words: int = MIN_WORDS) -> bytes | None:
-    """The digest of a line's normal form; None where the line always stays."""
-    flat = _GAPS.sub(b" ", line.lower()).strip(b" ")
-    return hashlib.md5(flat).digest() if flat.count(b" ") >= min_words - 1 else None
-
-
-def units(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, key, start, stop) of every unit that may go, in code points."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
-            rows, keys, starts, stops = [], [], [], []
-            for row, data in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                at = 0
-                for line in (data or b"").split(b"\n"):
-                    n = len(line) if line.isascii() else len(line.decode("utf-8", "replace"))
-                    if (key := key_of(line, min_words)) is not None:
-                        rows.append(row)
-                        keys.append(key)
-                        starts.append(at)
-                        stops.append(at + n)
-                    at += n + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.binary()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], ["doc_id", "key", "start", "stop"])
-
-    picked = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col(text).alias("_text"))
-    return picked.mapInArrow(run, f"doc_id {kind}, key binary, start bigint, stop bigint")
-
-
-def repeated(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The units that go: (doc_id, start, stop, first_doc_id)."""
-    every = units(docs, text, min_words)
-    first = every.groupBy("key").agg(F.min("doc_id").alias("first_doc_id"), F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = every.join(first, "key").where(F.struct("doc_id", "start") != F.col("first"))
-    return again.select("doc_id", "start", "stop", "first_doc_id")
+from pyspark.sql.pandas.types import to_arrow_type
+
+from skeinwork.llm.arrays import buffer_of, pieces, sequence_hashes, span_hashes, words
+from skeinwork.llm.blocks import Bucketed, blocks, opened, pack_sorted
+from skeinwork.llm.common import staged
+from skeinwork.llm.ranges import ANSWER, QUESTION, cuts_of, flags_of, grouped, heads_of, of_least, pack_ids, questions, ranges_log, ranks_of
+
+MIN_WORDS = 35
+ENDS = ".,!?;:"
+PIECE = 1 << 19
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_ENDS = np.zeros(256, bool)
+_ENDS[[ord(c) for c in ENDS]] = True
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, number of words, digest) of the units of some texts in order."""
+    starts, ends, bounds = words(data, offsets)
+    if not len(starts):
+        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64))
+    row = np.searchsorted(offsets, starts, "right") - 1
+    lines = np.concatenate([[0], np.cumsum(data == 10)])
+    new = np.ones(len(starts), bool)
+    new[1:] = (row[1:] != row[:-1]) | _ENDS[data[ends[:-1] - 1]] | (lines[starts[1:]] != lines[ends[:-1]])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(starts))
+    return row[first], starts[first], last - first, sequence_hashes(span_hashes(_FOLD[data], starts, ends), first, last)
+
+
+class Block:
+    """The units of a block, and of its distinct ones the first documents."""
+
+    def __init__(self, data: bytes):
+        self.batch = opened(data)
+        self.rank = ranks_of(self.batch.column(0))
+        found, at, base = [], 0, 0
+        for piece in pieces(iter([self.batch]), "_text", PIECE):
+            content, offsets = buffer_of(piece.column(1))
+            row, start, n, key = units(content, offsets)
+            found.append((row + at, start + base, n, key))
+            at, base = at + piece.num_rows, base + len(content)
+        self.row, self.start, self.n, key = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        rank = self.rank[self.row]
+        self.order = np.lexsort((rank, key))
+        key, rank = key[self.order], rank[self.order]
+        heads = heads_of(key)
+        self.asked, self.head, self.group = key[heads], self.order[heads], grouped(heads, len(key))
+        self.late = rank != rank[heads][self.group]
+
+    def repeats(self, covered: np.ndarray) -> np.ndarray:
+        """Whether each unit, in order, is one that a smaller document has."""
+        out = np.empty(len(self.order), bool)
+        out[self.order] = self.late | covered[self.group]
+        return out
+
+
+def stretches(row: np.ndarray, n: np.ndarray, repeat: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first unit, unit after the last) of neighbouring repeats of one row with enough words together."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (repeat[1:] != repeat[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row))
+    total = np.concatenate([[0], np.cumsum(n)])
+    keep = repeat[first] & (total[last] - total[first] >= min_words) if len(first) else np.zeros(0, bool)
+    return first[keep], last[keep]
+
+
+_ROW = ["doc_id", "n_removed", "n_removed_chars", "removed", "kept_text"]
+
+
+def _rows(batch: pa.RecordBatch, row: np.ndarray, count: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """The result for a block from the byte spans that go and their numbers of units."""
+    content, offsets = buffer_of(batch.column(1))
+    chars = np.concatenate([[0], np.cumsum((content & 0xC0) != 0x80)])
+    data, cut = content.tobytes(), np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+    out: list[list] = [[], [], [], []]
+    for r in range(batch.num_rows):
+        lo, hi = int(offsets[r]), int(offsets[r + 1])
+        spans, kept, last = [], [], lo
+        for x, y in zip(a[cut[r] : cut[r + 1]].tolist(), b[cut[r] : cut[r + 1]].tolist(), strict=True):
+            kept.append(data[last:x])
+            spans.append((int(chars[x] - chars[lo]), int(chars[y] - chars[lo])))
+            last = y
+        kept.append(data[last:hi])
+        values = int(count[cut[r] : cut[r + 1]].sum()), sum(y - x for x, y in spans), ",".join(f"{x}:{y}" for x, y in spans), b"".join(kept).decode()
+        for column, value in zip(out, values, strict=True):
+            column.append(value)
+    kinds = pa.int64(), pa.int64(), pa.string(), pa.string()
+    return pa.table([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=_ROW)
 
 
 def dedupe(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each document: doc_id, n_removed, n_removed_chars, removed (spans), first_doc_ids, kept_text.
-
-    ``removed`` lists start:stop, comma-joined; ``kept_text`` has the remaining lines.
-    """
-    spans = F.sort_array(F.collect_set(F.struct("start", "stop", "first_doc_id")))
-    gone = repeated(docs, text, min_words).groupBy("doc_id").agg(spans.alias("spans"))
+    """A row for each document: doc_id, n_removed (units), n_removed_chars, removed (start:stop of stretches), kept_text."""
+    kind, id_type = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
+    shape = f"doc_id {kind}, n_removed bigint, n_removed_chars bigint, removed string, kept_text string"
     own = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    both = own.join(gone, "doc_id", "left")
-    kept = both.select(
-        "doc_id",
-        F.coalesce(F.size("spans"), F.lit(0)).alias("n_removed"),
-        F.coalesce(F.transform("spans", lambda s: s["start"]), F.array().cast("array<bigint>")).alias("_starts"),
-        F.coalesce(F.transform("spans", lambda s: s["stop"]), F.array().cast("array<bigint>")).alias("_stops"),
-        F.coalesce(F.transform("spans", lambda s: s["first_doc_id"]), F.array().cast("array<bigint>")).alias("_firsts"),
-        "_text",
-    )
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(_without, f"doc_id {kind}, n_removed bigint, n_removed_chars bigint, removed string, first_doc_ids string, kept_text string")
-
-
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "_text"):
-        doc_id, _, starts, stops, firsts, texts = batch.columns
-        out: list[list] = [[], [], [], [], []]
-        for s, e, f, text in zip(starts.to_pylist(), stops.to_pylist(), firsts.to_pylist(), texts.to_pylist(), strict=True):
-            goes, at, lines = set(s), 0, []
-            for line in text.split("\n") if goes else [text]:
-                if at not in goes:
-                    lines.append(line)
-                at += len(line) + 1
-            values = len(s), sum(e) - sum(s), ",".join(f"{a}:{b}" for a, b in zip(s, e, strict=True)), ",".join(map(str, sorted(set(f)))), "\n".join(lines)
-            for column, value in zip(out, values, strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([doc_id, *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_removed", "n_removed_chars", "removed", "first_doc_ids", "kept_text"])
+    table = Bucketed(blocks(own.where("doc_id IS NOT NULL")), "block", "lines")
+    held = table.rows.select("block", "data")
+    log = ranges_log(table.rows.agg(F.sum("size")).first()[0] or 0)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                block = Block(data)
+                row = lambda a, b: [pack_sorted(block.asked[a:b]), b"", pack_ids(block.batch.column(0), block.rank, block.row[block.head[a:b]])]  # noqa: E731, B023
+                yield from questions(number, log, 64, block.asked, row).to_batches()
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for data in left.column("data").to_pylist():
+            block = Block(data)
+            repeat = block.repeats(*flags_of(right, 1, cuts_of(block.asked, 64, log), 1))
+            first, last = stretches(block.row, block.n, repeat, min_words)
+            offsets = buffer_of(block.batch.column(1))[1]
+            starts = np.append(block.start, 0)
+            same = np.append(block.row[1:] == block.row[:-1], [False])[last - 1]  # else the text ends with the stretch
+            stop = np.where(same, starts[last], offsets[block.row[first] + 1])
+            out.append(_rows(block.batch, block.row[first], last - first, block.start[first], stop))
+        return pa.concat_tables(out)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        for batch in pieces(batches, "_text"):
+            yield from _rows(batch, none, none, none, none).to_batches()
+
+    answers = staged(held.mapInArrow(ask, QUESTION).groupBy("part").applyInArrow(of_least(id_type, 1), ANSWER), "units")
+    done = staged(held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, shape), "lines")
+    table.drop()
+    return done.unionAll(own.where("doc_id IS NULL").mapInArrow(whole, shape))
 
 
 ORACLE_SQL = r"""
-WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
-, u AS (SELECT doc_id, i, lines[i] AS line, CAST(coalesce(list_sum([len(x) + 1 FOR x IN lines[:i - 1]]), 0) AS BIGINT) AS a FROM l, unnest(range(1, len(lines) + 1)) AS r(i))
-, n AS (SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS flat FROM u)
-, k AS (SELECT doc_id, i, line, a, a + len(line) AS b, CASE WHEN len(string_split(flat, ' ')) >= 8 THEN md5(flat) END AS key FROM n)
-, f AS (SELECT *, first_value(doc_id) OVER w AS fd, row_number() OVER w AS rn FROM k WINDOW w AS (PARTITION BY key ORDER BY doc_id, a))
-, g AS (SELECT *, key IS NOT NULL AND rn > 1 AS gone FROM f)
-SELECT doc_id, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, CAST(coalesce(sum(b - a) FILTER (gone), 0) AS BIGINT) AS n_removed_chars,
-    coalesce(string_agg(a || ':' || b, ',' ORDER BY a) FILTER (gone), '') AS removed,
-    coalesce(array_to_string(list_sort(list_distinct(list(fd) FILTER (gone))), ','), '') AS first_doc_ids,
-    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept_text
-FROM g GROUP BY doc_id
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+, w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS w FROM d)
+, p AS (SELECT doc_id, i, w[i] AS piece, regexp_extract(w[i], '^[^\x20\x09-\x0D]+') AS word,
+    i > 1 AND (regexp_matches(w[greatest(i - 1, 1)], '[.,!?;:][\x20\x09-\x0D]+$') OR contains(w[greatest(i - 1, 1)], chr(10))) OR i = 1 AS new
+    FROM w, unnest(range(1, len(w) + 1)) AS r(i))
+, u AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM p)
+, k AS (SELECT doc_id, u, count(*) AS n, sum(length(piece)) AS chars,
+    string_agg(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' ORDER BY i) AS key FROM u GROUP BY doc_id, u)
+, f AS (SELECT *, min(doc_id) OVER (PARTITION BY key) < doc_id AS rep FROM k)
+, s AS (SELECT *, u - row_number() OVER (PARTITION BY doc_id, rep ORDER BY u) AS stretch,
+    sum(chars) OVER (PARTITION BY doc_id ORDER BY u) AS upto FROM f)
+, g AS (SELECT *, rep AND sum(n) OVER (PARTITION BY doc_id, rep, stretch) >= 35 AS gone FROM s)
+, h AS (SELECT doc_id, stretch, count(*) AS n, min(upto - chars) AS a, max(upto) AS b FROM g WHERE gone GROUP BY doc_id, stretch)
+, lead AS (SELECT doc_id, t, length(regexp_extract(t, '^[\x20\x09-\x0D]*')) AS lead FROM d)
+, r AS (SELECT doc_id, sum(n) AS n, sum(b - a) AS chars, string_agg((a + lead) || ':' || (b + lead), ',' ORDER BY a) AS removed FROM h JOIN lead USING (doc_id) GROUP BY doc_id)
+, q AS (SELECT doc_id, string_agg(piece, '' ORDER BY i) AS kept FROM (SELECT u.doc_id, u.i, u.piece FROM u JOIN g USING (doc_id, u) WHERE NOT gone) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(r.chars, 0) AS BIGINT) AS n_removed_chars, coalesce(removed, '') AS removed,
+    left(t, lead) || coalesce(kept, '') AS kept_text
+FROM lead LEFT JOIN r USING (doc_id) LEFT JOIN q USING (doc_id)
 """

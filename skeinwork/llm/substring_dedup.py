@@ -36,7 +36,6 @@ other columns may be null or have any name.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,15 +45,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from skeinwork.llm.arrays import buffer_of, finish, mix, pieces, span_hashes
-from skeinwork.llm.blocks import Bucketed, blocks, opened, pack, pack_batch, pack_sorted, unpack, unpack_sorted
+from skeinwork.llm.blocks import Bucketed, blocks, opened, pack, pack_sorted, unpack, unpack_sorted
 from skeinwork.llm.common import staged
+from skeinwork.llm.ranges import ANSWER, QUESTION, answer_rows, cuts_of, flags_of, grouped, heads_of, of_least, pack_ids, questions, ranges_log, ranks_of, unpacked_ids
 
 LENGTH = 50
 GRAM = 32
 #: Bytes of text that a task refines at a time.
 WINDOW = 1 << 18
-#: Text bytes for each range of identifiers.
-RANGE_BYTES, LEAST_RANGES_LOG = 32 << 20, 6
 #: An anchor in more blocks than this is hot.
 HOT = 64
 _PLACE = np.uint64((1 << 28) - 1)
@@ -134,31 +132,9 @@ def strings(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return refined(ids[at], ids[at + LENGTH - GRAM]) if len(at) else np.zeros(0, np.uint64), run, a[run] + step
 
 
-def _heads(*columns: np.ndarray) -> np.ndarray:
-    """Where rows of sorted columns begin a new group."""
-    new = np.ones(len(columns[0]), bool)
-    if len(new):
-        new[1:] = False
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(new)
-
-
-def _grouped(heads: np.ndarray, n: int) -> np.ndarray:
-    """The group of each of n sorted rows."""
-    return np.repeat(np.arange(len(heads)), np.diff(np.append(heads, n)))
-
-
 # --- a block's part ------------------------------------------------------------------------------------
 
 
-def _ranks(ids: pa.Array) -> np.ndarray:
-    """Numbers that compare as the ids do."""
-    if pa.types.is_integer(ids.type):
-        return ids.to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.unique(np.array(ids.to_pylist(), object), return_inverse=True)[1] if len(ids) else np.zeros(0, np.int64)
-
-
 class Block:
     """A block's open positions, from one comparison to the next."""
 
@@ -170,15 +146,15 @@ class Block:
             r, a, b, h, u = runs(self.data[lo : lo + int(offsets[-1])], offsets)
             parts.append((r + row, a + lo, b + lo, h >> _16, u))
         self.row, self.a, self.b, h, self.u = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-        self.rank = _ranks(self.batch.column(0))
+        self.rank = ranks_of(self.batch.column(0))
         order = np.lexsort((self.row, h))
         h = h[order]
-        heads = _heads(h)
+        heads = heads_of(h)
         self.anchor = np.empty(len(h), np.int64)
-        self.anchor[order] = _grouped(heads, len(h))
+        self.anchor[order] = grouped(heads, len(h))
         self.anchors = h[heads]
         many = np.zeros(len(heads), bool)
-        many[_grouped(heads, len(h))[1:][(h[1:] == h[:-1]) & (self.row[order][1:] != self.row[order][:-1])]] = True
+        many[grouped(heads, len(h))[1:][(h[1:] == h[:-1]) & (self.row[order][1:] != self.row[order][:-1])]] = True
         self.asked = (self.anchors << _1) | many
 
     def with_anchors(self, shared: np.ndarray, hot: np.ndarray) -> None:
@@ -190,8 +166,8 @@ class Block:
         order = np.lexsort((rank, u, filed))
         keep = keep[order]
         self.row, self.a, self.b, self.u, self.filed, rank = self.row[keep], self.a[keep], self.b[keep], u[order], filed[order], rank[order]
-        self.head = _heads(self.filed, self.u)
-        self.group = _grouped(self.head, len(keep))
+        self.head = heads_of(self.filed, self.u)
+        self.group = grouped(self.head, len(keep))
         self.first = rank == rank[self.head][self.group]
 
     def with_runs(self, covered: np.ndarray, open_: np.ndarray) -> None:
@@ -204,60 +180,19 @@ class Block:
         rank = self.rank[self.row]
         order = np.lexsort((rank, self.key))
         self.key, self.start, self.row, rank = self.key[order], self.start[order], self.row[order], rank[order]
-        self.head = _heads(self.key)
-        self.group = _grouped(self.head, len(order))
+        self.head = heads_of(self.key)
+        self.group = grouped(self.head, len(order))
         self.first = rank == rank[self.head][self.group]
 
     def with_strings(self, covered: np.ndarray) -> None:
         gone = ~self.first | covered[self.group]
         self.spans.append((self.row[gone], self.start[gone], self.start[gone] + LENGTH))
 
-    def pack_ids(self, at: np.ndarray) -> bytes:
-        ids = self.batch.column(0)
-        if pa.types.is_integer(ids.type):
-            return pack(self.rank[self.row[at]])
-        return pack_batch(pa.RecordBatch.from_arrays([ids.take(pa.array(self.row[at]))], ["id"]))
-
-
-def _unpacked_ids(messages: list[bytes], kind: pa.DataType) -> np.ndarray:
-    if pa.types.is_integer(kind):
-        return np.concatenate([unpack(m, np.int64) for m in messages])
-    return _ranks(pa.concat_arrays([opened(m).column(0) for m in messages]))
 
 
 # --- the three comparisons -----------------------------------------------------------------------------
 
 
-def _cuts(keys: np.ndarray, bits: int, log: int) -> np.ndarray:
-    """Where the ranges begin in sorted keys of so many bits; there are 2^log ranges."""
-    return np.append(np.searchsorted(keys, np.arange(1 << log, dtype=np.uint64) << np.uint64(bits - log)), len(keys))
-
-
-def _bits(*flags: np.ndarray) -> bytes:
-    return b"".join(np.packbits(f).tobytes() for f in flags)
-
-
-def _flags(answers: pa.Table, kind: int, cuts: np.ndarray, n: int) -> list[np.ndarray]:
-    """The flags that the ranges answered, n for each entry, in the order of the entries."""
-    out = [np.zeros(int(cuts[-1]), bool) for _ in range(n)]
-    for k, part, data in zip(answers.column("kind").to_pylist(), answers.column("part").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-        if k == kind:
-            size = int(cuts[part + 1] - cuts[part])
-            for flags, bits in zip(out, np.split(np.frombuffer(data, np.uint8), n), strict=True):
-                flags[cuts[part] : cuts[part + 1]] = np.unpackbits(bits, count=size)
-    return out
-
-
-def _answer_rows(group: pa.Table, kind: int, sizes: list[int], *flags: np.ndarray) -> pa.Table:
-    ends = np.cumsum(sizes)
-    data = [_bits(*(f[e - n : e] for f in flags)) for e, n in zip(ends, sizes, strict=True)]
-    n = group.num_rows
-    return pa.table({"block": group.column("block"), "kind": pa.array([kind] * n, pa.int32()), "part": group.column("part"), "bits": pa.array(data, pa.binary())})
-
-
-_ANSWER = "block bigint, kind int, part int, bits binary"
-
-
 def _of_anchors(hot: int) -> Callable[[pa.Table], pa.Table]:
     """Which anchors several documents have, and which are in more than ``hot`` blocks."""
 
@@ -266,12 +201,12 @@ def _of_anchors(hot: int) -> Callable[[pa.Table], pa.Table]:
         values = np.concatenate(found)
         order = np.argsort(values, kind="stable")
         key = values[order] >> _1
-        heads = _heads(key)
+        heads = heads_of(key)
         times = np.diff(np.append(heads, len(key)))
         shared = (times > 1) | (np.bitwise_or.reduceat(values[order], heads) & _1 == 1)
         flags = np.empty((2, len(key)), bool)
-        flags[:, order] = np.stack([shared, times > hot])[:, _grouped(heads, len(key))]
-        return _answer_rows(group, 1, [len(x) for x in found], *flags)
+        flags[:, order] = np.stack([shared, times > hot])[:, grouped(heads, len(key))]
+        return answer_rows(group, 1, [len(x) for x in found], *flags)
 
     return answer
 
@@ -282,56 +217,28 @@ def _of_runs(kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
     def answer(group: pa.Table) -> pa.Table:
         found = [unpack_sorted(d, np.uint64) for d in group.column("data").to_pylist()]
         filed, u = np.concatenate(found), np.concatenate([unpack(d, np.uint64) for d in group.column("contents").to_pylist()])
-        rank = _unpacked_ids(group.column("ids").to_pylist(), kind)
+        rank = unpacked_ids(group.column("ids").to_pylist(), kind)
         order = np.lexsort((rank, u, filed))
         filed, u, rank = filed[order], u[order], rank[order]
-        heads, tops = _heads(filed, u), _heads(filed)
-        late = rank != rank[heads][_grouped(heads, len(rank))]
+        heads, tops = heads_of(filed, u), heads_of(filed)
+        late = rank != rank[heads][grouped(heads, len(rank))]
         several = (filed[tops] & _1 == 1) | (u[tops] != u[np.append(tops[1:], len(u)) - 1])
         flags = np.empty((2, len(rank)), bool)
-        flags[:, order] = np.stack([late, ~late & several[_grouped(tops, len(rank))]])
-        return _answer_rows(group, 2, [len(x) for x in found], *flags)
+        flags[:, order] = np.stack([late, ~late & several[grouped(tops, len(rank))]])
+        return answer_rows(group, 2, [len(x) for x in found], *flags)
 
     return answer
 
 
-def _of_strings(kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
-    """Which strings a smaller document has."""
-
-    def answer(group: pa.Table) -> pa.Table:
-        found = [unpack_sorted(d, np.uint64) for d in group.column("data").to_pylist()]
-        key, rank = np.concatenate(found), _unpacked_ids(group.column("ids").to_pylist(), kind)
-        order = np.lexsort((rank, key))
-        heads = _heads(key[order])
-        flags = np.empty(len(key), bool)
-        flags[order] = rank[order] != rank[order][heads][_grouped(heads, len(key))]
-        return _answer_rows(group, 3, [len(x) for x in found], flags)
-
-    return answer
-
-
-def _questions(block: int, log: int, bits: int, keys: np.ndarray, row: Callable[[int, int], list[bytes]]) -> pa.Table:
-    """A row (part, block, ...) for each range that the sorted keys reach; ``row`` packs the entries from a to b."""
-    cuts = _cuts(keys, bits, log)
-    parts = np.flatnonzero(np.diff(cuts))
-    packed = [row(int(cuts[p]), int(cuts[p + 1])) for p in parts]
-    names = ["data", "contents", "ids"]
-    columns = [pa.array([p[k] for p in packed], pa.binary()) for k in range(3)]
-    return pa.table([pa.array(parts, pa.int32()), pa.array([block] * len(parts), pa.int64()), *columns], names=["part", "block", *names])
-
-
-_QUESTION = "part int, block bigint, data binary, contents binary, ids binary"
-
-
 def spans_of(block: Block, answers: pa.Table, log: int) -> None:
     """Take the block as far as the answers go."""
     kinds = set(answers.column("kind").to_pylist())
     if 1 in kinds:
-        block.with_anchors(*_flags(answers, 1, _cuts(block.asked, 49, log), 2))
+        block.with_anchors(*flags_of(answers, 1, cuts_of(block.asked, 49, log), 2))
     else:
         none = np.zeros(len(block.anchors), bool)
         block.with_anchors(none, none)
-    block.cuts = _cuts(block.filed[block.head], 49, log)
+    block.cuts = cuts_of(block.filed[block.head], 49, log)
 
 
 def _asking(stage: int, log: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -345,13 +252,13 @@ def _asking(stage: int, log: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             if stage == 2:
                 at = block.head
                 filed, u = block.filed[at], block.u[at]
-                out.append(_questions(number, log, 49, filed, lambda a, b: [pack_sorted(filed[a:b]), pack(u[a:b]), block.pack_ids(at[a:b])]))  # noqa: B023
+                out.append(questions(number, log, 49, filed, lambda a, b: [pack_sorted(filed[a:b]), pack(u[a:b]), pack_ids(block.batch.column(0), block.rank, block.row[at[a:b]])]))  # noqa: B023
             else:
-                block.with_runs(*_flags(right, 2, block.cuts, 2))
+                block.with_runs(*flags_of(right, 2, block.cuts, 2))
                 at = block.head
                 key = block.key[at]
-                out.append(_questions(number, log, 64, key, lambda a, b: [pack_sorted(key[a:b]), b"", block.pack_ids(at[a:b])]))  # noqa: B023
-        return pa.concat_tables(out) if out else _questions(0, log, 49, np.zeros(0, np.uint64), lambda a, b: [])
+                out.append(questions(number, log, 64, key, lambda a, b: [pack_sorted(key[a:b]), b"", pack_ids(block.batch.column(0), block.rank, block.row[at[a:b]])]))  # noqa: B023
+        return pa.concat_tables(out) if out else questions(0, log, 49, np.zeros(0, np.uint64), lambda a, b: [])
 
     return ask
 
@@ -361,7 +268,7 @@ def _asked_anchors(log: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys = Block(data).asked
-                yield from _questions(number, log, 49, keys, lambda a, b: [pack_sorted(keys[a:b]), b"", b""]).to_batches()  # noqa: B023
+                yield from questions(number, log, 49, keys, lambda a, b: [pack_sorted(keys[a:b]), b"", b""]).to_batches()  # noqa: B023
 
     return run
 
@@ -399,10 +306,6 @@ def _rows(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, row: np.ndarray,
     return pa.table([ids.cast(kind), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=_ROW)
 
 
-def ranges_log(size: int) -> int:
-    return max(LEAST_RANGES_LOG, min(20, math.ceil(math.log2(max(1, size / RANGE_BYTES)))))
-
-
 def dedupe(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (start:stop in bytes)."""
     kind, id_type = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
@@ -413,22 +316,22 @@ def dedupe(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
     log = ranges_log(table.rows.agg(F.sum("size")).first()[0] or 0)
 
     def compared(questions: DataFrame, answer: Callable[[pa.Table], pa.Table], label: str) -> DataFrame:
-        return staged(questions.groupBy("part").applyInArrow(answer, _ANSWER), label)
+        return staged(questions.groupBy("part").applyInArrow(answer, ANSWER), label)
 
     def beside(answers: DataFrame):
         return held.groupBy("block").cogroup(answers.groupBy("block"))
 
-    answers = compared(held.mapInArrow(_asked_anchors(log), _QUESTION), _of_anchors(hot), "anchors")
-    answers = answers.unionAll(compared(beside(answers).applyInArrow(_asking(2, log), _QUESTION), _of_runs(id_type), "runs"))
-    answers = answers.unionAll(compared(beside(answers).applyInArrow(_asking(3, log), _QUESTION), _of_strings(id_type), "strings"))
+    answers = compared(held.mapInArrow(_asked_anchors(log), QUESTION), _of_anchors(hot), "anchors")
+    answers = answers.unionAll(compared(beside(answers).applyInArrow(_asking(2, log), QUESTION), _of_runs(id_type), "runs"))
+    answers = answers.unionAll(compared(beside(answers).applyInArrow(_asking(3, log), QUESTION), of_least(id_type, 3), "strings"))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [pa.table([pa.array([], t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())], names=_ROW)]
         for data in left.column("data").to_pylist():
             block = Block(data)
             spans_of(block, right, log)
-            block.with_runs(*_flags(right, 2, block.cuts, 2))
-            block.with_strings(*_flags(right, 3, _cuts(block.key[block.head], 64, log), 1))
+            block.with_runs(*flags_of(right, 2, block.cuts, 2))
+            block.with_strings(*flags_of(right, 3, cuts_of(block.key[block.head], 64, log), 1))
             spans = _merged(*(np.concatenate(x) for x in zip(*block.spans, strict=True)))
             out.append(_rows(block.batch.column(0), block.data, block.offsets, *spans, id_type))
         return pa.concat_tables(out)
