@@ -2,24 +2,30 @@
 
 Items are cut into segments of at most ``SEGMENT`` words, and the segments are indexed: for each term the segments
 that have it with their BM25 impacts, and, for block-max pruning, the largest impact in every block of ``BLOCK``
-segments. A passage is two neighbouring runs of ``SEGMENT`` words, each run belonging to two passages, so a segment
-lies whole in some passage. A segment is retrieved where a passage scores at least ``RETRIEVE`` of what the segment
-scores against itself.
+segments and where the block's postings lie. Document frequencies, the number of segments and their mean length are
+taken over all items, however the index is cut. A passage is two neighbouring runs of ``SEGMENT`` words, each run
+belonging to two passages, so a segment lies whole in some passage. A segment is retrieved where a passage scores at
+least ``RETRIEVE`` of what the segment scores against itself.
 
 As in WAND, each segment's commonest terms whose impacts together stay below its threshold are optional: a passage
-without any of its other terms can't reach it. Optional terms are never looked up first: passages are held against
-the essential postings of blocks, then of segments, and only those whose bound reaches the threshold are scored in
-full. All passages of a batch go through each step together.
-
-Retrieved items are verified: the shares of their question's and answer's word shingles (the last sentence is the
-answer) that the document has must both reach ``OVERLAP``. Words are compared without case and outer punctuation.
-
-The index is broadcast in blocks of ``ITEMS`` items, each queried by all documents. Null and empty texts and items
-match nothing; rows and items that repeat match alike; empty tables give an empty result; other columns may be null.
+without any of its other terms can't reach it, so optional terms have no postings. A passage first adds up the largest
+impacts of blocks; only the postings of blocks whose bound reaches the least threshold in them are read, and only
+segments whose sum of those and all optional terms reaches their own threshold are scored in full, term by term of
+the segment. All passages of a batch go through each step together.
+
+Retrieved items are verified on the passage and as many words around it as the item can reach: the shares of the
+question's and the answer's word shingles (the last sentence is the answer) that stand there must both reach
+``OVERLAP``. Words are compared without case and outer punctuation.
+
+The index is built in tasks, in parts of about ``INDEX_WORDS`` words of items, so that a part's size is bounded; one
+part at a time is broadcast and all documents query it. Null and empty texts and items match nothing; null ids match
+nothing; rows and items that repeat match alike; ids may be of any type; a long text is queried whole, passage by
+passage; other columns may be null or have any name; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,12 +35,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skeinwork.llm.arrays import buffer_of, pieces, shingles, span_hashes, words
+from skeinwork.llm.common import staged
 
 SEGMENT = 64
 BLOCK = 16
-ITEMS = 50_000
+#: Words of items in a part of the index: some 40 bytes each when broadcast.
+INDEX_WORDS = 500_000
 RETRIEVE = 0.5
 OVERLAP = 0.6
 K1, B = 1.2, 0.75
@@ -72,49 +81,85 @@ class Postings:
         order = np.lexsort((place, term))
         return Postings(np.searchsorted(term[order], np.arange(n + 1)), place[order], impact[order])
 
-    def expand(self, query: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, place, impact) of all postings of the (query, term) rows."""
-        count = self.at[term + 1] - self.at[term]
-        total = np.cumsum(count)
-        row = np.repeat(np.arange(len(term)), count)
-        at = np.arange(total[-1] if len(total) else 0) - (total - count)[row] + self.at[term][row]
-        return query[row], self.place[at], self.impact[at]
+    def rows(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``key``, place in the postings) of all postings of some keys."""
+        return _spread(self.at[key], self.at[key + 1])
+
+
+def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, number) of all numbers in some ranges."""
+    count = stop - start
+    total = np.cumsum(count)
+    which = np.repeat(np.arange(len(count)), count)
+    return which, np.arange(total[-1] if len(total) else 0) - (total - count)[which] + start[which]
 
 
 @dataclass
 class Index:
-    """The index of some items; ``parts`` has each item's question and answer shingles."""
+    """The index of some items.
+
+    ``essential`` and ``blocks`` are by term, ``cuts`` says where a block's postings begin in ``essential``, ``forward``
+    has each segment's terms; ``parts`` has each item's question and answer shingles and ``size`` its words.
+    """
 
     ids: list
     terms: np.ndarray
     item: np.ndarray
     threshold: np.ndarray
     optional: np.ndarray
-    full: Postings
+    forward: Postings
     essential: Postings
     blocks: Postings
+    cuts: np.ndarray
     parts: list[tuple[np.ndarray, np.ndarray]]
+    size: np.ndarray
+
+
+@dataclass
+class Statistics:
+    """Document frequencies by sorted term, and the number and the mean length of all segments."""
+
+    terms: np.ndarray
+    df: np.ndarray
+    segments: int
+    mean: float
 
 
-def build(ids: list, texts: list[str]) -> Index | None:
-    """The index of items with at least one word; None where there are none."""
+def _segments(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(item, words) of each segment, (term, segment, count) of their distinct terms, and each item's words."""
     hashes, bounds = terms_of(pa.array(texts, pa.string()))
-    segs = [(i, a, min(a + SEGMENT, bounds[i + 1])) for i in range(len(ids)) for a in range(bounds[i], bounds[i + 1], SEGMENT)]
-    if not segs:
+    size = np.diff(bounds)
+    count = -(-size // SEGMENT)
+    item, k = _spread(np.zeros(len(size), np.int64), count)
+    length = np.minimum(size[item] - k * SEGMENT, SEGMENT)
+    word_item = np.repeat(np.arange(len(size)), size)
+    seg = (np.cumsum(count) - count)[word_item] + (np.arange(len(hashes)) - bounds[:-1][word_item]) // SEGMENT
+    order = np.lexsort((hashes, seg))
+    term, place = hashes[order], seg[order]
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (place[1:] != place[:-1])
+    first = np.flatnonzero(new)
+    return item, length, term[first], place[first], np.diff(np.append(first, len(term))), size
+
+
+def statistics(texts: list[str]) -> Statistics:
+    """The statistics of some items by themselves."""
+    _, length, term, _, _, _ = _segments(texts)
+    terms, df = np.unique(term, return_counts=True)
+    return Statistics(terms, df, len(length), float(length.mean()) if len(length) else 1.0)
+
+
+def build(ids: list, texts: list[str], known: Statistics | None = None) -> Index | None:
+    """The index of items with at least one word; None where there are none. ``known`` are the statistics of all items."""
+    known = known or statistics(texts)
+    item, length, term, place, tf, size = _segments(texts)
+    n = len(item)
+    if not n:
         return None
-    vocabulary, code = np.unique(hashes, return_inverse=True)
-    term, place, tf = [], [], []
-    for s, (_, a, b) in enumerate(segs):
-        t, c = np.unique(code[a:b], return_counts=True)
-        term.append(t)
-        tf.append(c)
-        place.append(np.full(len(t), s))
-    term, place, tf = np.concatenate(term), np.concatenate(place), np.concatenate(tf).astype(np.float64)
-    n = len(segs)
-    df = np.bincount(term, minlength=len(vocabulary))
-    length = np.array([b - a for _, a, b in segs], np.float64)
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[place] / length.mean()))
+    vocabulary, term = np.unique(term, return_inverse=True)
+    df = known.df[np.searchsorted(known.terms, vocabulary)].astype(np.float64)
+    idf = np.log(1 + (known.segments - df + 0.5) / (df + 0.5))
+    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[place] / known.mean))
     own = np.bincount(place, impact, n)
     threshold = RETRIEVE * own
     # from the commonest term on, terms stay optional while their impacts sum to less than the threshold
@@ -126,13 +171,12 @@ def build(ids: list, texts: list[str]) -> Index | None:
     optional_row[order] = run - before[place[order]] < threshold[place[order]] * (1 - 1e-9)
     optional = np.bincount(place, np.where(optional_row, impact, 0.0), n)
     must = ~optional_row
-    keys = term[must].astype(np.int64) * (n // BLOCK + 1) + place[must] // BLOCK
-    uniq, back = np.unique(keys, return_inverse=True)
-    most = np.zeros(len(uniq))
-    np.maximum.at(most, back, impact[must])
-    size = len(vocabulary)
-    blocks = Postings.of(uniq // (n // BLOCK + 1), uniq % (n // BLOCK + 1), most, size)
-    return Index(ids, vocabulary, np.array([i for i, _, _ in segs]), threshold, optional, Postings.of(term, place, impact, size), Postings.of(term[must], place[must], impact[must], size), blocks, [_halves(t) for t in texts])
+    essential = Postings.of(term[must], place[must], impact[must], len(vocabulary))
+    wide = n // BLOCK + 1
+    keys = np.repeat(np.arange(len(vocabulary)), np.diff(essential.at)) * wide + essential.place // BLOCK
+    heads, cuts = np.unique(keys, return_index=True)
+    blocks = Postings(np.searchsorted(heads // wide, np.arange(len(vocabulary) + 1)), heads % wide, np.maximum.reduceat(essential.impact, cuts) if len(cuts) else np.zeros(0))
+    return Index(ids, vocabulary, item, threshold, optional, Postings.of(place, term, impact, n), essential, blocks, np.append(cuts, len(keys)), [_halves(t) for t in texts], size)
 
 
 def _halves(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -153,16 +197,14 @@ def _halves(text: str) -> tuple[np.ndarray, np.ndarray]:
     return (whole, whole) if whole is not None else (halves[0], halves[1])
 
 
-def _sums(query: np.ndarray, place: np.ndarray, value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    key = query.astype(np.int64) * width + place
-    order = np.argsort(key, kind="stable")
-    key, value = key[order], value[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[first] // width, key[first] % width, np.add.reduceat(value, first) if len(first) else np.zeros(0)
+def _totals(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, each row's place among them, the sums of their values)."""
+    keys, back = np.unique(key, return_inverse=True)
+    return keys, back, np.bincount(back, value, len(keys))
 
 
-def retrieve(index: Index, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float]]:
-    """(row, item, best score over threshold) of all rows and items some passage retrieves."""
+def retrieve(index: Index, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(row, item, passage of the row, score over threshold) of all that some passage retrieves."""
     code = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
     known = np.flatnonzero(index.terms[code] == hashes)
     if not len(known):
@@ -182,83 +224,103 @@ def retrieve(index: Index, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple
     passage, term = queries(np.flatnonzero(np.diff(index.essential.at)[code]))
     n = len(index.threshold)
     wide = n // BLOCK + 1
-    pad = wide * BLOCK - n
-    slack = np.concatenate([index.threshold - index.optional, np.full(pad, np.inf)]).reshape(wide, BLOCK)
-    p, b, bound = _sums(*index.blocks.expand(passage, term), wide)
-    alive = bound >= slack.min(1)[b] * (1 - 1e-9)  # block-max: no segment of the block can be reached below this
-    if not alive.any():
-        return []
-    open_blocks = np.unique(p[alive].astype(np.int64) * wide + b[alive])
-    q, s, score = index.essential.expand(passage, term)
-    inside = np.isin(q.astype(np.int64) * wide + s // BLOCK, open_blocks)
-    q, s, score = _sums(q[inside], s[inside], score[inside], n)
-    near = score + index.optional[s] >= index.threshold[s] * (1 - 1e-9)
-    wanted = np.unique(q[near].astype(np.int64) * n + s[near])
+    slack = np.concatenate([index.threshold - index.optional, np.full(wide * BLOCK - n, np.inf)]).reshape(wide, BLOCK)
+    row_of, at = index.blocks.rows(term)
+    keys, back, bound = _totals(passage[row_of] * wide + index.blocks.place[at], index.blocks.impact[at])
+    alive = np.flatnonzero((bound >= slack.min(1)[keys % wide] * (1 - 1e-9))[back])  # no other block holds a segment in reach
+    which, posting = _spread(index.cuts[at[alive]], index.cuts[at[alive] + 1])
+    keys, _, score = _totals(passage[row_of[alive]][which] * n + index.essential.place[posting], index.essential.impact[posting])
+    wanted = keys[score + index.optional[keys % n] >= index.threshold[keys % n] * (1 - 1e-9)]
     if not len(wanted):
         return []
     held = np.zeros(base[-1] + 1, bool)
     held[wanted // n] = True
-    q, s, score = index.full.expand(*queries(np.flatnonzero(held[run] | held[run + 1])))
-    inside = np.isin(q.astype(np.int64) * n + s, wanted)
-    q, s, score = _sums(q[inside], s[inside], score[inside], n)
-    hit = score >= index.threshold[s] * (1 - 1e-9)
-    best: dict[tuple[int, int], float] = {}
-    rows = np.searchsorted(base, q[hit], "right") - 1
-    for r, i, x in zip(rows.tolist(), index.item[s[hit]].tolist(), (score[hit] / index.threshold[s[hit]]).tolist(), strict=True):
-        best[r, i] = max(x, best.get((r, i), 0.0))
-    return [(r, i, x) for (r, i), x in sorted(best.items())]
-
-
-def _blocks(items: DataFrame, text: str) -> Iterator[tuple[list, list[str]]]:
-    """The items in blocks of at most ``ITEMS``, drawn one after the other by id."""
-    rows = items.where(F.col("item_id").isNotNull() & F.col(text).isNotNull()).select("item_id", F.col(text).alias("t")).distinct().orderBy("item_id", "t")
-    ids: list = []
-    texts: list[str] = []
-    for r in rows.toLocalIterator():
-        ids.append(r["item_id"])
-        texts.append(r["t"])
-        if len(ids) == ITEMS:
-            yield ids, texts
-            ids, texts = [], []
-    if ids:
-        yield ids, texts
+    passage, term = queries(np.flatnonzero(held[run] | held[run + 1]))
+    have = passage * len(index.terms) + term  # sorted
+    which, posting = index.forward.rows(wanted % n)
+    asked = (wanted // n)[which] * len(index.terms) + index.forward.place[posting]
+    there = have[np.minimum(np.searchsorted(have, asked), len(have) - 1)] == asked
+    score = np.bincount(which[there], index.forward.impact[posting][there], len(wanted))
+    ratio = score / index.threshold[wanted % n]
+    wanted, ratio = wanted[ratio >= 1 - 1e-9], ratio[ratio >= 1 - 1e-9]
+    rows = np.searchsorted(base, wanted // n, "right") - 1
+    return list(zip(rows.tolist(), index.item[wanted % n].tolist(), (wanted // n - base[rows]).tolist(), ratio.tolist(), strict=True))
+
+
+def indexes(items: DataFrame, text: str = "text") -> DataFrame:
+    """(part, data): the index of all items in parts, each with the statistics of all."""
+    kind = items.schema["item_id"].dataType.simpleString()
+    rows = items.where(F.col("item_id").isNotNull() & F.col(text).isNotNull()).select("item_id", F.col(text).alias("_text")).distinct()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, length, term, _, _, _ = _segments(batch.column(1).to_pylist())
+            terms, df = np.unique(term, return_counts=True)
+            columns = [pa.array([*terms.view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(df, len(length)), pa.int64()), pa.array([0] * len(df) + [int(length.sum())], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "df", "words"])
+
+    terms = staged(rows.mapInArrow(count, "term bigint, df bigint, words bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")), "terms")
+    whole = terms.where("term IS NULL").first()
+    n, words_ = (whole["df"], whole["words"]) if whole else (0, 0)
+    parts, mean = -(-max(1, words_) // INDEX_WORDS), words_ / max(1, n)
+    dealt = rows.withColumn("part", F.expr(f"CAST(pmod(xxhash64(_text), {parts}) AS INT)"))
+
+    def terms_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.column(2).to_numpy()
+            for k in np.unique(part):
+                found = np.unique(terms_of(batch.column(1).filter(pa.array(part == k)))[0])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int32()), pa.array(found.view(np.int64))], ["part", "term"])
+
+    def make(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            term, df = right.column("term").to_numpy().view(np.uint64), right.column("df").to_numpy()
+            order = np.argsort(term)
+            left = left.sort_by([("item_id", "ascending"), ("_text", "ascending")])
+            index = build(left.column("item_id").to_pylist(), left.column("_text").to_pylist(), Statistics(term[order], df[order], n, mean))
+            out = [] if index is None else [(left.column("part")[0].as_py(), pickle.dumps(index))]
+        return pa.table([pa.array([k for k, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], names=["part", "data"])
+
+    of_part = dealt.select("item_id", "_text", "part").mapInArrow(terms_in, "part int, term bigint").distinct().join(terms.select("term", "df"), "term")
+    return dealt.groupBy("part").cogroup(of_part.groupBy("part")).applyInArrow(make, "part int, data binary")
 
 
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
     """A row for each document and item that it holds: doc_id, item_id, score (over the threshold), question, answer.
 
-    ``question`` and ``answer`` are the shares of their shingles that the document has.
+    ``question`` and ``answer`` are the shares of their shingles around the passage where the lesser of them is greatest.
     """
     kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (items, "item_id")))
     shape = f"doc_id {kind}, item_id {item_kind}, score double, question double, answer double"
     picked = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col(text).alias("_text"))
-    session = docs.sparkSession
-    parts = []
-    for ids, texts in _blocks(items, item_text):
-        index = build(ids, texts)
-        if index is not None:
-            parts.append(picked.mapInArrow(_finder(session.sparkContext.broadcast(index), items.schema["item_id"].dataType), shape))
-    if not parts:
-        return session.createDataFrame([], shape)
-    found = reduce(DataFrame.unionAll, parts)
-    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("question").alias("question"), F.max("answer").alias("answer"))
+    context = docs.sparkSession.sparkContext
+    index = staged(indexes(items, item_text), "index")
+    found = []
+    for part in sorted(r["part"] for r in index.select("part").collect()):  # one for each INDEX_WORDS words of items
+        shared = context.broadcast(index.where(F.col("part") == part).first()["data"])
+        found.append(staged(picked.mapInArrow(_finder(shared, items.schema["item_id"].dataType), shape), "leaks"))
+        shared.unpersist()
+    if not found:
+        return docs.sparkSession.createDataFrame([], shape)
+    best = F.max(F.struct(F.least("question", "answer").alias("least"), "question", "answer"))
+    rows = reduce(DataFrame.unionAll, found).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), best.alias("b"))
+    return rows.select("doc_id", "item_id", "score", "b.question", "b.answer")
 
 
 def _finder(shared, item_type):
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kind = to_arrow_type(item_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
+        index: Index = pickle.loads(shared.value)
         for batch in pieces(batches, "_text"):
             hashes, bounds = terms_of(batch.column(1))
             rows, ids, scores, shares = [], [], [], []
-            last, have = -1, None
-            for r, i, score in retrieve(index, hashes, bounds):
-                if r != last:
-                    found, _ = shingles(hashes[bounds[r] : bounds[r + 1]], np.array([0, bounds[r + 1] - bounds[r]]), SHINGLE)
-                    last, have = r, np.unique(found)
+            for r, i, passage, score in retrieve(index, hashes, bounds):
+                reach = -(-int(index.size[i]) // SEGMENT)
+                a = bounds[r] + max(0, (passage - 1 - reach) * SEGMENT)
+                b = min(bounds[r + 1], bounds[r] + (passage + 1 + reach) * SEGMENT)
+                have = np.unique(shingles(hashes[a:b], np.array([0, b - a]), SHINGLE)[0])
                 share = [float(np.isin(part, have).mean()) for part in index.parts[i]]
                 if min(share) >= OVERLAP:
                     rows.append(r)
