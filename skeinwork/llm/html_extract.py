@@ -7,8 +7,10 @@ blocks above one half are the text. Potentials are counted from labelled pages:
 builds from templates (a bounded number, seeded), or any that the caller labels.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by
-two newlines. Null and empty pages give an empty text; other null columns pass through; rows that repeat are read
-alike; an empty table gives an empty result. Nothing is dropped or capped, however long or deep a page is.
+two newlines. A tag ends at the next ``>`` outside a value that a quote opened right after ``=``. Null and empty pages give an empty
+text; other null columns pass through; rows that repeat are read alike; ids may be of any type; an empty table gives
+an empty result. Nothing is dropped or capped, however long or deep a page is: what elements pass on to the blocks
+below is summed up on one walk down the tree, so time grows with the page alone.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -30,7 +33,7 @@ from skeinwork.llm.arrays import pieces
 
 # How HTML's elements nest.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template svg math iframe object head title canvas audio video select".split())
+HIDDEN = set("button script style noscript template svg math iframe object head title canvas audio video select".split())
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -39,28 +42,29 @@ HOLDS = {"ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", "select",
 
 SECTIONS = set("article aside details dialog footer form header main nav section table".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 
 @dataclass
 class Node:
-    """An element, or a block of text where ``text`` is set."""
+    """An element, or a block of text where ``text`` is set; ``names`` are what the blocks below an element inherit."""
 
     parent: int
     features: list[str]
     text: str | None = None
     linked: int = 0
-    parts: list[str] = field(default_factory=list)
+    names: tuple[str, ...] = ()
 
 
 def tree_of(page: str) -> list[Node]:
     """The page's nodes, parents before children, blocks in page order."""
     nodes = [Node(-1, ["tag=root"])]
     stack: list[tuple[str, int]] = [("root", 0)]  # inline elements keep their block's node
+    open_ = Counter()  # tags on the stack
     run: list[tuple[str, bool]] = []
-    raw, at = "", 0
+    at = 0
 
     def flush() -> None:
         text = " ".join("".join(t for t, _ in run).split())
@@ -73,15 +77,18 @@ def tree_of(page: str) -> list[Node]:
             nodes.append(Node(owner, ["block", size, f"links={min(3, int(share * 4))}", f"end={end}", *(["sign"] if text[0] in "©|»›" else [])], text, linked))
         run.clear()
 
-    def close(upto: int) -> None:
-        flush()
+    def cut(upto: int) -> None:
+        open_.subtract(t for t, _ in stack[upto:])
         del stack[upto:]
 
+    def last(tag: str) -> int:
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0) if open_[tag] > 0 else 0
+
     linked = 0
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
-        if m.start() > at and not raw:
+        if m.start() > at:
             run.append((html.unescape(page[at : m.start()]), linked > 0))
         at = m.end()
         if m[2] is None:
@@ -92,14 +99,9 @@ def tree_of(page: str) -> list[Node]:
                 linked = 0
             if tag in INLINE:
                 continue
-            if tag == "p" and all(t != "p" for t, _ in stack):
-                flush()
-                continue
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if k:
-                close(k)
-            else:
-                flush()
+            flush()
+            if k := last(tag):
+                cut(k)
             continue
         if tag in INLINE:
             if tag == "br":
@@ -115,13 +117,13 @@ def tree_of(page: str) -> list[Node]:
             continue
         flush()
         if tag in CLOSES_P:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
+            k = last("p")
             if k and not any(t in HOLDS for t, _ in stack[k + 1 :]):
-                del stack[k:]
+                cut(k)
         if tag in CLOSES:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in CLOSES[tag]:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i][0] in HOLDS:
                     break
@@ -134,6 +136,7 @@ def tree_of(page: str) -> list[Node]:
             found.append("unseen")
         nodes.append(Node(stack[-1][1], found))
         stack.append((tag, len(nodes) - 1))
+        open_[tag] += 1
     if at < len(page):
         run.append((html.unescape(page[at:]), linked > 0))
     flush()
@@ -141,8 +144,7 @@ def tree_of(page: str) -> list[Node]:
 
 
 def _described(nodes: list[Node]) -> list[Node]:
-    """The nodes with what stands around them: the names and kinds of all elements above, and how much of the text
-    below an element is links."""
+    """The nodes with how much of the text below an element is links, and with what their blocks inherit."""
     size, links = [0] * len(nodes), [0] * len(nodes)
     for i in range(len(nodes) - 1, 0, -1):
         x = nodes[i]
@@ -150,18 +152,35 @@ def _described(nodes: list[Node]) -> list[Node]:
             size[i], links[i] = len(x.text), min(x.linked, len(x.text))
         size[x.parent] += size[i]
         links[x.parent] += links[i]
-    above: list[tuple[str, ...]] = [()] * len(nodes)
     for i, x in enumerate(nodes):
-        inherited = above[x.parent] if i else ()
-        own = tuple(f for f in x.features if f.startswith("name=") or f[4:] in SECTIONS and f.startswith("tag="))
-        above[i] = inherited if not own else tuple(dict.fromkeys(inherited + own))
         if x.text is None:
-            x.features.append(f"{x.features[0]} links={min(3, links[i] * 4 // max(1, size[i]))}")
-        else:
-            x.features += [f"in {f}" for f in above[i]]
+            x.names = tuple(dict.fromkeys(f"in {f}" for f in x.features if f.startswith("name=") or f[4:] in SECTIONS and f.startswith("tag=")))
+            x.features[0] += f" links={min(3, links[i] * 4 // max(1, size[i]))}"  # one feature: tags and links go together
     return nodes
 
 
+def inherited(nodes: list[Node]) -> Iterator[tuple[int, Counter]]:
+    """Each block with the names of all elements above it, in the time of one walk; the names are good until the next."""
+    names: Counter = Counter()
+    path: list[int] = []
+    for i, x in enumerate(nodes):
+        while path and path[-1] != x.parent:
+            names.subtract(nodes[path.pop()].names)
+        if x.text is None:
+            path.append(i)
+            names.update(x.names)
+        else:
+            yield i, names
+
+
+def described(nodes: list[Node]) -> list[list[str]]:
+    """All features of every node."""
+    out = [list(x.features) for x in nodes]
+    for i, names in inherited(nodes):
+        out[i] += [f for f, n in names.items() if n > 0]
+    return out
+
+
 # --- labelled pages ------------------------------------------------------------------------------------
 
 # Names that parts of pages go by.
@@ -187,6 +206,15 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 5) -> Iterator[tuple[st
     def words(low: int, high: int, stop: str = ".") -> str:
         return " ".join(word() for _ in range(draw.randint(low, high))).capitalize() + stop
 
+    def content(low: int, high: int, stop: str = ".", whole: float = 0.14) -> str:
+        """Words of which some, or all, may be a link."""
+        text, chance = words(low, high, stop), draw.random()
+        if chance < whole:
+            return f'<a href="/x">{text}</a>'
+        if chance < whole + 0.2:
+            return f'{words(1, 8, "")} <a href="/x">{words(1, 5, "")}</a> {text}'
+        return text
+
     def named(names: list[str], often: float = 0.8) -> str:
         if draw.random() > often:
             return ""
@@ -250,13 +278,13 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 5) -> Iterator[tuple[st
         for _ in range(draw.randint(1, 12)):
             what = draw.random()
             if what < 0.72:
-                block("p", words(1, 120), True)
+                block("p", content(1, 120), True)
             elif what < 0.80:
                 block(draw.choice(["h2", "h3", "blockquote", "pre"]), words(1, 14, draw.choice(["", "."])), True)
             elif what < 0.86:
                 out.append("<ul>" if draw.random() < 0.5 else "<ol>")
                 for _ in range(draw.randint(1, 5)):
-                    block("li", words(1, 16, draw.choice(["", "."])), True)
+                    block("li", content(1, 16, draw.choice(["", "."]), 0.65), True)
                 out.append("</ul>")
             elif what < 0.90:
                 out.append("<table><tr>")
@@ -297,15 +325,37 @@ class TreeModel:
     pair: np.ndarray
     word: dict[str, tuple[float, float]]
 
-    def marginals(self, nodes: list[Node]) -> list[float]:
-        """The probability that each node is content."""
-        n = len(nodes)
-        here = [[0.0, 0.0] for _ in range(n)]
-        for own, node in zip(here, nodes, strict=True):
-            for f in node.features:
+    def weights(self, nodes: list[Node]) -> list[list[float]]:
+        """What each node's features weigh for either label. What a block inherits is summed up on the way down."""
+        here = [[0.0, 0.0] for _ in nodes]
+        seen: Counter = Counter()
+        path: list[int] = []
+        sums = [(0.0, 0.0)]
+        for i, (own, x) in enumerate(zip(here, nodes, strict=True)):
+            for f in x.features:
                 if w := self.word.get(f):
                     own[0] += w[0]
                     own[1] += w[1]
+            while path and path[-1] != x.parent:
+                seen.subtract(nodes[path.pop()].names)
+                sums.pop()
+            a, b = sums[-1]
+            if x.text is not None:
+                own[0] += a
+                own[1] += b
+                continue
+            for f in x.names:
+                if not seen[f] and (w := self.word.get(f)):
+                    a, b = a + w[0], b + w[1]
+                seen[f] += 1
+            path.append(i)
+            sums.append((a, b))
+        return here
+
+    def marginals(self, nodes: list[Node]) -> list[float]:
+        """The probability that each node is content."""
+        n = len(nodes)
+        here = self.weights(nodes)
         (p00, p01), (p10, p11) = self.pair.tolist()
         up = [(0.0, 0.0)] * n  # the message of each node to its parent
         for i in range(n - 1, 0, -1):
@@ -344,11 +394,11 @@ def fit(pages: Iterator[tuple[str, list[bool]]], smooth: float = 0.5) -> TreeMod
         for i in range(len(nodes) - 1, 0, -1):
             share[nodes[i].parent] += share[i]
         label = (share[:, 1] > share[:, 0]).astype(int)
-        for i, x in enumerate(nodes):
+        for i, (x, features) in enumerate(zip(nodes, described(nodes), strict=True)):
             if i:
                 pair[label[x.parent], label[i]] += 1
             total[label[i]] += 1
-            for f in x.features:
+            for f in features:
                 counts.setdefault(f, np.full(2, smooth))[label[i]] += 1
     log = {f: tuple(np.log(c / (total + 2 * smooth)).tolist()) for f, c in counts.items()}
     return TreeModel(np.log(np.array([0.5, 0.5])), np.log(pair / pair.sum(1, keepdims=True)), log)

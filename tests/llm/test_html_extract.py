@@ -1,6 +1,7 @@
 """Pages by hand, message passing against enumeration, held-out accuracy on labelled pages."""
 
 import itertools
+import time
 
 import numpy as np
 
@@ -29,10 +30,12 @@ def test_marginals_equal_enumeration():
     model = hx.trained()
     nodes = hx.tree_of("<div class='x'><p>a b c.</p><nav><a href='#'>q</a></nav><section><p>d e</p></section></div>")
     n, total, on = len(nodes), 0.0, np.zeros(len(nodes))
+    features = hx.described(nodes)
+    assert any(f.startswith("in ") for f in features[-1])
     for labels in itertools.product((0, 1), repeat=n):
         score = float(model.root[labels[0]])
         for i, x in enumerate(nodes):
-            score += sum(model.word[f][labels[i]] for f in x.features if f in model.word)
+            score += sum(model.word[f][labels[i]] for f in features[i] if f in model.word)
             if i:
                 score += float(model.pair[labels[x.parent], labels[i]])
         total += np.exp(score)
@@ -48,3 +51,28 @@ def test_held_out_accuracy():
         right += sum(a == b for a, b in zip(said, labels, strict=True))
         count += len(labels)
     assert right / count > 0.95
+
+
+def texts_of(page):
+    return [t for t, p in hx.blocks_of(page, hx.trained()) if p > 0.5]
+
+
+def test_stray_quotes_in_tags():
+    page = "<body><article><p title='it's'>First paragraph with some words in it.</p><p>Second paragraph, it doesn't go.</p></article></body>"
+    assert texts_of(page) == ["First paragraph with some words in it.", "Second paragraph, it doesn't go."]
+    assert texts_of('<article><p class="a>b" data-x=\'>\'>One paragraph that is kept.</p></article>') == ["One paragraph that is kept."]
+
+
+def test_linked_content_stays_and_buttons_go():
+    page = """<body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><article><h1>A title of some words</h1>
+    <p>First paragraph of the text, long enough to be read as text.</p><p><a href="/r">See the related article about this</a></p>
+    <ul><li><a href="/l">a linked reference</a></li><li>a plain one.</li></ul><button>Share this</button><p>Last paragraph of the text, it ends here.</p></article></body>"""
+    assert texts_of(page) == ["A title of some words", "First paragraph of the text, long enough to be read as text.", "See the related article about this", "a linked reference", "a plain one.", "Last paragraph of the text, it ends here."]
+
+
+def test_deep_pages_take_time_in_proportion():
+    deep = "".join(f"<div class='n{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}'>" for k in range(50_000))
+    began = time.time()
+    nodes = hx.tree_of(f"{deep}<p>{'word ' * 40}.</p>" + "<p>x</p></b></p>" * 5000)
+    assert len(nodes) > 50_000 and len(hx.trained().marginals(nodes)) == len(nodes)
+    assert time.time() - began < 30
