@@ -2,8 +2,8 @@
 
 The trees are fitted on labelled urls; what they see is length, depth, digit ratio, entropy, parameter
 counts and the block rates of the host's suffixes among the labelled urls. Null urls and urls without
-``://`` have an empty host and path, fit no rule and are allowed; repeated rows are judged alike; an empty
-table gives an empty result; a training set without rows of both labels gives a model that allows all.
+``://`` have an empty host and path, fit no rule and are allowed; repeated rows are judged alike; a long url is judged
+whole; page ids may be of any type and null; other columns may have any name; an empty table gives an empty result; a training set without rows of both labels gives a model that allows all.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.llm.common import staged
+
 #: Fixed values: (rule, verdict); a rule is a host suffix and a path prefix.
 RULES = [
     ("com/en/", "block"),
@@ -98,29 +100,35 @@ class UrlModel:
         seen = lexical(pages, url)
         if self.trees is None:
             return seen.withColumn("url_block", F.lit(False))
-        for key, rates in self.suffixes.items():  # at most a row for each labelled url, so bounded
-            seen = seen.join(F.broadcast(rates), key, "left").fillna({f"{key}_rate": self.base_rate})
+        for key, rates in self.suffixes.items():  # Spark broadcasts them where they are small
+            seen = seen.join(rates, key, "left").fillna({f"{key}_rate": self.base_rate})
         return self.trees.transform(seen).withColumn("url_block", F.col("prediction") > 0.5)
 
 
 def fit(labelled: DataFrame, rows_per_label: int = TRAIN_ROWS_PER_LABEL, trees: int = 8, depth: int = 3) -> UrlModel:
-    """Trees fitted on at most ``rows_per_label`` urls of each label, those with the smallest hashes."""
-    order = F.xxhash64("url"), F.col("url")
-    picked = labelled.where("label = 1").orderBy(*order).limit(rows_per_label).unionByName(labelled.where("label = 0").orderBy(*order).limit(rows_per_label)).coalesce(1).cache()
-    total = picked.agg(F.count("*").alias("n"), F.sum("label").alias("bad")).first()
+    """Trees fitted on at most ``rows_per_label`` urls of each label, those with the smallest hashes.
+
+    The base rate and the suffixes' rates are of all labelled urls; only the trees see a sample.
+    """
+    every = staged(labelled.select("url", "label"), "labelled")
+    total = every.agg(F.count("*").alias("n"), F.sum("label").alias("bad")).first()
     if not total["n"] or total["bad"] in (0, total["n"]):
         return UrlModel(None, {}, 0.0)
     base = total["bad"] / total["n"]
+    hosts = lexical(every).select("suffix1", "suffix2", "label")
+    suffixes = {k: staged(hosts.groupBy(k).agg(F.sum("label").alias("bad"), F.count("*").alias("n")), k) for k in ("suffix1", "suffix2")}
+    order = F.xxhash64("url"), F.col("url")
+    picked = every.where("label = 1").orderBy(*order).limit(rows_per_label).unionByName(every.where("label = 0").orderBy(*order).limit(rows_per_label))
     seen = lexical(picked)
     # each url's own label is left out of its suffixes' rates, which are shrunk to the base rate
-    suffixes = {k: seen.groupBy(k).agg(F.sum("label").alias("bad"), F.count("*").alias("n")) for k in ("suffix1", "suffix2")}
     for key, sums in suffixes.items():
         left = (F.col("bad") - F.col("label") + 5 * base) / (F.col("n") - 1 + 5)
-        seen = seen.join(F.broadcast(sums), key).withColumn(f"{key}_rate", left).drop("bad", "n")
+        seen = seen.join(sums, key).withColumn(f"{key}_rate", left).drop("bad", "n")
     gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    model = PipelineModel([assembler, gbt.fit(assembler.transform(seen.coalesce(1)))])
-    rates = {k: sums.select(k, ((F.col("bad") + 5 * base) / (F.col("n") + 5)).alias(f"{k}_rate")) for k, sums in suffixes.items()}
+    rows = staged(seen.select("url", "label", *FEATURES).coalesce(1).sortWithinPartitions(*order), "train")  # a bounded sample, in one order
+    model = PipelineModel([assembler, gbt.fit(assembler.transform(rows.coalesce(1)))])
+    rates = {k: staged(sums.select(k, ((F.col("bad") + 5 * base) / (F.col("n") + 5)).alias(f"{k}_rate")), f"{k}-rates") for k, sums in suffixes.items()}
     return UrlModel(model, rates, base)
 
 

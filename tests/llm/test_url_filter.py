@@ -66,3 +66,17 @@ def test_one_label_or_no_rows(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     model = uf.fit(uf.seed_labelled(none))
     assert model.trees is None and uf.judge(none, model).count() == 0
+
+
+def test_suffix_rates_are_of_all_labelled_urls(spark):
+    rows = [(f"http://h{i % 50}.site{i % 5}.org/{i}", float(i % 5 == 0)) for i in range(1000)]
+    model = uf.fit(spark.createDataFrame(rows, "url string, label double"), rows_per_label=20)
+    rates = {r["suffix2"]: r["suffix2_rate"] for r in model.suffixes["suffix2"].collect()}
+    assert model.base_rate == 0.2 and rates == {f"site{k}.org": ((200.0 if k == 0 else 0.0) + 1.0) / 205 for k in range(5)}
+
+
+def test_long_and_repeated_urls(spark):
+    long = "http://casino.example.test/" + "a/1?" * 100_000
+    pages = spark.createDataFrame([(1, long), (1, long), (2, "http://plain.example.test/"), (3, "http://plain.example.test/")], "page_id long, url string")
+    got = sorted((r["page_id"], r["host"], len(r["path"]), r["verdict"]) for r in uf.judge(pages, uf.fit(uf.seed_labelled(pages))).collect())
+    assert got[0] == got[1] and got[0][1:3] == ("casino.example.test", 4) and [r[0] for r in got] == [1, 1, 2, 3]
