@@ -12,11 +12,15 @@ Equal word sequences collapse first. Bands of both signatures bring documents in
 are held against a leader, and pairs are verified on the whole texts: the probability Jaccard, or the plain one,
 must be at least 0.8. A leader leaves its bucket once it has met all members; as long as the others are of several
 classes they meet again under more leaders, round after round. So every pair of a bucket is either held together or
-already in one class, and only the pairs between classes can be as many as the square of a bucket's size. Classes are
-the connected components of the verified links, found by label propagation over tables in the shared folder.
+already in one class. After the first leaders, documents whose buckets still hold several classes are bounded
+(``limits``): what a document shares with none of the others bounds its similarity to each of them, so a document all
+of whose bounds lie below 0.8 leaves, and others meet only where the bound of the pair allows it, in the first bucket
+that they share and where their signatures agree enough. Only such pairs become rows. Classes are the connected
+components of the verified links, found by label propagation over tables in the shared folder.
 
 Texts without words are alone in their class. Null ids get a null class; rows with one id count as one document,
-which is near whatever one of its texts is near; an empty table gives an empty result; other columns may be null.
+which is near whatever one of its texts is near; ids may be of any type; long texts are read whole; an empty table
+gives an empty result; other columns may be null or have any name.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ from skeinwork.llm.common import staged
 BANDS, ROWS = 25, 5
 THRESHOLD = 0.8
 #: Pairs whose components agree less often than this in both signatures are not read again: at a similarity of 0.8 the
-#: standard deviation over 125 components is 0.036, so this lies more than eight deviations below.
-SKETCH_FLOOR = 0.5
+#: standard deviation over 125 components is 0.036, so this lies five deviations below: once in three million pairs.
+SKETCH_FLOOR = 0.62
 #: How many times more leaders a bucket has from round to round.
 LEADERS = 4
 #: Up to so many ids of candidates (8 bytes each) are broadcast to pick their texts; beyond, the texts are shuffled.
@@ -233,12 +237,69 @@ def merged_labels(known: DataFrame | None, new: DataFrame) -> DataFrame:
     return staged(ids.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
 
 
+def limits(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, n, own, share): of each document, its distinct shingles, how many of them none of the other documents
+    in ``ids`` has, and the weight of those among all. Documents of several rows are left out."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "t", 1 << 20):
+            for row, (item, count) in enumerate(_shingled(batch.column(1))):
+                n = len(item)
+                columns = [batch.column(0).take(pa.array([row] * n, pa.int64())), pa.array(item.view(np.int64)), pa.array(count / max(1.0, count.sum())), pa.array([n] * n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item", "weight", "n"])
+
+    texts = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")).join(ids, "doc_id", "left_semi")
+    found = texts.mapInArrow(run, f"doc_id {kind}, item bigint, weight double, n bigint")
+    owned = found.groupBy("item").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("doc_id", "weight", "n")))
+    once = owned.where("times = 1").groupBy("doc_id").agg(F.count("*").alias("own"), F.sum("weight").alias("share"), F.max("n").alias("n"))
+    single = texts.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows = 1").select("doc_id")
+    return once.join(single, "doc_id").select("doc_id", "n", "own", "share")
+
+
+def _reachable(x: dict[str, Column], y: dict[str, Column]) -> Column:
+    """Whether two documents' bounds allow a similarity of ``THRESHOLD``; true where one has none.
+
+    Common shingles are at most n - own of either, and the union holds one document and the other's own. With own
+    weights p and q, the probability Jaccard is at most (1 - p)(1 - q) / (1 - pq).
+    """
+    plain = F.least(x["n"] - x["own"], y["n"] - y["own"]) / F.greatest(x["n"] + y["own"], y["n"] + x["own"])
+    weighted_ = (1 - x["share"]) * (1 - y["share"]) / F.greatest(1 - x["share"] * y["share"], F.lit(1e-12))
+    return F.coalesce(F.greatest(plain, weighted_) >= THRESHOLD - 1e-6, F.lit(True))
+
+
+def _met_by_centres(members: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (a, b, low, high) of all members with their buckets' centres whose signatures agree enough."""
+    centre = members.where("place < 0").select("bucket", F.col("doc_id").alias("a"))
+    met = members.where("place >= 0").join(centre, "bucket")
+    low, high = F.least("a", "doc_id").alias("low"), F.greatest("a", "doc_id").alias("high")
+    pairs = met.select(low, high, "a").groupBy("low", "high").agg(F.min("a").alias("a")).select("low", "high", "a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
+    sigs = marks.select("doc_id", "sig", F.coalesce("plain", "sig").alias("plain"))
+    agree = pairs.join(sigs.withColumnsRenamed({"doc_id": "a", "sig": "sa", "plain": "pa"}), "a").join(sigs.withColumnsRenamed({"doc_id": "b", "sig": "sb", "plain": "pb"}), "b")
+    return agree.where((_agreement("sa", "sb") >= SKETCH_FLOOR) | (_agreement("pa", "pb") >= SKETCH_FLOOR)).select("a", "b", "low", "high")
+
+
+_INFO = ("n", "own", "share", "sig", "plain", "bands")
+
+
+def _met_by_leaders(members: DataFrame, info: DataFrame, bound: int) -> DataFrame:
+    """The pairs (a, b, low, high) of members with leaders of other classes that may be near."""
+    wide = members.join(info, "doc_id")
+    leader = wide.where(F.col("place") < bound).select("bucket", F.col("doc_id").alias("a"), F.col("place").alias("at"), F.col("label").alias("la"), *(F.col(c).alias(f"{c}_a") for c in _INFO))
+    later = (F.col("label") != F.col("la")) & (F.struct("at", "a") < F.struct("place", "doc_id"))
+    near = _reachable(*({c: F.col(f"{c}{end}") for c in _INFO} for end in ("", "_a")))
+    first = F.array_min(F.array_intersect("bands", "bands_a")) == F.col("bucket")
+    agree = (_agreement("sig", "sig_a") >= SKETCH_FLOOR) | (_agreement("plain", "plain_a") >= SKETCH_FLOOR)
+    met = wide.join(leader, "bucket").where(later & near & first & agree)
+    return met.select("a", F.col("doc_id").alias("b"), F.least("a", "doc_id").alias("low"), F.greatest("a", "doc_id").alias("high"))
+
+
 def links_of(docs: DataFrame, marks: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between distinct texts, and their classes (id, label).
 
     ``marks`` has (doc_id, bands, sig, plain) for one document of every distinct text. A member's ``place`` in a bucket of n
     is drawn from 0 to n by its hash, and is -1 for the one that shares most buckets with others: it meets all the
-    bucket first and, where the members are copies of it, settles it. A round's leaders are the members with places
+    bucket first and, where the members are copies of it, settles it. A later round's leaders are the members with places
     below a bound that grows ``LEADERS`` times a round; they meet all members with later places.
     """
     buckets = marks.select("doc_id", F.explode("bands").alias("bucket"))
@@ -252,16 +313,10 @@ def links_of(docs: DataFrame, marks: DataFrame, text: str = "text") -> tuple[Dat
     links: DataFrame | None = None
     classes: DataFrame | None = None
     far: DataFrame | None = None
+    info: DataFrame | None = None
     bound = 0
     while True:
-        leader = members.where(F.col("place") < bound).select("bucket", F.col("doc_id").alias("a"), F.col("place").alias("at"), F.col("label").alias("la"))
-        met = members.join(leader, "bucket").where((F.col("label") != F.col("la")) & (F.struct("at", "a") < F.struct("place", "doc_id")))
-        low, high = F.least("a", "doc_id").alias("low"), F.greatest("a", "doc_id").alias("high")
-        once = met.select(low, high, "a").groupBy("low", "high").agg(F.min("a").alias("a"))
-        pairs = once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
-        sigs = marks.select("doc_id", "sig", F.coalesce("plain", "sig").alias("plain"))
-        agree = pairs.join(sigs.withColumnsRenamed({"doc_id": "a", "sig": "sa", "plain": "pa"}), "a").join(sigs.withColumnsRenamed({"doc_id": "b", "sig": "sb", "plain": "pb"}), "b")
-        likely = agree.where((_agreement("sa", "sb") >= SKETCH_FLOOR) | (_agreement("pa", "pb") >= SKETCH_FLOOR)).select("a", "b", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        likely = _met_by_centres(members, marks) if info is None else _met_by_leaders(members, info, bound)
         if far is not None:  # pairs that another bucket brought together before
             likely = likely.join(far, ["low", "high"], "left_anti")
         likely = staged(likely.select("a", "b", "low", "high"), "pairs")
@@ -275,6 +330,12 @@ def links_of(docs: DataFrame, marks: DataFrame, text: str = "text") -> tuple[Dat
         named = members.where(F.col("place") >= bound).drop("label").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
         members = staged(named.join(mixed, "bucket").select("bucket", "doc_id", "place", "label"), "buckets")
+        if info is None and not members.isEmpty():
+            ids = staged(members.select("doc_id").distinct(), "open")
+            known = marks.join(ids, "doc_id", "left_semi").join(limits(docs, ids, text), "doc_id", "left").withColumn("plain", F.coalesce("plain", "sig"))
+            alone = (F.greatest(1 - F.col("own") / F.col("n"), 1 - F.col("share")) < THRESHOLD - 1e-6).alias("alone")
+            info = staged(known.where(~F.coalesce(alone, F.lit(False))).select("doc_id", *_INFO), "limits")
+            members = staged(members.join(info.select("doc_id"), "doc_id", "left_semi").select(*members.columns), "buckets")
         if members.isEmpty():
             return links, classes
         bound = max(1, bound) * LEADERS
