@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 import regex
@@ -15,12 +17,51 @@ from pyspark.sql import types as T
 from skeinwork.functions import datetimes, identifiers
 from skeinwork.functions.cids import CID_PATTERN
 
-_FORMATS = {
-    "did": identifiers.DID, "handle": identifiers.HANDLE, "at-identifier": rf"(?:{identifiers.DID}|(?!did:){identifiers.HANDLE})", "nsid": identifiers.NSID,
-    "record-key": identifiers.RECORD_KEY, "tid": identifiers.TID, "uri": identifiers.URI, "language": identifiers.LANGUAGE, "cid": CID_PATTERN,
-    "datetime": datetimes.SCHEMA, "at-uri": r"at://[^/?#]+(?:/[^/?#]+(?:/[^/?#]+)?)?",
+#: The grammar of each format that is one, and its most bytes.
+_GRAMMARS = {
+    "did": (identifiers.DID, 2048), "handle": (identifiers.HANDLE, 253), "nsid": (identifiers.NSID, 317), "record-key": (identifiers.RECORD_KEY, 512),
+    "tid": (identifiers.TID, 13), "uri": (identifiers.URI, 8192), "language": (identifiers.LANGUAGE, 1 << 20), "cid": (CID_PATTERN, 59), "datetime": (datetimes.SCHEMA, 64),
 }
-_CHECKS = {k: re.compile(rf"\A{v}\Z", re.A) for k, v in _FORMATS.items()}
+_COMPILED = {k: (re.compile(rf"\A{v}\Z", re.A), most) for k, (v, most) in _GRAMMARS.items()}
+
+
+def _fits(name: str, v: str) -> bool:
+    grammar, most = _COMPILED[name]
+    return len(v.encode()) <= most and grammar.match(v) is not None
+
+
+def _identifier(v: str) -> bool:
+    return _fits("did" if v.startswith("did:") else "handle", v)
+
+
+def _cid(v: str) -> bool:
+    """Version 1, a codec of records or of raw bytes, SHA-256, and no bits left over."""
+    if not _fits("cid", v):
+        return False
+    data = base64.b32decode(v[1:].upper() + "=" * (-len(v[1:]) % 8))
+    return data[:4] in (b"\x01\x71\x12\x20", b"\x01\x55\x12\x20") and base64.b32encode(data).decode().rstrip("=").lower() == v[1:]
+
+
+def _at_uri(v: str) -> bool:
+    if not v.startswith("at://") or len(v.encode()) > 8192 or "?" in v or "#" in v:
+        return False
+    parts = v[5:].split("/")
+    checks = _identifier, lambda x: _fits("nsid", x), _record_key
+    return len(parts) <= 3 and all(check(x) for check, x in zip(checks, parts, strict=False))
+
+
+def _record_key(v: str) -> bool:
+    return v not in (".", "..") and _fits("record-key", v)
+
+
+#: What each format asks for beside its grammar.
+_CHECKS = {name: partial(_fits, name) for name in _GRAMMARS} | {
+    "at-identifier": _identifier,
+    "at-uri": _at_uri,
+    "cid": _cid,
+    "datetime": lambda v: _fits("datetime", v) and not v.endswith("-00:00"),
+    "record-key": _record_key,
+}
 
 
 def catalogue(documents: list[dict]) -> dict[str, dict]:
@@ -177,7 +218,7 @@ def _value(known, nsid, path, f, v, out) -> None:
         if f.get("minGraphemes", 0) and n < f["minGraphemes"] or f.get("maxGraphemes", 0) and n > f["maxGraphemes"]:
             say("has a wrong number of characters")
     check = _CHECKS.get(f.get("format", ""))
-    return say(f"is no {f['format']}") if check and not check.match(v) else None
+    return say(f"is no {f['format']}") if check and not check(v) else None
 
 
 def validate(records: DataFrame, known: dict[str, dict], keys: list[str], collection: str = "collection", record: str = "record") -> DataFrame:
