@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions.identifiers import TID
 from skeinwork.functions.tids import DIGITS
-from skeinwork.session import work_dir
+from skeinwork.session import stored, work_dir
 
 _REV = re.compile(rf"\A{TID}\Z")
+#: Commits in a batch of the stream.
+ROWS_A_BATCH = 1_000_000
 OUTPUT = "seq bigint, repo string, rev string, outcome string"
 
 
@@ -97,12 +99,22 @@ def stateful(commits: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return commits.groupBy("repo").applyInPandasWithState(run, OUTPUT, "rev string, data string", "append", "NoTimeout")
 
 
-def verify_stream(commits: DataFrame, files: int = 1) -> DataFrame:
-    """The commits written out, read as a stream of up to one file a batch, verified, and read back."""
+def verify_stream(commits: DataFrame, rows_a_batch: int = ROWS_A_BATCH, least: int = 3) -> DataFrame:
+    """The commits verified as a stream of several batches, each a range of the sequence in one file, and read back.
+
+    Files are written one after the other, as a stream takes them by age; there are ``least`` at least and as many as
+    the rows ask for, and the state store carries every repository from batch to batch.
+    """
     spark = commits.sparkSession
     source, sink, state = (work_dir(spark, x) for x in ("commits", "outcomes", "state"))
-    commits.select("seq", "repo", "rev", "data", "prev_data").coalesce(files).write.parquet(source)
-    stream = spark.readStream.schema(commits.select("seq", "repo", "rev", "data", "prev_data").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    rows = commits.select("seq", "repo", "rev", "data", "prev_data")
+    n = max(least, -(-rows.count() // rows_a_batch))
+    ordered = stored(rows.repartitionByRange(n, "seq"), "ranges")
+    cuts = ordered.agg(F.percentile_approx("seq", F.array(*(F.lit(k / n) for k in range(1, n))), 10_000).alias("at")).first()["at"] or []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        own = ordered if low is None else ordered.where(F.col("seq") > low)
+        (own if high is None else own.where((F.col("seq") <= high) | F.col("seq").isNull())).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     query = stateful(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(OUTPUT).parquet(sink)
