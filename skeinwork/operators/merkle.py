@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +54,113 @@ def decode_node(data: bytes) -> tuple[list[tuple[str, str, str | None]], str | N
     return out, str(node["l"]) if node["l"] else None
 
 
+# --- the part of a tree that a commit's archive holds -----------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Item:
+    """A key of a tree with its content id, or, without a key, a subtree whose blocks aren't at hand."""
+
+    key: str | None
+    cid: str
+    level: int
+
+
+def level_of(key: str) -> int:
+    """The layer of a key, as ``key_height``."""
+    return (256 - int.from_bytes(hashlib.sha256(key.encode()).digest(), "big").bit_length()) // 2
+
+
+def unfolded(blocks: dict[str, bytes], cid: str, level: int | None = None) -> list[Item]:
+    """The items below a node, in order; a missing root is an error, any other missing node an item of its own."""
+    if cid not in blocks:
+        if level is None:
+            raise ValueError("the root's block is missing")
+        return [Item(None, cid, level)]
+    rows, left = decode_node(blocks[cid])
+    level = level_of(rows[0][0]) if rows else level
+    if level is None and left:
+        raise ValueError("a root without keys")
+    out = unfolded(blocks, left, level - 1) if left else []
+    for key, value, right in rows:
+        out.append(Item(key, value, level))
+        out += unfolded(blocks, right, level - 1) if right else []
+    return out
+
+
+def folded(items: list[Item], blocks: dict[str, bytes] | None = None) -> str:
+    """The root of sorted items; new nodes go to ``blocks``. Subtrees that would have to be opened are an error."""
+
+    def node(run: list[Item], level: int) -> str | None:
+        if not run:
+            return None
+        if len(run) == 1 and run[0].key is None and run[0].level == level:
+            return run[0].cid
+        if any(i.key is None and i.level >= level for i in run):
+            raise ValueError("a needed block is missing")
+        at = [k for k, i in enumerate(run) if i.key is not None and i.level == level]
+        ends = [*at[1:], len(run)]
+        below = [node(run[k + 1 : end], level - 1) for k, end in zip(at, ends, strict=True)] if at else []
+        return kept([(run[k].key, run[k].cid, child) for k, child in zip(at, below, strict=True)], node(run[: at[0]] if at else run, level - 1))
+
+    def kept(entries: list[tuple[str, str, str | None]], left: str | None) -> str:
+        data = encode_node(entries, left)
+        cid = str(cid_of(data))
+        if blocks is not None:
+            blocks[cid] = data
+        return cid
+
+    if items and all(i.key is None for i in items):
+        raise ValueError("a needed block is missing")
+    return node(items, max(i.level for i in items)) if items else kept([], None)
+
+
+def place_of(items: list[Item], key: str) -> tuple[int, bool]:
+    """Where a key stands or would stand, and whether it is there; in a missing subtree is an error."""
+    at = 0
+    for k, item in enumerate(items):
+        if item.key == key:
+            return k, True
+        if item.key is not None and item.key.encode() < key.encode():
+            at = k + 1
+    if at < len(items) and items[at].key is None:
+        raise ValueError("a needed block is missing")
+    return at, False
+
+
+def inverted(items: list[Item], ops: list[dict]) -> str:
+    """The root before ``ops`` (action, path, cid, prev) made the tree what it is."""
+    items = list(items)
+    for op in ops:
+        at, there = place_of(items, op["path"])
+        if op["action"] == "create":
+            del items[at : at + there]
+        elif op["action"] in ("update", "delete") and op["prev"]:
+            items[at : at + there] = [Item(op["path"], str(Link.parse(op["prev"])), level_of(op["path"]))]
+        else:
+            raise ValueError("an op without prev or of an unknown kind")
+    return folded(items)
+
+
+def op_error(items: list[Item], ops: list[dict]) -> str | None:
+    """The first op that the tree contradicts."""
+    for op in ops:
+        try:
+            at, there = place_of(items, op["path"])
+        except ValueError:
+            at, there = -1, op["action"] == "delete"
+        if op["action"] == "delete":
+            if there or op["cid"]:
+                return "delete_path_present" if there else "delete_unexpected_cid"
+        elif op["action"] not in ("create", "update"):
+            return "unknown_action"
+        elif not op["cid"]:
+            return f"{op['action']}_missing_cid"
+        elif not there or items[at].cid != op["cid"]:
+            return f"{op['action']}_cid_mismatch"
+    return None
+
+
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cids, blobs = [], []

@@ -9,7 +9,6 @@ from skeinwork.functions import identifiers
 from skeinwork.operators import streams
 from skeinwork.plans.registry import query
 from skeinwork.plans.views import V_ACCOUNTS, V_OPS, v_accounts, v_ops
-from skeinwork.streaming import verifier
 
 _KEPT = "kept AS (SELECT * FROM (SELECT *, max(rev) OVER (PARTITION BY repo ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM ops) WHERE best IS NULL OR rev > best)"
 
@@ -114,14 +113,6 @@ def h15_op_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v_ops(spark, sf_dir).select("seq", identifiers.op_fields_error(repo, F.col("collection"), rkey, F.col("rev")).alias("field"))
 
 
-@query(f"WITH {V_OPS}, {_KEPT} SELECT 'accepted' AS outcome, count(*) AS n FROM kept UNION ALL SELECT 'replayed', (SELECT count(*) FROM ops) - (SELECT count(*) FROM kept)")
-def d01_verifier_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = v_ops(spark, sf_dir)
-    kept = streams.drop_replays(ops).select("seq", F.lit("accepted").alias("outcome"))
-    named = ops.join(kept, "seq", "left").withColumn("outcome", F.coalesce("outcome", F.lit("replayed")))
-    return streams.outcome_counts(named)
-
-
 @query(f"WITH {V_OPS}, {_CHAIN} SELECT repo, max(rev) AS rev, arg_max(data, seq) AS data FROM chain GROUP BY repo")
 def d07_chain_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest chain state of every repository."""
@@ -145,18 +136,6 @@ def k11_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v_ops(spark, sf_dir).select("seq", streams.cursor(given, F.col("us")).alias("cursor"))
 
 
-@query()
-def i02_verify_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every commit's outcome under the verifier, state carried from commit to commit."""
-    return verifier.verify_batch(_chain(spark, sf_dir))
-
-
-@query()
-def k06_stateful_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same outcomes from a stream of the same commits."""
-    return verifier.verify_stream(_chain(spark, sf_dir))
-
-
 _SYNCS = "syncs AS (SELECT seq + 1000000 AS seq, repo, CASE seq % 3 WHEN 0 THEN '2222222222222' ELSE 'jzzzzzzzzzzzz' END AS rev, CASE seq % 3 WHEN 1 THEN data ELSE 'bafynew' END AS data FROM (SELECT repo, max(seq) AS seq, arg_max(data, seq) AS data FROM chain GROUP BY repo))"
 
 

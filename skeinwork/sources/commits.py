@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,12 +21,40 @@ def signed(commit: dict, signature: bytes) -> bytes:
     return encode({**commit, "sig": signature})
 
 
-def opened(block: bytes) -> tuple[dict, bytes]:
-    """A commit and its signature; other shapes are errors."""
+def opened(block: bytes) -> tuple[dict, bytes | None]:
+    """A commit without its signature, and that; other shapes are errors. Version 2 may lack rev and signature."""
     commit = decode(block)
-    if not isinstance(commit, dict) or set(commit) != {"did", "rev", "data", "prev", "version", "sig"} or commit["version"] not in VERSIONS or not isinstance(commit["data"], Link):
-        raise ValueError("not a commit")
-    return commit, commit.pop("sig")
+    if not isinstance(commit, dict) or commit.get("version") not in VERSIONS or isinstance(commit["version"], bool):
+        raise ValueError("not a commit of a known version")
+    version = commit["version"]
+    kinds = {"did": str, "data": Link, "rev": str, "sig": bytes}
+    for name, kind in kinds.items():
+        if name not in commit and name in ("rev", "sig") and version == 2:
+            continue
+        if not isinstance(commit.get(name), kind):
+            raise ValueError(f"commit has no valid {name}")
+    if not isinstance(commit.get("prev"), (Link, type(None))):
+        raise ValueError("commit has no valid prev")
+    content = {"did": commit["did"], "rev": commit.get("rev", ""), "data": commit["data"], "prev": commit.get("prev"), "version": version}
+    return content, commit.get("sig")
+
+
+def sealed(roots: DataFrame, sign: Callable[[str, bytes], bytes]) -> DataFrame:
+    """(repo, rev, cid, data): a signed commit block for each (repo, rev, root).
+
+    ``sign`` takes a repository and the unsigned bytes; it runs in tasks, so it must find its keys there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = []
+            for repo, rev, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                commit = unsigned(repo, rev, root)
+                blocks.append(signed(commit, sign(repo, encode(commit))))
+            cids = [str(Link(b"\x01\x71\x12\x20" + hashlib.sha256(b).digest())) for b in blocks]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cids, pa.string()), pa.array(blocks, pa.binary())], ["repo", "rev", "cid", "data"])
+
+    return roots.select("repo", "rev", "root").mapInArrow(run, "repo string, rev string, cid string, data binary")
 
 
 def decoded(blocks: DataFrame, key: str, data: str = "data") -> DataFrame:

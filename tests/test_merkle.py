@@ -42,3 +42,47 @@ def test_order_of_rows_and_empty_tables_do_not_matter(spark):
     one, other = merkle.roots(records).first()["root"], merkle.roots(records.orderBy(F.desc("key")).repartition(3)).first()["root"]
     assert one == other
     assert merkle.roots(records.limit(0)).count() == 0 and merkle.node_blocks(records.limit(0)).count() == 0
+
+
+def tree(held: dict[str, str]) -> tuple[str, dict[str, bytes]]:
+    blocks: dict[str, bytes] = {}
+    return merkle.folded([merkle.Item(k, held[k], merkle.level_of(k)) for k in sorted(held)], blocks), blocks
+
+
+def test_ops_are_undone_on_the_part_of_the_tree_that_an_archive_holds():
+    draw = random.Random(5)
+    cid = lambda n: str(merkle.cid_of(str(n).encode()))
+    incomplete = 0
+    for turn in range(60):
+        held = {f"a.b/{draw.randrange(10**6)}": cid(k) for k in range(draw.randrange(80))}
+        before, old = tree(held)
+        ops = []
+        for k in range(draw.randrange(1, 5)):
+            path = draw.choice([*held, f"a.b/new{k}"])
+            if any(o["path"] == path for o in ops):
+                continue
+            new = None if path in held and draw.random() < 0.5 else cid((turn, k))
+            ops.append({"action": "delete" if new is None else "update" if path in held else "create", "path": path, "cid": new, "prev": held.get(path)})
+            held = {**held, path: new} if new else {p: c for p, c in held.items() if p != path}
+        after, blocks = tree(held)
+        assert merkle.inverted(merkle.unfolded(blocks, after), ops) == before
+        assert merkle.op_error(merkle.unfolded(blocks, after), ops) is None
+        fresh = {c: b for c, b in blocks.items() if c not in old or c == after}
+        try:  # only new nodes: never another root, at most a missing block
+            assert merkle.inverted(merkle.unfolded(fresh, after), ops) == before
+        except ValueError:
+            incomplete += 1
+    assert incomplete < 60
+
+
+def test_ops_that_the_tree_contradicts():
+    one, other = str(merkle.cid_of(b"1")), str(merkle.cid_of(b"2"))
+    root, blocks = tree({"a.b/1": one})
+    items = merkle.unfolded(blocks, root)
+    op = {"action": "update", "path": "a.b/1", "cid": one, "prev": other}
+    assert merkle.op_error(items, [op]) is None
+    assert merkle.op_error(items, [{**op, "cid": other}]) == "update_cid_mismatch"
+    assert merkle.op_error(items, [{**op, "action": "create", "cid": None}]) == "create_missing_cid"
+    assert merkle.op_error(items, [{**op, "action": "delete", "cid": None}]) == "delete_path_present"
+    assert merkle.op_error(items, [{**op, "action": "delete", "path": "a.b/2"}]) == "delete_unexpected_cid"
+    assert merkle.op_error([merkle.Item(None, root, 99)], [op]) == "update_cid_mismatch"
