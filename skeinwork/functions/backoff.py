@@ -1,13 +1,11 @@
-"""Retry delays and error classes."""
+"""Retry delays."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Statuses and causes that a retry may cure, and the longest wait that a server may ask for, in seconds.
-TRANSIENT_STATUS = [429, 500, 502, 503, 504]
-TRANSIENT_CAUSE = ["connection reset", "connection refused", "unexpected eof", "timeout"]
+# Fixed value: the longest wait that a server may ask for, in seconds.
 LONGEST_WAIT = 330.0
 
 
@@ -20,12 +18,3 @@ def delay(attempt: Column, base: float = 1.0, most: float = 30.0, jitter: Column
 def rate_limit_delay(reset_in: Column, attempt: Column, base: float = 1.0, most: float = 30.0) -> Column:
     """What the server asks for, within the longest wait; else the usual delay."""
     return F.when(reset_in > 0, F.least(reset_in.cast("double"), F.lit(LONGEST_WAIT))).otherwise(delay(attempt, base, most))
-
-
-def transient(status: Column, cause: Column) -> Column:
-    return F.coalesce(status.isin(TRANSIENT_STATUS), F.lit(False)) | F.coalesce(F.lower(cause).isin(TRANSIENT_CAUSE), F.lit(False))
-
-
-def resync_retryable(code: Column) -> Column:
-    """Whether a failed re-fetch is tried again."""
-    return ~F.coalesce(code.isin("AccountInactive", "Signature", "RevRegression"), F.lit(False))

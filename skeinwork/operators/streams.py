@@ -14,20 +14,23 @@ MAX_BYTES, MAX_OPS, VERSION = 2_000_000, 200, 3
 TOLERANCE = 300_000_000
 
 
-def gaps(events: DataFrame, seq: str = "seq", start: int | None = None, width: int = 1 << 20) -> DataFrame:
-    """(expected, got) where the ascending sequence skips; ``start`` is the last number seen before.
+def gaps(events: DataFrame, seq: str = "seq", start: int | None = None, width: int = 1 << 20, order: str | None = None) -> DataFrame:
+    """(expected, got) where a number comes that is more than one above the number before it; ``start`` is the last
+    number seen before the first.
 
-    Ranges of ``width`` numbers are looked at apart, then each range's first number against the one before it, over
-    one row for each range.
+    ``order`` is the column of arrival, by default the number itself. After a number that goes back, the next ones are
+    held against it. Ranges of ``width`` of the order are looked at apart, then each range's first number against the
+    last one of the range before, over one row for each range.
     """
-    span = F.floor(F.col(seq) / width)
-    own = W.partitionBy("span").orderBy(seq)
-    inside = events.select(F.col(seq).alias("got"), span.alias("span")).distinct().withColumnRenamed("got", seq).withColumn("last", F.lag(seq).over(own))
-    edges = inside.groupBy("span").agg(F.min(seq).alias("first"), F.max(seq).alias("end"))
+    at = order or seq
+    rows = events.select(F.col(at).alias("_at"), F.col(seq).alias("_n"), F.floor(F.col(at) / width).alias("span")).where("_at IS NOT NULL AND _n IS NOT NULL")
+    inside = rows.withColumn("last", F.lag("_n").over(W.partitionBy("span").orderBy("_at", "_n")))
+    place = F.struct("_at", "_n")
+    edges = rows.groupBy("span").agg(F.min_by("_n", place).alias("first"), F.max_by("_n", place).alias("end"))
     before = F.coalesce(F.lag("end").over(W.orderBy("span")), F.lit(start).cast("long"))
-    joins = edges.select(before.alias("last"), F.col("first").alias(seq))
-    every = inside.where("last IS NOT NULL").select("last", seq).unionByName(joins.where("last IS NOT NULL"))
-    return every.where(F.col(seq) > F.col("last") + 1).select((F.col("last") + 1).alias("expected"), F.col(seq).alias("got"))
+    joins = edges.select(before.alias("last"), F.col("first").alias("_n"))
+    every = inside.select("last", "_n").unionByName(joins).where("last IS NOT NULL")
+    return every.where(F.col("_n") > F.col("last") + 1).select((F.col("last") + 1).alias("expected"), F.col("_n").alias("got"))
 
 
 def _before(key: str, order: str) -> W:
@@ -79,14 +82,21 @@ def low_water(events: DataFrame) -> DataFrame:
     return events.agg(F.coalesce(F.min(F.when(~F.col("done"), F.col("seq"))) - 1, F.max("seq")).alias("cursor"))
 
 
-def micro_batches(events: DataFrame, size: int = 50, order: str = "seq", key: str | None = None) -> DataFrame:
-    """``batch`` numbers of ``size`` events each in order; within each ``key`` where given, else over the stream.
+def micro_batches(events: DataFrame, size: int = 50, order: str = "seq", key: str | None = None, width: int = 1 << 20) -> DataFrame:
+    """``batch`` numbers of ``size`` events each in order, whatever numbers are missing; within each ``key`` where given,
+    else over the stream.
 
-    Without a key the sequence itself is cut, which needs no task to see it all.
+    Without a key, events are ranked within ranges of ``width`` of the order, and each range starts where the ranges
+    before it end, which takes one row for each range and no task that sees the stream.
     """
-    if key is None:
-        return events.withColumn("batch", F.floor((F.col(order) - 1) / size))
-    return events.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(key).orderBy(order)) - 1) / size))
+    if key is not None:
+        return events.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(key).orderBy(order)) - 1) / size))
+    ranged = events.withColumn("_span", F.floor(F.col(order) / width))
+    counts = ranged.groupBy("_span").agg(F.count("*").alias("_n"))
+    starts = counts.select("_span", F.coalesce(F.sum("_n").over(W.orderBy("_span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    ranked = ranged.withColumn("_nth", F.row_number().over(W.partitionBy("_span").orderBy(order)) - 1)
+    placed = ranked.join(starts, ranked["_span"].eqNullSafe(starts["_span"])).drop("_span")
+    return placed.withColumn("batch", F.floor((F.col("_start") + F.col("_nth")) / size)).drop("_start", "_nth")
 
 
 def newest_of_key(events: DataFrame, most: int, key: str = "repo", order: str = "seq") -> DataFrame:

@@ -25,6 +25,13 @@ def e01_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.gaps(v_ops(spark, sf_dir).where("seq % 7 <> 3"), width=1000)
 
 
+@query(f"WITH {V_OPS} SELECT last + 1 AS expected, n AS got FROM (SELECT n, lag(n) OVER (ORDER BY seq) AS last FROM (SELECT seq, CASE WHEN seq % 13 = 0 THEN seq - 9 ELSE seq END AS n FROM ops)) WHERE n > last + 1")
+def e01_gaps_by_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every thirteenth number goes back, after which the stream seems to skip."""
+    numbered = v_ops(spark, sf_dir).select("seq", F.when(F.col("seq") % 13 == 0, F.col("seq") - 9).otherwise(F.col("seq")).alias("n"))
+    return streams.gaps(numbered, "n", width=1000, order="seq")
+
+
 @query(f"WITH {V_OPS}, {_KEPT} SELECT seq, repo, rev FROM kept")
 def e02_replay_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drop_replays(v_ops(spark, sf_dir)).select("seq", "repo", "rev")
@@ -119,9 +126,11 @@ def d07_chain_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chain(spark, sf_dir).groupBy("repo").agg(F.max("rev").alias("rev"), F.max_by("data", "seq").alias("data"))
 
 
-@query(f"WITH {V_OPS} SELECT (seq - 1) // 50 AS batch, count(*) AS n, min(seq) AS first, max(seq) AS last FROM ops GROUP BY ALL")
+@query(f"WITH {V_OPS} SELECT CAST((r - 1) // 50 AS BIGINT) AS batch, count(*) AS n, min(seq) AS first, max(seq) AS last FROM (SELECT seq * 3 + seq % 2 AS seq, row_number() OVER (ORDER BY seq) AS r FROM ops) GROUP BY ALL")
 def k02_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.micro_batches(v_ops(spark, sf_dir)).groupBy("batch").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+    """Fifty events a batch, though two of three numbers are missing."""
+    sparse = v_ops(spark, sf_dir).withColumn("seq", F.col("seq") * 3 + F.col("seq") % 2)
+    return streams.micro_batches(sparse, width=1000).groupBy("batch").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 
 @query(f"WITH {V_OPS} SELECT seq, repo FROM (SELECT seq, repo, row_number() OVER (PARTITION BY repo ORDER BY seq DESC) AS n FROM ops) WHERE n <= 64")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions.cbor import MAX_SIZE, Link, decode, encode, read_varint, varint
 
-BLOCKS = "path string, root string, cid string, data binary, error string"
+BLOCKS = "root string, cid string, data binary, error string"
 
 
 def header(roots: list[str]) -> bytes:
@@ -67,6 +67,7 @@ def read_blocks(data: bytes, at: int) -> Iterator[tuple[str, bytes]]:
 
 def parse(archives: DataFrame, data: str = "content", path: str = "path") -> DataFrame:
     """(path, root, cid, data, error): a row for each block; an error ends an archive with a row that says why."""
+    named = archives.schema[path].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,17 +81,17 @@ def parse(archives: DataFrame, data: str = "content", path: str = "path") -> Dat
                     for cid, body in read_blocks(raw, at):
                         rows.append((name, root, cid, body, None))
                         if len(rows) == 4096:
-                            yield _rows(rows)
+                            yield _rows(rows, batch.schema.field(0).type)
                             rows = []
                 except (ValueError, KeyError) as why:
                     rows.append((name, root, None, None, str(why)))
-                yield _rows(rows)
+                yield _rows(rows, batch.schema.field(0).type)
 
-    return archives.select(F.col(path).alias("path"), F.col(data).alias("content")).mapInArrow(run, BLOCKS)
+    return archives.select(F.col(path).alias("path"), F.col(data).alias("content")).mapInArrow(run, f"path {named}, {BLOCKS}")
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+def _rows(rows: list[tuple], path: pa.DataType) -> pa.RecordBatch:
+    kinds = [path, pa.string(), pa.string(), pa.binary(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["path", "root", "cid", "data", "error"])
 
 
@@ -99,16 +100,37 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parse(spark.read.format("binaryFile").option("pathGlobFilter", "*.car").option("recursiveFileLookup", "true").load(path))
 
 
-def export(blocks: DataFrame, roots: DataFrame) -> DataFrame:
-    """(repo, archive) from blocks (repo, cid, data) and roots (repo, root); the root's block comes first."""
+def packed(rows: DataFrame, key: str = "repo") -> DataFrame:
+    """(key, archive) from blocks (key, root, part, place, cid, data), written in the order of part, place and cid.
+
+    A task holds one archive's bytes at a time, not its rows; a content id is written once.
+    """
+    kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = pa.binary()
+        at, out, seen = None, bytearray(), set()
         for batch in batches:
-            out = []
-            for root, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                rows = sorted(rows, key=lambda b: (b["cid"] != root, b["cid"]))
-                out.append(write_archive([root], ((b["cid"], b["data"]) for b in rows)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["repo", "archive"])
-
-    held = blocks.groupBy("repo").agg(F.collect_list(F.struct("cid", "data")).alias("blocks"))
-    return roots.select("repo", "root").join(held, "repo").mapInArrow(run, "repo string, archive binary")
+            done: list[tuple] = []
+            for name, root, cid, data in zip(*(batch.column(i) for i in (0, 1, 4, 5)), strict=True):
+                name, cid = name.as_py(), cid.as_py()
+                if name != at:
+                    if at is not None:
+                        done.append((at, bytes(out)))
+                    at, out, seen = name, bytearray(header([root.as_py()])), set()
+                if cid not in seen:
+                    seen.add(cid)
+                    out += block(cid, data.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], batch.schema.field(0).type), pa.array([d[1] for d in done], shape)], [key, "archive"])
+            last = batch.schema.field(0).type
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], last), pa.array([bytes(out)], shape)], [key, "archive"])
+
+    ordered = rows.where(F.col(key).isNotNull()).select(key, "root", "part", "place", "cid", "data").repartition(key).sortWithinPartitions(key, "part", "place", "cid")
+    return ordered.mapInArrow(run, f"{key} {kind}, archive binary")
+
+
+def export(blocks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(repo, archive) from blocks (repo, cid, data) and roots (repo, root); the root's block comes first."""
+    rows = blocks.select("repo", "cid", "data").join(roots.select("repo", "root"), "repo")
+    return packed(rows.withColumns({"part": (F.col("cid") != F.col("root")).cast("int"), "place": F.lit("")}))
