@@ -30,6 +30,8 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share, below ``spark.checkpoint.dir`` where that is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='skeinwork-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/skeinwork/{label}-{uuid.uuid4().hex}"
