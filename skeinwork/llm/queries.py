@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import decontaminate, html_extract, line_dedup, minhash, mixing, ngram_quality, quality_rules, secret_scan, substring_dedup, url_filter
+from skeinwork.llm import decontaminate, html_extract, line_dedup, minhash, mixing, ngram_quality, quality_rules, secret_scan, substring_dedup, token_align, url_filter
 from skeinwork.llm.common import table
 
 
@@ -59,5 +59,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedupe(table(spark, sf_dir, "documents")).drop("removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_line_dedup, op4_minhash, op5_mixing, op6_decontaminate, op7_ngram_quality, op8_html_extract, op9_quality_rules, op10_substring_dedup)}
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two vocabularies meet in every document."""
+    return token_align.align(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_line_dedup, op4_minhash, op5_mixing, op6_decontaminate, op7_ngram_quality, op8_html_extract, op9_quality_rules, op10_substring_dedup, op11_token_align)}
 ORACLES = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}

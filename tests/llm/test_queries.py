@@ -17,6 +17,7 @@ COLUMNS = {
     "op8": ("pages", ["page_id", "url", "text", "n_chars"]),
     "op9": ("documents", ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]),
     "op10": ("documents", ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]),
+    "op11": ("documents", ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]),
 }
 
 
