@@ -60,14 +60,15 @@ def blocks(docs: DataFrame, text: str = "_text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 33, 0
-        for batch, size in _gathered(batches, text, at):
+        for batch, size in gathered(batches, text, at):
             yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([size], pa.int64()), pa.array([pack_batch(batch)], pa.binary())], ["block", "size", "data"])
             n += 1
 
     return docs.mapInArrow(run, "block bigint, size bigint, data binary")
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], text: str, at: int) -> Iterator[tuple[pa.RecordBatch, int]]:
+def gathered(batches: Iterator[pa.RecordBatch], text: str, at: int) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Runs of rows of about ``BLOCK_BYTES`` in the column ``text``, which is column ``at``, with their bytes."""
     held, size = [], 0
     for piece in pieces(batches, text, BLOCK_BYTES // 4):
         held.append(piece)

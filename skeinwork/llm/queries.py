@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import decontaminate, html_extract, line_dedup, minhash, mixing, ngram_quality, quality_rules, secret_scan, substring_dedup, token_align, url_filter
+from skeinwork.llm import context_mixing, decontaminate, html_extract, lexical_search, line_dedup, minhash, mixing, ngram_quality, quality_rules, secret_scan, substring_dedup, token_align, url_filter
 from skeinwork.llm.common import table
 
 
@@ -64,5 +64,15 @@ def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_line_dedup, op4_minhash, op5_mixing, op6_decontaminate, op7_ngram_quality, op8_html_extract, op9_quality_rules, op10_substring_dedup, op11_token_align)}
-ORACLES = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document costs under word counts and under the mixed bit predictors."""
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that rank highest for every test item."""
+    return lexical_search.search(lexical_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_line_dedup, op4_minhash, op5_mixing, op6_decontaminate, op7_ngram_quality, op8_html_extract, op9_quality_rules, op10_substring_dedup, op11_token_align, op12_context_mixing, op13_lexical_search)}
+ORACLES = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL, "op13_lexical_search": lexical_search.ORACLE_SQL}

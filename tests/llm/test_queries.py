@@ -18,6 +18,7 @@ COLUMNS = {
     "op9": ("documents", ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]),
     "op10": ("documents", ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]),
     "op11": ("documents", ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]),
+    "op12": ("documents", ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]),
 }
 
 
