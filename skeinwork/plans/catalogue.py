@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinwork.plans import commits, crawl, directory, identifiers, records, repositories, stream  # noqa: F401  they register themselves
+from skeinwork.plans import commits, crawl, directory, identifiers, records, repositories, resync, stream  # noqa: F401  they register themselves
 from skeinwork.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "flagship_op_summary"
