@@ -54,26 +54,26 @@ def opened(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(zstandard.decompress(data)).read_next_batch()
 
 
-def blocks(docs: DataFrame, text: str = "_text") -> DataFrame:
-    """(block, size, data): runs of rows of about ``BLOCK_BYTES`` of text; blocks are numbered by task and place."""
+def blocks(docs: DataFrame, text: str = "_text", most: int = BLOCK_BYTES) -> DataFrame:
+    """(block, size, data): runs of rows of about ``most`` bytes of text; blocks are numbered by task and place."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 33, 0
-        for batch, size in gathered(batches, text, at):
+        for batch, size in gathered(batches, text, at, most):
             yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([size], pa.int64()), pa.array([pack_batch(batch)], pa.binary())], ["block", "size", "data"])
             n += 1
 
     return docs.mapInArrow(run, "block bigint, size bigint, data binary")
 
 
-def gathered(batches: Iterator[pa.RecordBatch], text: str, at: int) -> Iterator[tuple[pa.RecordBatch, int]]:
-    """Runs of rows of about ``BLOCK_BYTES`` in the column ``text``, which is column ``at``, with their bytes."""
+def gathered(batches: Iterator[pa.RecordBatch], text: str, at: int, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Runs of rows of about ``most`` bytes in the column ``text``, which is column ``at``, with their bytes."""
     held, size = [], 0
-    for piece in pieces(batches, text, BLOCK_BYTES // 4):
+    for piece in pieces(batches, text, most // 4):
         held.append(piece)
         size += piece.column(at).nbytes
-        if size >= BLOCK_BYTES:
+        if size >= most:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], size
             held, size = [], 0
     if held:

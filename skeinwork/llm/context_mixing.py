@@ -37,6 +37,8 @@ from skeinwork.llm.ranges import cuts_of, grouped, heads_of, ranges_log
 #: Bytes of the contexts, from the shortest; the context after them is the word so far.
 ORDERS, END = (2, 3, 5), 255
 CONTEXTS, PAD = len(ORDERS) + 1, max(ORDERS)
+#: Text bytes of a block, for which a task takes some 80 times as much memory.
+BLOCK = 2 << 20
 #: Bytes after which the weights begin anew.
 SEGMENT = 4096
 #: First weight of each context, from the shortest; the step of the gradient; what is added to both counts of a bit.
@@ -294,7 +296,7 @@ def score(docs: DataFrame, text: str = "text", segment: int = SEGMENT) -> DataFr
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
     own = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("_held"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    table = Bucketed(blocks(own), "block", "scored")
+    table = Bucketed(blocks(own, most=BLOCK), "block", "scored")
     try:
         held = table.rows.select("block", "data")
         log = ranges_log(table.rows.agg(F.sum("size")).first()[0] or 0)
