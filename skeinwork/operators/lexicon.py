@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from skeinwork.functions import datetimes, identifiers
 from skeinwork.functions.cids import CID_PATTERN
+from skeinwork.session import stored
 
 #: The grammar of each format that is one, and its most bytes.
 _GRAMMARS = {
@@ -54,6 +55,23 @@ def _record_key(v: str) -> bool:
     return v not in (".", "..") and _fits("record-key", v)
 
 
+def _bytes(text: object) -> bytes | None:
+    """The bytes of base 64 with or without its padding; null for anything else."""
+    if not isinstance(text, str):
+        return None
+    try:
+        return base64.b64decode(text if text.endswith("=") else text + "=" * (-len(text) % 4), validate=True)
+    except ValueError:
+        return None
+
+
+def _is_blob(v: object) -> bool:
+    if not isinstance(v, dict) or v.get("$type") != "blob" or not isinstance(v.get("mimeType"), str):
+        return False
+    size, ref = v.get("size"), v.get("ref")
+    return isinstance(size, int | float) and not isinstance(size, bool) and isinstance(ref, dict) and isinstance(ref.get("$link"), str)
+
+
 #: What each format asks for beside its grammar.
 _CHECKS = {name: partial(_fits, name) for name in _GRAMMARS} | {
     "at-identifier": _identifier,
@@ -78,10 +96,13 @@ def catalogue(documents: list[dict]) -> dict[str, dict]:
     return out
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+
+
 def read_catalogue(spark: SparkSession, path: str) -> dict[str, dict]:
     """The schema documents below a path; there are some hundreds, and each is small."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
-    return catalogue([json.loads(r[0]) for r in rows.toLocalIterator()])
+    return catalogue([json.loads(r[0]) for r in _files(spark, path).toLocalIterator()])
 
 
 def full_ref(ref: str, nsid: str) -> str:
@@ -107,6 +128,68 @@ def unresolved(known: dict[str, dict]) -> list[str]:
     return sorted({r for name, d in known.items() for ref in _refs(d) if (r := full_ref(ref, name.split("#")[0])) not in known})
 
 
+# --- a folder of schemas as tables ------------------------------------------------------------------------
+
+_DEFINED = "id string, name string, definition string, refs array<string>, error string"
+
+
+def _defined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["id", "name", "definition", "refs", "error"]
+    for batch in batches:
+        out: list[tuple] = []
+        for text in batch.column(0).to_pylist():
+            try:
+                d = json.loads(text)
+                if not isinstance(d, dict) or d.get("lexicon") != 1 or not isinstance(d.get("id"), str) or not isinstance(d.get("defs"), dict) or not d["id"] or not d["defs"]:
+                    raise ValueError("not a schema document")
+                out += [(d["id"], f"{d['id']}#{name}", json.dumps(x), sorted({full_ref(r, d["id"]) for r in _refs(x)}), None) for name, x in d["defs"].items()]
+            except (ValueError, RecursionError):
+                out.append((None, None, None, [], "not a schema document"))
+        kinds = pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+
+
+def definitions(documents: DataFrame, text: str = "value") -> DataFrame:
+    """(id, name, definition, refs, error) of schema documents as JSON, a row for each definition."""
+    return documents.select(text).mapInArrow(_defined, _DEFINED)
+
+
+def read_definitions(spark: SparkSession, path: str) -> DataFrame:
+    """``definitions`` of all files below a path."""
+    return definitions(_files(spark, path))
+
+
+def duplicates(defined: DataFrame) -> DataFrame:
+    """(id, n) of documents that are given more than once: a definition's name that comes twice tells."""
+    twice = defined.where("name IS NOT NULL").groupBy("id", "name").agg(F.count("*").alias("n"))
+    return twice.groupBy("id").agg(F.max("n").alias("n")).where("n > 1")
+
+
+def references(defined: DataFrame) -> DataFrame:
+    """(name, ref): the edges between definitions."""
+    return defined.select("name", F.explode("refs").alias("ref")).distinct()
+
+
+def loose(defined: DataFrame) -> DataFrame:
+    """(name, ref) where no definition answers the reference."""
+    return references(defined).join(defined.select(F.col("name").alias("ref")).distinct(), "ref", "left_anti").select("name", "ref")
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(name, ref): all that a definition refers to, directly or through others; a definition in a circle has itself.
+
+    Each round joins what is known with itself, so that circles and chains of any length take as many rounds as the
+    length has binary digits.
+    """
+    known = stored(edges.select("name", "ref").distinct(), "edges")
+    while True:
+        through = known.join(known.select(F.col("name").alias("ref"), F.col("ref").alias("end")), "ref").select("name", F.col("end").alias("ref"))
+        grown = stored(known.unionAll(through).distinct(), "edges")
+        if grown.count() == known.count():
+            return grown
+        known = grown
+
+
 def spark_type(known: dict[str, dict], definition: dict, nsid: str, depth: int = 8) -> T.DataType:
     """The Spark type of a definition; unions, unknowns and deep recursion stay JSON text."""
     kind = definition.get("type")
@@ -190,15 +273,16 @@ def _value(known, nsid, path, f, v, out) -> None:
             return say("is not a boolean")
         return say("is not the constant") if isinstance(f.get("const"), bool) and v != f["const"] else None
     if kind == "bytes":
-        raw = v.get("$bytes") if isinstance(v, dict) else None
-        size = len(raw) * 3 // 4 if isinstance(raw, str) else -1
-        if size < 0:
+        raw = _bytes(v.get("$bytes")) if isinstance(v, dict) else None
+        if raw is None:
             return say("is not bytes")
+        size = len(raw)
         return say("has a wrong size") if f.get("minLength", 0) and size < f["minLength"] or f.get("maxLength", 0) and size > f["maxLength"] else None
     if kind == "cid-link":
-        return None if isinstance(v, dict) and _CHECKS["cid"].match(str(v.get("$link"))) else say("is not a link")
+        link = v.get("$link") if isinstance(v, dict) else None
+        return None if isinstance(link, str) and _cid(link) else say("is not a link")
     if kind == "blob":
-        if not isinstance(v, dict) or v.get("$type") != "blob" or not isinstance((v.get("ref") or {}).get("$link"), str) or not isinstance(v.get("mimeType"), str) or not isinstance(v.get("size"), int):
+        if not _is_blob(v):
             return say("is not a blob")
         accept = f.get("accept")
         if accept and not any(a in ("*/*", v["mimeType"]) or a.endswith("/*") and v["mimeType"].startswith(a[:-1]) for a in accept):
@@ -234,6 +318,8 @@ def validate(records: DataFrame, known: dict[str, dict], keys: list[str], collec
                     wrong = violations(known, nsid, json.loads(text))
                 except (TypeError, ValueError):
                     wrong = [("", "not JSON")]
+                except RecursionError:
+                    wrong = [("", "is too deep")]
                 found.append([{"path": p, "message": m} for p, m in wrong])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(found, kind)], [*keys, "violations"])
 

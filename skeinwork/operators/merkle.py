@@ -166,6 +166,8 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cids, blobs = [], []
         for entries, children in zip(batch.column("entries").to_pylist(), batch.column("children").to_pylist(), strict=True):
             below = {c["run"]: c["cid"] for c in children}
+            if len(below) < len(children):
+                raise ValueError("two subtrees in one place: a block between them wasn't read")
             entries = sorted(entries, key=lambda e: e["key"].encode())
             left = below.get(entries[0]["sub"]) if entries else next(iter(below.values()))
             data = encode_node([(e["key"], e["cid"], below.get(e["sub"] + 1)) for e in entries], left)
@@ -174,50 +176,72 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("repo"), batch.column("run"), batch.column("runs"), pa.array(cids, pa.string()), pa.array(blobs, pa.binary())], ["repo", "run", "runs", "cid", "data"])
 
 
-def layers(records: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """The nodes of each layer (repo, run, runs, cid, data), and (repo, top) of every repository."""
-    tall = records.select("repo", "key", "cid", key_height(F.col("key")).alias("height"))
+def layers(records: DataFrame, subtrees: DataFrame | None = None) -> tuple[list[DataFrame], DataFrame]:
+    """The nodes of each layer (repo, run, runs, cid, data), and (repo, top) of every repository.
+
+    ``subtrees`` (repo, after, cid, level) are nodes that stay as they are, each with all below it; ``after`` is the
+    last key before it, empty where there is none.
+    """
+    tall = records.select("repo", "key", F.lit(0).alias("place"), "cid", key_height(F.col("key")).alias("height"), F.lit(None).cast("int").alias("level"))
     most = tall.agg(F.max("height")).first()[0]
     if most is None:
         return [], tall.groupBy("repo").agg(F.max("height").alias("top"))
-    before = W.partitionBy("repo").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
+    if subtrees is not None:
+        tall = tall.unionAll(subtrees.select("repo", "after", F.lit(1), "cid", F.lit(None).cast("int"), F.col("level").cast("int")))
+    before = W.partitionBy("repo").orderBy("key", "place").rowsBetween(W.unboundedPreceding, -1)
     # runs[L]: how many keys of layers above L - 1 come before; it numbers the runs of layer L - 1
     runs = F.array(*(F.coalesce(F.sum((F.col("height") >= level).cast("long")).over(before), F.lit(0)) for level in range(most + 2)))
     placed = stored(tall.withColumn("runs", runs), "keys")
     tops = placed.groupBy("repo").agg(F.max("height").alias("top"))
+    no_entry, no_child = F.lit(None).cast("struct<sub:bigint,key:string,cid:string>").alias("entry"), F.lit(None).cast("struct<run:bigint,cid:string>").alias("child")
     out: list[DataFrame] = []
     for level in range(most + 1):
+        run = F.col("runs")[level + 1].alias("run")
         entry = F.struct(F.col("runs")[level].alias("sub"), "key", "cid")
-        own = placed.where(F.col("height") == level).select("repo", F.col("runs")[level + 1].alias("run"), "runs", entry.alias("entry"), F.lit(None).cast("struct<run:bigint,cid:string>").alias("child"))
+        own = placed.where(F.col("height") == level).select("repo", run, "runs", entry.alias("entry"), no_child)
+        if subtrees is not None:
+            own = own.unionByName(placed.where(F.col("level") == level - 1).select("repo", run, "runs", no_entry, F.struct(F.col("runs")[level].alias("run"), "cid").alias("child")))
         if out:
             lower = out[-1].join(tops.where(F.col("top") >= level), "repo")
-            own = own.unionByName(lower.select("repo", F.col("runs")[level + 1].alias("run"), "runs", F.lit(None).cast("struct<sub:bigint,key:string,cid:string>").alias("entry"), F.struct("run", "cid").alias("child")))
+            own = own.unionByName(lower.select("repo", run, "runs", no_entry, F.struct("run", "cid").alias("child")))
         nodes = own.groupBy("repo", "run").agg(F.min("runs").alias("runs"), F.collect_list("entry").alias("entries"), F.collect_list("child").alias("children"))
         out.append(stored(nodes.mapInArrow(_encoded, "repo string, run bigint, runs array<bigint>, cid string, data binary"), f"layer{level}"))
     return out, tops
 
 
-def roots(records: DataFrame) -> DataFrame:
-    """(repo, root) from records (repo, key, cid)."""
-    found, tops = layers(records)
+def _tops(found: list[DataFrame], tops: DataFrame) -> DataFrame | None:
     out = None
     for level, nodes in enumerate(found):
         top = nodes.join(tops.where(F.col("top") == level), "repo").select("repo", F.col("cid").alias("root"))
         out = top if out is None else out.unionByName(top)
+    return out
+
+
+def roots(records: DataFrame) -> DataFrame:
+    """(repo, root) from records (repo, key, cid)."""
+    out = _tops(*layers(records))
     return out if out is not None else records.select("repo", F.lit("").alias("root")).limit(0)
 
 
-def node_blocks(records: DataFrame) -> DataFrame:
-    """(repo, cid, data) of every node, each block once for a repository."""
-    found, _ = layers(records)
-    if not found:
-        return records.select("repo", "cid", F.lit(b"").alias("data")).limit(0)
-    out = found[0].select("repo", "cid", "data")
-    for nodes in found[1:]:
+def _blocks(found: list[DataFrame], like: DataFrame) -> DataFrame:
+    out = like.select("repo", F.lit("").alias("cid"), F.lit(b"").alias("data")).limit(0)
+    for nodes in found:
         out = out.unionByName(nodes.select("repo", "cid", "data"))
     return out.dropDuplicates(["repo", "cid"])
 
 
+def node_blocks(records: DataFrame) -> DataFrame:
+    """(repo, cid, data) of every node, each block once for a repository."""
+    return _blocks(layers(records)[0], records)
+
+
+def tree_of(records: DataFrame, subtrees: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(repo, root) and (repo, cid, data), from one building of the layers; subtrees stay closed, as in ``layers``."""
+    found, tops = layers(records, subtrees)
+    tops = _tops(found, tops)
+    return tops if tops is not None else records.select("repo", F.lit("").alias("root")).limit(0), _blocks(found, records)
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         repos, keys, cids = [], [], []

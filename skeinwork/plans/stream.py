@@ -37,16 +37,16 @@ def e02_replay_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drop_replays(v_ops(spark, sf_dir)).select("seq", "repo", "rev")
 
 
-_CHAIN = "chain AS (SELECT seq, repo, rev, cid AS data, CASE WHEN seq % 23 = 0 THEN 'bafyother' ELSE lag(cid) OVER (PARTITION BY repo ORDER BY seq) END AS prev_data FROM ops WHERE cid IS NOT NULL)"
+_CHAIN = "chain AS (SELECT seq, repo, rev, data, CASE WHEN seq % 23 = 0 THEN 'bafyother' ELSE lag(data) OVER (PARTITION BY repo ORDER BY seq) END AS prev_data FROM (SELECT *, coalesce(cid, 'bafygone' || seq) AS data FROM ops))"
 
 
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commits with their data and what they claim to follow."""
+    """Every operation as a commit, with its data and what it claims to follow."""
     from pyspark.sql import Window as W
 
-    last = F.lag("cid").over(W.partitionBy("repo").orderBy("seq"))
-    commits = v_ops(spark, sf_dir).where("cid IS NOT NULL")
-    return commits.select("seq", "repo", "rev", F.col("cid").alias("data"), F.when(F.col("seq") % 23 == 0, "bafyother").otherwise(last).alias("prev_data"))
+    last = F.lag("data").over(W.partitionBy("repo").orderBy("seq"))
+    commits = v_ops(spark, sf_dir).withColumn("data", F.coalesce("cid", F.concat(F.lit("bafygone"), "seq")))
+    return commits.select("seq", "repo", "rev", "data", F.when(F.col("seq") % 23 == 0, "bafyother").otherwise(last).alias("prev_data"))
 
 
 @query(f"WITH {V_OPS}, {_CHAIN} SELECT seq, repo FROM (SELECT *, lag(data) OVER (PARTITION BY repo ORDER BY seq) AS last FROM chain) WHERE last IS NOT NULL AND prev_data IS DISTINCT FROM last")
@@ -160,11 +160,12 @@ def i11_sync_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.sync_outcomes(_syncs(spark, sf_dir), d07_chain_state(spark, sf_dir))
 
 
-@query(f"""WITH {V_OPS}, {_CHAIN}, {_SYNCS}, r AS (SELECT DISTINCT repo, path, max(seq) OVER (PARTITION BY repo, path) AS m FROM ops WHERE seq % 2 = 0 AND cid IS NOT NULL AND strlen(repo) % 2 = 0)
+@query(f"""WITH {V_OPS}, {_CHAIN}, {_SYNCS}, r AS (SELECT repo, path, max(seq) AS m FROM ops WHERE CAST(substr(repo, 10) AS BIGINT) % 5 <> 2 GROUP BY ALL HAVING arg_max(action, seq) <> 'delete')
 SELECT s.seq, s.repo, 'resync' AS action, r.path, CASE WHEN r.path IS NOT NULL THEN 'c' || r.m END AS cid, count(r.path) OVER (PARTITION BY s.repo) AS n_ops FROM syncs s LEFT JOIN r ON s.repo = r.repo WHERE (s.seq - 1000000) % 3 = 2""")
 def i12_resync_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the repositories that need a resync hold now; those without records give a marker."""
-    records = v_ops(spark, sf_dir).where("seq % 2 = 0 AND cid IS NOT NULL AND octet_length(repo) % 2 = 0").groupBy("repo", F.col("path").alias("key")).agg(F.concat(F.lit("c"), F.max("seq")).alias("cid"))
+    """What the repositories that need a resync hold now; those without records, here each fifth, give a marker."""
+    last = v_ops(spark, sf_dir).where("CAST(substr(repo, 10) AS BIGINT) % 5 <> 2").groupBy("repo", F.col("path").alias("key")).agg(F.concat(F.lit("c"), F.max("seq")).alias("cid"), F.max_by("action", "seq").alias("action"))
+    records = last.where("action <> 'delete'").drop("action")
     return streams.resync_ops(i11_sync_outcomes(spark, sf_dir).where("outcome = 'resync'"), records)
 
 

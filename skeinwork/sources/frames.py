@@ -61,6 +61,65 @@ def decode_frames(frames: DataFrame, frame: str = "frame", key: str = "event_id"
     return frames.select(key, frame).mapInArrow(run, f"{key} {kind}, {FRAME}")
 
 
+# --- label frames -----------------------------------------------------------------------------------------
+
+LABEL = "seq bigint, kind string, place int, src string, uri string, cid string, val string, neg boolean, cts string, error string, message string"
+_TEXTS = ("src", "uri", "cid", "val", "cts")
+
+
+def _label(value: object) -> list:
+    """The fields of one label in the order of ``LABEL``; src, uri, val and cts must be there."""
+    if not isinstance(value, dict) or any(not isinstance(value.get(n), str) for n in _TEXTS if n != "cid" or "cid" in value):
+        raise ValueError("not a label")
+    neg = value.get("neg")
+    if neg is not None and not isinstance(neg, bool):
+        raise ValueError("not a label")
+    return [value["src"], value["uri"], value.get("cid"), value["val"], bool(neg), value["cts"]]
+
+
+def decode_label_frame(data: bytes) -> list[list]:
+    """Rows of ``LABEL``: a row for each label of a frame, or one that says what else it is."""
+
+    def other(seq: int, kind: str | None, error: str | None, message: str | None) -> list[list]:
+        return [[seq, kind, None, *[None] * 6, error, message]]
+
+    try:
+        head, at = decode_at(data, 0)
+        if not isinstance(head, dict) or not isinstance(head.get("op"), int):
+            raise ValueError("bad header")
+        kind, raw = head.get("t", ""), data[at:]
+        if head["op"] == 1 and kind not in ("#labels", "#info") or head["op"] not in (1, -1):
+            return other(best_effort_seq(raw), kind, "UnknownFrameError", f"op {head['op']}, type {kind}")
+        body = decode(raw)
+        if not isinstance(body, dict):
+            raise ValueError("not a map")
+        if head["op"] == -1:
+            return other(0, None, "StreamError", f"{body.get('error', '')}: {body.get('message', '')}")
+        if kind == "#info":
+            return other(0, kind, None, f"{body.get('name', '')}: {body.get('message', '')}")
+        seq, labels = body.get("seq", 0), body.get("labels")
+        if not isinstance(labels, list) or not isinstance(seq, int):
+            raise ValueError("no labels")
+        return [[seq, kind, k, *_label(x), None, None] for k, x in enumerate(labels)]
+    except (ValueError, UnicodeDecodeError) as why:
+        return other(0, None, "DecodeError", str(why))
+
+
+def decode_label_frames(frames: DataFrame, frame: str = "frame", key: str = "event_id") -> DataFrame:
+    """``key`` and the rows of binary label frames; errors stay as rows."""
+    kind = frames.schema[key].dataType.simpleString()
+    kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 4, pa.bool_(), *[pa.string()] * 3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in LABEL.split(", ")]
+        for batch in batches:
+            found = [(k, row) for k, x in enumerate(batch.column(1).to_pylist()) for row in decode_label_frame(x or b"")]
+            keys = batch.column(0).take(pa.array([k for k, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[i] for _, r in found], t) for i, t in enumerate(kinds))], [key, *names])
+
+    return frames.select(key, frame).mapInArrow(run, f"{key} {kind}, {LABEL}")
+
+
 # --- JSON frames, in built-in functions ------------------------------------------------------------------
 
 JSON_FRAME = (

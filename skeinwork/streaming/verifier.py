@@ -24,6 +24,7 @@ from skeinwork.functions.tids import DIGITS
 from skeinwork.operators import merkle, streams
 from skeinwork.session import stored, work_dir
 from skeinwork.sources import archives, commits as commit_blocks
+from skeinwork.streaming.files import ordered_files
 
 _REV = re.compile(rf"\A{TID}\Z")
 #: Commits in a batch of the stream.
@@ -251,19 +252,13 @@ def stateful(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
 def verify_stream(checked_rows: DataFrame, rows_a_batch: int = ROWS_A_BATCH, least: int = 3, policy: Policy = Policy()) -> DataFrame:
     """The ``checked`` commits verified as a stream of several batches, each a range of the sequence in one file, and read back.
 
-    Files are written one after the other, as a stream takes them by age; there are ``least`` at least and as many as
-    the rows ask for, and the state store carries every repository from batch to batch.
+    The ranges are written by one job. There are ``least`` at least and as many as the rows ask for, and the state store
+    carries every repository from batch to batch.
     """
     spark = checked_rows.sparkSession
-    source, sink, state = (work_dir(spark, x) for x in ("commits", "outcomes", "state"))
-    rows = checked_rows.select("seq", "repo", *FIELDS)
-    rows = stored(rows, "checked")
-    n = max(least, -(-rows.count() // rows_a_batch))
-    ordered = stored(rows.repartitionByRange(n, "seq"), "ranges")
-    cuts = ordered.agg(F.percentile_approx("seq", F.array(*(F.lit(k / n) for k in range(1, n))), 10_000).alias("at")).first()["at"] or []
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        own = ordered if low is None else ordered.where(F.col("seq") > low)
-        (own if high is None else own.where((F.col("seq") <= high) | F.col("seq").isNull())).coalesce(1).write.mode("append").parquet(source)
+    sink, state = (work_dir(spark, x) for x in ("outcomes", "state"))
+    rows = stored(checked_rows.select("seq", "repo", *FIELDS), "checked")
+    source = ordered_files(rows, "seq", max(least, -(-rows.count() // rows_a_batch)))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     query = stateful(stream, policy).writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -8,7 +8,7 @@ from skeinwork.streaming import verifier
 from skeinwork.streaming.verifier import Checked, Policy, State, early_outcome, is_legacy, step
 
 SF = "/root/testdata/sf0.001"
-REV, LATER = "3jqfcqzm3fo2j", "3jqfcqzm4fo2j"
+REV, LATER = "3kabcdefghj2k", "3kabcdefgij2k"
 GOOD = Checked(LATER, "d1", None, False, "d2", True, False, "d1", None, None, 0, True, True)
 KNOWN = State(REV, "d1")
 
