@@ -8,7 +8,7 @@ byte cost. Weights begin anew with every ``SEGMENT`` bytes of a text, contexts d
 
 What is gathered are the counts of all (context, byte) pairs of all training texts: every block of documents sends its
 distinct pairs with their counts to ranges of the contexts' hashes, a range adds them up and answers each pair with the
-eight bits' stretched probabilities. A context of up to five bytes has a hash of its own, words have 56 bits of one.
+eight bits' stretched probabilities. A context of up to five bytes has a hash of its own, words have 48 bits of one.
 Words for the base score go the same way, compared as text.
 
 Null and empty texts are one end. Null ids count as empty text for the split into training and held-out rows. Repeated
@@ -32,13 +32,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from skeinwork.llm.arrays import IS_SPACE, buffer_of, finish, span_hashes
 from skeinwork.llm.blocks import Bucketed, blocks, opened, pack, pack_batch, pack_sorted, unpack, unpack_sorted
 from skeinwork.llm.common import staged
-from skeinwork.llm.ranges import cuts_of, grouped, heads_of, ranges_log
+from skeinwork.llm.ranges import grouped, heads_of, ranges_log
 
 #: Bytes of the contexts, from the shortest; the context after them is the word so far.
 ORDERS, END = (2, 3, 5), 255
 CONTEXTS, PAD = len(ORDERS) + 1, max(ORDERS)
 #: Text bytes of a block, for which a task takes some 80 times as much memory.
-BLOCK = 2 << 20
+BLOCK = 3 << 20
+#: Ranges for each range that other operators would take.
+FINER = 4
 #: Bytes after which the weights begin anew.
 SEGMENT = 4096
 #: First weight of each context, from the shortest; the step of the gradient; what is added to both counts of a bit.
@@ -49,7 +51,7 @@ SCALE = 12.0
 TIMES = 32
 #: Gates: no context seen, or which is the longest and four classes of how often it was seen.
 CLASSES = 4
-_ODD, _LOW56 = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 56) - 1)
+_ODD, _LOW56, _LOW48, WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 56) - 1), np.uint64((1 << 48) - 1), 255
 QUESTION = "part int, block bigint, keys binary, counts binary, words binary"
 ANSWER = "block bigint, part int, bits binary, words binary, n_words bigint, n_kinds bigint"
 
@@ -70,37 +72,39 @@ def dense(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     mixed = code << np.uint64(room)
     mixed |= np.arange(n, dtype=np.uint64)
     mixed.sort()
-    place = (mixed & np.uint64((1 << room) - 1)).astype(np.int64)
+    place = (mixed & np.uint64((1 << room) - 1)).view(np.int64)
     mixed >>= np.uint64(room)
-    heads = heads_of(mixed)
+    new = np.ones(n, bool)
+    np.not_equal(mixed[1:], mixed[:-1], out=new[1:])
+    heads = place[new]
     if bits + room > 64 and len(heads_of(code[place])) > len(heads):
         _, at, inverse = np.unique(code, return_index=True, return_inverse=True)
         return inverse.astype(np.int32), at
     inverse = np.empty(n, np.int32)
-    inverse[place] = grouped(heads, n)
-    return inverse, place[heads]
+    inverse[place] = np.cumsum(new, dtype=np.int32) - 1
+    return inverse, heads
 
 
-def hashed(context: np.ndarray) -> np.ndarray:
+def hashed(x: np.ndarray) -> np.ndarray:
     """56 bits of a number, each number below 2^56 with bits of its own."""
-    context = (context * _ODD) & _LOW56
-    context ^= context >> np.uint64(28)
-    return (context * _ODD) & _LOW56
+    x = (x * _ODD) & _LOW56
+    x ^= x >> np.uint64(28)
+    return (x * _ODD) & _LOW56
 
 
 def keys_of(stream: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-    """The hash of the bytes before each place, then its byte."""
+    """The context before each place as a number, its order in front, then the place's byte."""
     context = np.full(len(at), order << 48, np.uint64)
     for k in range(order):
-        context ^= stream[at - 1 - k].astype(np.uint64) << np.uint64(8 * k)
-    return (hashed(context) << np.uint64(8)) | stream[at]
+        context |= stream[at - 1 - k].astype(np.uint64) << np.uint64(8 * k)
+    return (context << np.uint64(8)) | stream[at]
 
 
 def word_contexts(stream: np.ndarray) -> np.ndarray:
     """A hash of the bytes from the last white space or the text's begin to each place, that place left out."""
     starts = np.flatnonzero(np.concatenate([[True], (IS_SPACE | (np.arange(256) == END))[stream[:-1]]]) if len(stream) else np.zeros(0, bool))
     begin = np.repeat(starts, np.diff(np.append(starts, len(stream))))
-    return span_hashes(stream, begin, np.arange(len(stream)), END) & _LOW56
+    return (span_hashes(stream, begin, np.arange(len(stream)), END) & _LOW48) | np.uint64(WORD << 48)
 
 
 class Block:
@@ -120,30 +124,38 @@ class Block:
         learnt = np.zeros(base[-1] + 1, np.int8)  # differences of a mask over the places of training texts
         np.add.at(learnt, self.begin[~held], 1)
         np.add.at(learnt, self.end[~held], -1)
-        self.learnt = np.cumsum(learnt[:-1], dtype=np.int8)[PAD:].astype(bool)
+        self.learnt = np.flatnonzero(np.cumsum(learnt[:-1], dtype=np.int8)[PAD:])
         self.number, keys, counts = [], [], []
         whole = self.stream.astype(np.uint64)
+        triples, at = dense(whole[2:] | whole[1:-1] << np.uint64(8) | whole[:-2] << np.uint64(16), 24) if len(whole) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         for order in ORDERS:
-            if order < 5:
+            if order == 2:
+                number, place = triples[PAD - 2 :], None
+            elif order < 5:
                 code = whole[PAD:].copy()
                 for k in range(order):
                     code |= whole[PAD - 1 - k : -1 - k] << np.uint64(8 * (k + 1))
                 number, place = dense(code, 8 * (order + 1))
             else:  # six bytes are two triples, each by its number
-                triples = dense(whole[2:] | whole[1:-1] << np.uint64(8) | whole[:-2] << np.uint64(16), 24)[0].astype(np.uint64)
+                wide = triples.astype(np.uint64)
                 room = max(1, int(triples.max(initial=0)).bit_length())
-                number, place = dense(triples[3:] | triples[:-3] << np.uint64(room), 2 * room)
+                number, place = dense(wide[3:] | wide[:-3] << np.uint64(room), 2 * room)
             self.number.append(number)
-            keys.append(keys_of(self.stream, place + PAD, order))
-            counts.append(np.bincount(number[self.learnt], minlength=len(place)))
+            keys.append(keys_of(self.stream, at + 2 if place is None else place + PAD, order))
+            counts.append(np.bincount(number[self.learnt], minlength=len(keys[-1])))
         word = (word_contexts(self.stream)[PAD:] << np.uint64(8)) | self.stream[PAD:]
         number, place = dense(finish(word), 64)
         self.number.append(number)
         keys.append(word[place])
         counts.append(np.bincount(number[self.learnt], minlength=len(place)))
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        self.order = np.argsort(keys)
-        self.keys, self.counts = keys[self.order], counts[self.order]
+        self.sizes = [len(k) for k in keys]
+        self.keys, self.counts = np.concatenate(keys), np.concatenate(counts)
+
+    def ranged(self, log: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs in the order of their ranges, and where the ranges begin; a context's pairs are in one range."""
+        part = hashed(self.keys >> np.uint64(8)) >> np.uint64(56 - log)
+        order = np.lexsort((self.keys, part))
+        return order, np.searchsorted(part[order], np.arange((1 << log) + 1, dtype=np.uint64))
 
     def words(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """The distinct words, their counts in training texts, and all words by number with each text's end in them."""
@@ -171,7 +183,8 @@ def asked(log: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 block = Block(data)
-                cut = cuts_of(block.keys, 64, log)
+                at, cut = block.ranged(log)
+                keys, learnt = block.keys[at], block.counts[at].astype(np.uint32)
                 words, counts, *_ = block.words()
                 order, word_cut = word_parts(words, log)
                 rows = []
@@ -179,7 +192,7 @@ def asked(log: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
                     a, b, own = cut[p], cut[p + 1], order[word_cut[p] : word_cut[p + 1]]
                     if a < b or len(own):
                         held = pa.RecordBatch.from_arrays([pa.array([words[k] for k in own], pa.binary()), pa.array(counts[own], pa.int64())], ["word", "n"])
-                        rows.append((p, number, pack_sorted(block.keys[a:b]), pack(block.counts[a:b].astype(np.uint32)), pack_batch(held)))
+                        rows.append((p, number, pack_sorted(keys[a:b]), pack(learnt[a:b]), pack_batch(held)))
                 columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "block", "keys", "counts", "words"])
 
@@ -276,13 +289,11 @@ def mixed(numbers: list[np.ndarray], bits: list[np.ndarray], begin: np.ndarray,
 
 def scores(block: Block, answers: pa.Table, log: int, segment: int = SEGMENT) -> np.ndarray:
     """The natural logarithm of each text's probability."""
-    cut, bits = cuts_of(block.keys, 64, log), np.zeros((len(block.keys), 9), np.int8)
+    at, cut = block.ranged(log)
+    bits = np.zeros((len(at), 9), np.int8)
     for part, data in zip(answers.column("part").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-        bits[cut[part] : cut[part + 1]] = np.frombuffer(zstandard.decompress(data), np.int8).reshape(9, -1).T
-    by_order = np.empty_like(bits)
-    by_order[block.order] = bits
-    ends = np.cumsum([int(x.max(initial=-1)) + 1 for x in block.number])
-    tables = [by_order[e - (int(x.max(initial=-1)) + 1) : e] for x, e in zip(block.number, ends, strict=True)]
+        bits[at[cut[part] : cut[part + 1]]] = np.frombuffer(zstandard.decompress(data), np.int8).reshape(9, -1).T
+    tables = np.split(bits, np.cumsum(block.sizes)[:-1])
     n = -(-(block.end - block.begin) // segment)
     row = np.repeat(np.arange(len(n)), n)
     begin = block.begin[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * segment
@@ -296,18 +307,20 @@ def score(docs: DataFrame, text: str = "text", segment: int = SEGMENT) -> DataFr
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
     own = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("_held"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    table = Bucketed(blocks(own, most=BLOCK), "block", "scored")
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "n_ends", "log_sum", "score", "n_bytes", "n_words", "n_kinds"]
+    kinds = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    shape = ", ".join(f"{n} {k}" for n, k in zip(names, [kind.simpleString(), "boolean", *["bigint"] * 3, "double", "double", *["bigint"] * 3], strict=True))
+    table = Bucketed(blocks(own, most=BLOCK), "block", "scored", deal=False)
     try:
         held = table.rows.select("block", "data")
-        log = ranges_log(table.rows.agg(F.sum("size")).first()[0] or 0)
-        answers = staged(held.mapInArrow(asked(log), QUESTION).groupBy("part").applyInArrow(answer, ANSWER), "predictions")
-        n_ends = own.where(~F.col("_held")).count()
-        n_words, n_kinds = answers.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_kinds"), F.lit(0))).first()
-        n_train = n_words + n_ends
-        rest = math.log10(n_train + n_kinds + (n_ends > 0) + 1)
+        log = min(20, ranges_log(FINER * (table.rows.agg(F.sum("size")).first()[0] or 0)))
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            out = []
+            """The rows of a block; or what the ranges say of all words, in rows without ``held_out``."""
+            out = [pa.table([pa.array([], k) for k in kinds], names=names)]
+            if not left.num_rows:
+                blank = [pa.nulls(right.num_rows, k) for k in kinds[:-2]]
+                out.append(pa.table([*blank, right.column("n_words"), right.column("n_kinds")], names=names))
             for data in left.column("data").to_pylist():
                 block = Block(data)
                 words, _, number, ends = block.words()
@@ -317,16 +330,20 @@ def score(docs: DataFrame, text: str = "text", segment: int = SEGMENT) -> DataFr
                     counts[order[cut[part] : cut[part + 1]]] = unpack(said, np.int64)
                 row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
                 n = np.bincount(row, minlength=len(ends)) + 1
-                known = np.bincount(row, counts[number] > 0, minlength=len(ends)).astype(np.int64) + (n_ends > 0)
-                base = np.bincount(row, np.log10(counts + 1.0)[number], minlength=len(ends)) + math.log10(n_ends + 1) - n * rest
-                cost, size = scores(block, right, log, segment), block.end - block.begin
-                columns = [block.ids.cast(id_type), pa.array(block.held), pa.array(n, pa.int64()), pa.array(known), pa.array([n_train] * len(n), pa.int64()), pa.array(base), pa.array(cost / math.log(10)), pa.array(size, pa.int64()), pa.array(-cost / math.log(2) / size)]
-                out.append(pa.table(columns, names=names))
+                known = np.bincount(row, counts[number] > 0, minlength=len(ends))
+                logs = np.bincount(row, np.log10(counts + 1.0)[number], minlength=len(ends))
+                cost, size, none = scores(block, right, log, segment) / math.log(10), block.end - block.begin, np.zeros(len(n))
+                columns = [block.ids, block.held, n, known, ~block.held, logs, cost, size, none, none]
+                out.append(pa.table([(c if isinstance(c, pa.Array) else pa.array(c)).cast(k) for c, k in zip(columns, kinds, strict=True)], names=names))
             return pa.concat_tables(out)
 
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
-        shape = ", ".join(f"{n} {k}" for n, k in zip(names, [kind.simpleString(), "boolean", *["bigint"] * 3, "double", "double", "bigint", "double"], strict=True))
-        beside = held.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
-        return staged(beside.applyInArrow(run, shape), "scores")
+        answers = held.mapInArrow(asked(log), QUESTION).groupBy("part").applyInArrow(answer, ANSWER)
+        rows = staged(held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, shape), "scores")
     finally:
         table.drop()
+    n_words, n_kinds, n_ends = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_kinds", "n_ends"))).first()
+    n_train, rest = n_words + n_ends, math.log10(n_words + n_ends + n_kinds + (n_ends > 0) + 1)
+    base = F.col("log_sum") + math.log10(n_ends + 1) - F.col("n_tokens") * rest
+    per_byte = -F.col("score") * math.log2(10) / F.col("n_bytes")
+    known = F.col("n_known") + int(n_ends > 0)
+    return rows.where("held_out IS NOT NULL").select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes", per_byte.alias("bits_per_byte"))
