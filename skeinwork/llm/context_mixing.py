@@ -7,8 +7,8 @@ longest context seen and how often it was seen, and after each byte the weights
 byte cost. Weights begin anew with every ``SEGMENT`` bytes of a text, contexts don't.
 
 What is gathered are the counts of all (context, byte) pairs of all training texts: every block of documents sends its
-distinct pairs with their counts to ranges of the contexts' hashes, a range adds them up and answers each pair with the
-eight bits' stretched probabilities. A context of up to five bytes has a hash of its own, words have 48 bits of one.
+distinct pairs with their counts to ranges of the contexts, a range adds them up and answers each pair with the
+eight bits' stretched probabilities. Up to five bytes are compared as they are, words by 48 bits of a hash.
 Words for the base score go the same way, compared as text.
 
 Null and empty texts are one end. Null ids count as empty text for the split into training and held-out rows. Repeated
@@ -38,7 +38,9 @@ from skeinwork.llm.ranges import grouped, heads_of, ranges_log
 ORDERS, END = (2, 3, 5), 255
 CONTEXTS, PAD = len(ORDERS) + 1, max(ORDERS)
 #: Text bytes of a block, for which a task takes some 80 times as much memory.
-BLOCK = 3 << 20
+BLOCK = 2 << 20
+#: Blocks whose contexts tell where ranges begin; the places change no result.
+SAMPLED = 8
 #: Ranges for each range that other operators would take.
 FINER = 4
 #: Bytes after which the weights begin anew.
@@ -51,7 +53,7 @@ SCALE = 12.0
 TIMES = 32
 #: Gates: no context seen, or which is the longest and four classes of how often it was seen.
 CLASSES = 4
-_ODD, _LOW56, _LOW48, WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 56) - 1), np.uint64((1 << 48) - 1), 255
+_LOW48, WORD = np.uint64((1 << 48) - 1), 255
 QUESTION = "part int, block bigint, keys binary, counts binary, words binary"
 ANSWER = "block bigint, part int, bits binary, words binary, n_words bigint, n_kinds bigint"
 
@@ -85,13 +87,6 @@ def dense(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return inverse, heads
 
 
-def hashed(x: np.ndarray) -> np.ndarray:
-    """56 bits of a number, each number below 2^56 with bits of its own."""
-    x = (x * _ODD) & _LOW56
-    x ^= x >> np.uint64(28)
-    return (x * _ODD) & _LOW56
-
-
 def keys_of(stream: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     """The context before each place as a number, its order in front, then the place's byte."""
     context = np.full(len(at), order << 48, np.uint64)
@@ -151,11 +146,10 @@ class Block:
         self.sizes = [len(k) for k in keys]
         self.keys, self.counts = np.concatenate(keys), np.concatenate(counts)
 
-    def ranged(self, log: int) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs in the order of their ranges, and where the ranges begin; a context's pairs are in one range."""
-        part = hashed(self.keys >> np.uint64(8)) >> np.uint64(56 - log)
-        order = np.lexsort((self.keys, part))
-        return order, np.searchsorted(part[order], np.arange((1 << log) + 1, dtype=np.uint64))
+    def ranged(self, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs in order, and where the ranges begin, which ``bounds`` part; a context's pairs are in one range."""
+        order = np.argsort(self.keys)
+        return order, np.concatenate([[0], np.searchsorted(self.keys[order] >> np.uint64(8), bounds), [len(order)]])
 
     def words(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """The distinct words, their counts in training texts, and all words by number with each text's end in them."""
@@ -176,20 +170,37 @@ def word_parts(words: list[bytes], log: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange((1 << log) + 1))
 
 
-def asked(log: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def bounds_of(held: DataFrame, log: int) -> np.ndarray:
+    """The contexts at which ranges begin, from the distinct pairs of a few blocks: as many pairs in each range there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                contexts = np.sort(Block(data).keys) >> np.uint64(8)
+                at = (np.arange(1, 1 << log) * len(contexts)) >> log
+                yield pa.RecordBatch.from_arrays([pa.array([contexts[at].tolist() if len(contexts) else []], pa.list_(pa.int64()))], ["contexts"])
+
+    some = held.select("block").orderBy(F.xxhash64("block")).limit(SAMPLED)
+    found = [r.contexts for r in held.join(some, "block", "left_semi").select("data").mapInArrow(run, "contexts array<bigint>").collect()]
+    every = np.sort(np.concatenate([np.zeros(0, np.int64), *(np.array(f, np.int64) for f in found)])).astype(np.uint64)
+    return np.unique(every[(np.arange(1, 1 << log) * len(every)) >> log]) if len(every) else every
+
+
+def asked(log: int, bounds: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The distinct pairs and words of every block, by range, with their counts in its training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 block = Block(data)
-                at, cut = block.ranged(log)
+                at, cut = block.ranged(bounds)
                 keys, learnt = block.keys[at], block.counts[at].astype(np.uint32)
                 words, counts, *_ = block.words()
                 order, word_cut = word_parts(words, log)
                 rows = []
                 for p in range(1 << log):
-                    a, b, own = cut[p], cut[p + 1], order[word_cut[p] : word_cut[p + 1]]
+                    a, b = (cut[p], cut[p + 1]) if p + 1 < len(cut) else (0, 0)
+                    own = order[word_cut[p] : word_cut[p + 1]]
                     if a < b or len(own):
                         held = pa.RecordBatch.from_arrays([pa.array([words[k] for k in own], pa.binary()), pa.array(counts[own], pa.int64())], ["word", "n"])
                         rows.append((p, number, pack_sorted(keys[a:b]), pack(learnt[a:b]), pack_batch(held)))
@@ -287,12 +298,13 @@ def mixed(numbers: list[np.ndarray], bits: list[np.ndarray], begin: np.ndarray,
     return out
 
 
-def scores(block: Block, answers: pa.Table, log: int, segment: int = SEGMENT) -> np.ndarray:
+def scores(block: Block, answers: pa.Table, bounds: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
     """The natural logarithm of each text's probability."""
-    at, cut = block.ranged(log)
+    at, cut = block.ranged(bounds)
     bits = np.zeros((len(at), 9), np.int8)
     for part, data in zip(answers.column("part").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-        bits[at[cut[part] : cut[part + 1]]] = np.frombuffer(zstandard.decompress(data), np.int8).reshape(9, -1).T
+        if part + 1 < len(cut):
+            bits[at[cut[part] : cut[part + 1]]] = np.frombuffer(zstandard.decompress(data), np.int8).reshape(9, -1).T
     tables = np.split(bits, np.cumsum(block.sizes)[:-1])
     n = -(-(block.end - block.begin) // segment)
     row = np.repeat(np.arange(len(n)), n)
@@ -315,6 +327,8 @@ def score(docs: DataFrame, text: str = "text", segment: int = SEGMENT) -> DataFr
         held = table.rows.select("block", "data")
         log = min(20, ranges_log(FINER * (table.rows.agg(F.sum("size")).first()[0] or 0)))
 
+        bounds = bounds_of(held, log)
+
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             """The rows of a block; or what the ranges say of all words, in rows without ``held_out``."""
             out = [pa.table([pa.array([], k) for k in kinds], names=names)]
@@ -332,12 +346,12 @@ def score(docs: DataFrame, text: str = "text", segment: int = SEGMENT) -> DataFr
                 n = np.bincount(row, minlength=len(ends)) + 1
                 known = np.bincount(row, counts[number] > 0, minlength=len(ends))
                 logs = np.bincount(row, np.log10(counts + 1.0)[number], minlength=len(ends))
-                cost, size, none = scores(block, right, log, segment) / math.log(10), block.end - block.begin, np.zeros(len(n))
+                cost, size, none = scores(block, right, bounds, segment) / math.log(10), block.end - block.begin, np.zeros(len(n))
                 columns = [block.ids, block.held, n, known, ~block.held, logs, cost, size, none, none]
                 out.append(pa.table([(c if isinstance(c, pa.Array) else pa.array(c)).cast(k) for c, k in zip(columns, kinds, strict=True)], names=names))
             return pa.concat_tables(out)
 
-        answers = held.mapInArrow(asked(log), QUESTION).groupBy("part").applyInArrow(answer, ANSWER)
+        answers = held.mapInArrow(asked(log, bounds), QUESTION).groupBy("part").applyInArrow(answer, ANSWER)
         rows = staged(held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, shape), "scores")
     finally:
         table.drop()
