@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from skeinwork.llm.arrays import IS_SPACE, buffer_of, finish, span_hashes
+from skeinwork.llm.arrays import IS_SPACE, buffer_of, finish, mix, span_hashes
 from skeinwork.llm.blocks import Bucketed, blocks, opened, pack, pack_batch, pack_sorted, unpack, unpack_sorted
 from skeinwork.llm.common import staged
 from skeinwork.llm.ranges import grouped, heads_of, ranges_log
@@ -227,6 +227,23 @@ def predicted(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def pack_rows(kinds: np.ndarray, number: np.ndarray) -> bytes:
+    """Rows of nine signed bytes by their numbers among distinct ones: most pairs have one of few rows."""
+    used, own = np.unique(number, return_inverse=True)
+    table = kinds[used]
+    small = own.astype(np.uint16) if len(used) < 1 << 16 else own.astype(np.uint32)
+    head = np.array([len(used), small.itemsize], np.uint32).tobytes()
+    return zstandard.compress(head + np.ascontiguousarray(table.T).tobytes() + np.ascontiguousarray(small.view(np.uint8).reshape(len(own), small.itemsize).T).tobytes(), 3)
+
+
+def unpack_rows(data: bytes) -> np.ndarray:
+    raw = zstandard.decompress(data)
+    n, wide = (int(x) for x in np.frombuffer(raw, np.uint32, 2))
+    table = np.frombuffer(raw, np.int8)[8 : 8 + 9 * n].reshape(9, n).T
+    planes = np.frombuffer(raw, np.uint8)[8 + 9 * n :].reshape(wide, -1)
+    return table[np.ascontiguousarray(planes.T).view(f"<u{wide}").ravel()]
+
+
 def answer(group: pa.Table) -> pa.Table:
     """All blocks' counts of a range added up, and each block's pairs and words answered."""
     blocks_, parts = group.column("block").to_pylist(), group.column("part").to_pylist()
@@ -237,8 +254,10 @@ def answer(group: pa.Table) -> pa.Table:
     heads = heads_of(keys[order])
     sums = np.add.reduceat(counts[order], heads) if len(keys) else counts
     bits = predicted(keys[order][heads], sums)
+    eight = np.ascontiguousarray(bits[:, :8]).view(np.int64).ravel()
+    _, first, kind = np.unique(mix(eight.view(np.uint64), bits[:, 8].astype(np.uint64)), return_index=True, return_inverse=True)
     at = np.empty(len(keys), np.int64)
-    at[order] = grouped(heads, len(keys))
+    at[order] = kind[grouped(heads, len(keys))]
     asked_words = [opened(d) for d in group.column("words").to_pylist()]
     words = pa.chunked_array([w.column(0) for w in asked_words]).combine_chunks().dictionary_encode()
     numbers = words.indices.to_numpy(zero_copy_only=False)
@@ -247,7 +266,7 @@ def answer(group: pa.Table) -> pa.Table:
     rows = [(-1, parts[0], b"", b"", int(n.sum()), int((n > 0).sum()))]
     for k, block in enumerate(blocks_):
         own, own_words = at[ends[k] - len(found[k]) : ends[k]], numbers[word_ends[k] - asked_words[k].num_rows : word_ends[k]]
-        rows.append((block, parts[0], zstandard.compress(np.ascontiguousarray(bits[own].T).tobytes(), 1), pack(n[own_words]), 0, 0))
+        rows.append((block, parts[0], pack_rows(bits[first], own), pack(n[own_words]), 0, 0))
     kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()
     return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["block", "part", "bits", "words", "n_words", "n_kinds"])
 
@@ -304,7 +323,7 @@ def scores(block: Block, answers: pa.Table, bounds: np.ndarray, segment: int = S
     bits = np.zeros((len(at), 9), np.int8)
     for part, data in zip(answers.column("part").to_pylist(), answers.column("bits").to_pylist(), strict=True):
         if part + 1 < len(cut):
-            bits[at[cut[part] : cut[part + 1]]] = np.frombuffer(zstandard.decompress(data), np.int8).reshape(9, -1).T
+            bits[at[cut[part] : cut[part + 1]]] = unpack_rows(data)
     tables = np.split(bits, np.cumsum(block.sizes)[:-1])
     n = -(-(block.end - block.begin) // segment)
     row = np.repeat(np.arange(len(n)), n)

@@ -33,9 +33,10 @@ from skeinwork.llm.arrays import pieces
 
 # How HTML's elements nest.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("button script style noscript template svg math iframe object head title canvas audio video select".split())
+HIDDEN = set("button script style noscript template svg iframe title canvas audio video select".split())
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img object".split())
+INLINE |= set("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace semantics annotation".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", "select", "div", "section", "article", "aside", "nav", "form", "blockquote", "body"}
@@ -103,6 +104,8 @@ def tree_of(page: str) -> list[Node]:
             if k := last(tag):
                 cut(k)
             continue
+        if tag == "head":  # it ends where something comes that can't stand in it, and what can is hidden by itself
+            continue
         if tag in INLINE:
             if tag == "br":
                 run.append((" ", linked > 0))
@@ -112,7 +115,7 @@ def tree_of(page: str) -> list[Node]:
         if tag in HIDDEN:
             flush()
             if not m[0].endswith("/>"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>|$" if tag != "head" else r"</head\s*>|(?=<body)|$", re.I).search(page, at)
+                stop = re.compile(rf"</{re.escape(tag)}\s*>|$", re.I).search(page, at)
                 at = stop.end()
             continue
         flush()
@@ -411,8 +414,10 @@ def trained() -> TreeModel:
 
 
 def blocks_of(page: str, model: TreeModel) -> list[tuple[str, float]]:
-    """Every block of the page with its content marginal, in page order."""
+    """Every block of the page with its content marginal, in page order; a page without elements is all content."""
     nodes = tree_of(page)
+    if all(x.text is not None for x in nodes[1:]):
+        return [(x.text, 1.0) for x in nodes[1:]]
     return [(x.text, p) for x, p in zip(nodes, model.marginals(nodes), strict=True) if x.text is not None]
 
 

@@ -76,3 +76,25 @@ def test_deep_pages_take_time_in_proportion():
     nodes = hx.tree_of(f"{deep}<p>{'word ' * 40}.</p>" + "<p>x</p></b></p>" * 5000)
     assert len(nodes) > 50_000 and len(hx.trained().marginals(nodes)) == len(nodes)
     assert time.time() - began < 30
+
+
+def test_heads_and_bodies_may_be_left_out():
+    text = "A paragraph of the article, long enough to be read as text."
+    for page in (
+        f"<html><head><title>x</title><meta charset=utf-8><article><h1>A title of some words</h1><p>{text}</p></article>",
+        f"<head><title>x</title><script>var a = 1;</script><link rel=a><style>p{{}}</style></head><article><h1>A title of some words</h1><p>{text}</p></article>",
+        f"<title>x</title><body><article><h1>A title of some words</h1><p>{text}</p></article>",
+        f"<html><head><article><h1>A title of some words</h1><p>{text}</p></article></html>",
+    ):
+        assert texts_of(page) == ["A title of some words", text]
+
+
+def test_formulas_and_objects_stay_in_their_blocks():
+    page = "<article><p>The area is <math><mrow><mi>a</mi><mo>=</mo><mi>b</mi></mrow></math> as all of us know well.</p><p>What is in <object data='x'>an object</object> stays here, too.</p></article>"
+    assert texts_of(page) == ["The area is a=b as all of us know well.", "What is in an object stays here, too."]
+
+
+def test_pages_without_elements_are_all_text():
+    line = "word " * 400
+    assert texts_of(line) == [line.strip()]
+    assert texts_of("one &amp; two") == ["one & two"]
