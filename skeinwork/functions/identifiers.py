@@ -18,13 +18,25 @@ NSID = rf"{TOP}(?:\.{LABEL})+\.[a-zA-Z][a-zA-Z0-9]{{0,62}}"
 RECORD_KEY = r"[a-zA-Z0-9_~.:-]{1,512}"
 TID = r"[2-7a-j][2-7a-z]{12}"
 URI = r"[a-zA-Z][a-zA-Z0-9+.-]{0,80}:[^\x00-\x20\x7F]+"
-LANGUAGE = (
-    r"(?:(?:en-GB-oed|i-ami|i-bnn|i-default|i-enochian|i-hak|i-klingon|i-lux|i-mingo|i-navajo|i-pwn|i-tao|i-tay|i-tsu|sgn-BE-FR|sgn-BE-NL|sgn-CH-DE"
-    r"|art-lojban|cel-gaulish|no-bok|no-nyn|zh-guoyu|zh-hakka|zh-min|zh-min-nan|zh-xiang)"
-    r"|(?:(?:[A-Za-z]{2,3}(?:-[A-Za-z]{3}(?:-[A-Za-z]{3}){0,2})?|[A-Za-z]{4}|[A-Za-z]{5,8})(?:-[A-Za-z]{4})?(?:-(?:[A-Za-z]{2}|[0-9]{3}))?"
-    r"(?:-(?:[A-Za-z0-9]{5,8}|[0-9][A-Za-z0-9]{3}))*(?:-[0-9A-WY-Za-wy-z](?:-[A-Za-z0-9]{2,8})+)*(?:-x(?:-[A-Za-z0-9]{1,8})+)?)"
-    r"|x(?:-[A-Za-z0-9]{1,8})+)"
-)
+
+
+def _language() -> str:
+    """A language tag by the grammar of RFC 5646, section 2.1, part by part."""
+    alpha, digit, alnum = "[A-Za-z]", "[0-9]", "[A-Za-z0-9]"
+    extended = f"{alpha}{{3}}(?:-{alpha}{{3}}){{0,2}}"
+    primary = f"(?:{alpha}{{2,3}}(?:-{extended})?|{alpha}{{4,8}})"
+    script, region = f"{alpha}{{4}}", f"(?:{alpha}{{2}}|{digit}{{3}})"
+    variant = f"(?:{alnum}{{5,8}}|{digit}{alnum}{{3}})"
+    extension = f"[0-9A-WY-Za-wy-z](?:-{alnum}{{2,8}})+"
+    private = f"x(?:-{alnum}{{1,8}})+"
+    tag = f"{primary}(?:-{script})?(?:-{region})?(?:-{variant})*(?:-{extension})*(?:-{private})?"
+    # The tags of the registry that the grammar doesn't give, or gives another meaning.
+    irregular = "en-GB-oed i-ami i-bnn i-default i-enochian i-hak i-klingon i-lux i-mingo i-navajo i-pwn i-tao i-tay i-tsu sgn-BE-FR sgn-BE-NL sgn-CH-DE"
+    regular = "art-lojban cel-gaulish no-bok no-nyn zh-guoyu zh-hakka zh-min zh-min-nan zh-xiang"
+    return f"(?:{'|'.join(f'{irregular} {regular}'.split())}|{tag}|{private})"
+
+
+LANGUAGE = _language()
 MST_KEY = r"[a-zA-Z0-9_~.:-]+/[a-zA-Z0-9_~.:-]+"
 BLOCKED_TOPS = ["alt", "arpa", "example", "internal", "invalid", "local", "localhost", "onion"]
 INVALID_HANDLE = "handle.invalid"

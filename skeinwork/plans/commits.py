@@ -336,7 +336,7 @@ _SYNCED = "SELECT CASE seq % 3 WHEN 0 THEN 'rev_replays_dropped' WHEN 1 THEN 'sy
 
 @query(f"""WITH {V_COMMITS}
 , said AS (SELECT {_outcome_sql('outcome', 'moves')} AS outcome, {_NOTE} AS note, {_MISSING} AS missing FROM every)
-, last AS (SELECT repo, max(seq) AS seq FROM ops WHERE cid IS NOT NULL GROUP BY repo)
+, last AS (SELECT repo, max(seq) AS seq FROM ops GROUP BY repo)
 , names AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{s}')" for c, all_ in verifier.COUNTERS.items() for s in all_)}) AS t(counter, said))
 , counted AS (SELECT counter, count(*) AS n FROM said JOIN names ON said.outcome = names.said GROUP BY counter
   UNION ALL SELECT counter, count(*) FROM said JOIN names ON said.note = names.said GROUP BY counter

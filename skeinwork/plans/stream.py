@@ -9,6 +9,9 @@ from skeinwork.functions import identifiers
 from skeinwork.operators import streams
 from skeinwork.plans.registry import query
 from skeinwork.plans.views import V_ACCOUNTS, V_OPS, v_accounts, v_ops
+from skeinwork.session import work_dir
+from skeinwork.streaming import progress
+from skeinwork.streaming.files import ordered_files
 
 _KEPT = "kept AS (SELECT * FROM (SELECT *, max(rev) OVER (PARTITION BY repo ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM ops) WHERE best IS NULL OR rev > best)"
 
@@ -177,3 +180,16 @@ def d08_drop_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {V_OPS} SELECT coalesce(min(seq) FILTER (seq % 1001 = 1000), 0) AS low FROM ops")
 def d06_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.in_flight(v_ops(spark, sf_dir).withColumn("done", F.col("seq") % 1001 != 1000))
+
+
+@query("SELECT true AS rising, count(*) AS n, count(*) FILTER (event_type = 'error') AS deletions FROM events")
+def d02_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running counts of a stream of all operations: each batch adds to them, and the last are those of all."""
+    source = ordered_files(v_ops(spark, sf_dir).select("seq", "action"), "seq", 4)
+    rows = spark.readStream.schema("seq bigint, action string").option("maxFilesPerTrigger", 1).parquet(source)
+    counted = progress.observed(rows, n=F.count("*"), deletions=F.count_if(F.col("action") == "delete"))
+    heard = progress.Progress()
+    progress.followed(spark, lambda: counted.writeStream.format("noop").option("checkpointLocation", work_dir(spark, "progress")).trigger(availableNow=True).start(), heard)
+    counts = [t["n"] for t in heard.totals]
+    rising = len(counts) > 1 and all(a < b for a, b in zip(counts, counts[1:], strict=False))
+    return spark.createDataFrame([(rising, heard.totals[-1]["n"], heard.totals[-1]["deletions"])], "rising boolean, n bigint, deletions bigint")
