@@ -135,11 +135,3 @@ def test_numbers_of_wide_codes():
     code = np.array([5, 1 << 63, 5, 0], np.uint64)
     number, place = cm.dense(code[[0, 2, 3]], 3)
     assert number.tolist() == [1, 1, 0] and place.tolist() == [2, 0]
-
-
-def test_rows_are_packed_and_back():
-    draw = np.random.default_rng(1)
-    for kinds, n in ((3, 50), (1, 0), (70_000, 100_000)):
-        rows = draw.integers(-127, 127, (kinds, 9)).astype(np.int8)
-        number = draw.integers(0, kinds, n)
-        assert (cm.unpack_rows(cm.pack_rows(rows, number)) == rows[number]).all()
