@@ -54,4 +54,5 @@ def common_prefix(a: Column, b: Column) -> Column:
     ha, hb = F.hex(a.cast("binary")), F.hex(b.cast("binary"))
     size = F.least(F.octet_length(a), F.octet_length(b))
     same = F.transform(F.sequence(F.lit(0), size), lambda n: F.substr(ha, n * 2 + 1, F.lit(2)) == F.substr(hb, n * 2 + 1, F.lit(2)))
-    return F.coalesce(F.least(size, F.array_position(same, False).cast("int") - 1), size)
+    first = F.nullif(F.array_position(same, False), F.lit(0))  # 0 where no byte differs
+    return F.coalesce(F.least(size, first.cast("int") - 1), size)
