@@ -6,6 +6,7 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,13 @@ from skeinwork.functions import curves
 from skeinwork.operators import directory, merkle
 from skeinwork.plans.registry import query
 from skeinwork.plans.views import table
+from skeinwork.session import spread, stored
+
+
+@cache
+def _names(curve: curves.Curve) -> list[str]:
+    """The names of a curve's two keys."""
+    return [curves.did_key(curve, 5 + k) for k in range(2)]
 
 
 def _log_of(n: int) -> tuple[str, list[str]]:
@@ -23,7 +31,8 @@ def _log_of(n: int) -> tuple[str, list[str]]:
     In every fifth account the second operation is signed by a strange key, in every fifth the third names another one
     before it, and in every fifth the account is closed before it is renamed.
     """
-    curve, names = curves.CURVES[n % 2], [curves.did_key(curves.CURVES[n % 2], 5 + k) for k in range(2)]
+    curve = curves.CURVES[n % 2]
+    names = _names(curve)
     did, last, out = "", None, []
     for place in range(4):
         closed = place == (2 if n % 5 == 3 else 3)
@@ -55,7 +64,7 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["account", "did", "place", "operation"])
 
     accounts = table(spark, sf_dir, "customer").select(F.expr("CAST(c_custkey AS BIGINT) div 4").alias("account")).distinct()
-    return accounts.mapInArrow(run, "account bigint, did string, place bigint, operation string")
+    return spread(accounts, "account").mapInArrow(run, "account bigint, did string, place bigint, operation string")
 
 
 _ACCOUNTS = "SELECT account, place FROM (SELECT DISTINCT CAST(c_custkey AS BIGINT) // 4 AS account FROM customer), unnest([0, 1, 2, 3]) AS u(place)"
@@ -65,7 +74,7 @@ _ACCOUNTS = "SELECT account, place FROM (SELECT DISTINCT CAST(c_custkey AS BIGIN
 CASE WHEN account % 5 = 1 AND place = 1 THEN 'bad signature' WHEN account % 5 = 2 AND place = 2 THEN 'wrong prev' WHEN account % 5 = 3 AND place = 3 THEN 'after tombstone' ELSE 'ok' END AS outcome FROM ({_ACCOUNTS})""")
 def j07_directory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every operation of every account checked against the one before."""
-    log = _log(spark, sf_dir)
+    log = stored(_log(spark, sf_dir), "log")
     return directory.checked(log).join(log.select("account", "did").distinct(), "did").select("account", "place", "kind", "outcome")
 
 

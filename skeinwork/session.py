@@ -37,6 +37,16 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/skeinwork/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt over three tasks a core, or over all shuffle partitions where those are more.
+
+    For small rows that are costly to work on: adaptive execution counts bytes, so it would give them to a task or two.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *columns)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back, so that later steps don't compute it again."""
     path = work_dir(df.sparkSession, label)
