@@ -11,16 +11,20 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skeinwork.functions.cbor import Link, decode, encode
+from skeinwork.functions.cbor import Link, decode, encode, head
 from skeinwork.functions.cids import key_height
 from skeinwork.session import stored
 
+#: Nodes and keys of trees that a Python worker keeps: commits of a repository share most of them.
+KEPT_NODES, KEPT_KEYS = 4096, 1 << 16
+
 
 def cid_of(data: bytes, codec: int = 0x71) -> Link:
     return Link(bytes([1, codec, 0x12, 0x20]) + hashlib.sha256(data).digest())
@@ -28,17 +32,32 @@ def cid_of(data: bytes, codec: int = 0x71) -> Link:
 
 def encode_node(entries: list[tuple[str, str, str | None]], left: str | None) -> bytes:
     """A node's bytes from its sorted (key, cid, right child) entries and its left child."""
+    return _node_bytes(tuple(entries), left)
+
+
+@lru_cache(KEPT_NODES)
+def _node_bytes(entries: tuple[tuple[str, str, str | None], ...], left: str | None) -> bytes:
     rows, last = [], b""
     for key, cid, right in entries:
         raw = key.encode()
         shared = next((i for i, (a, b) in enumerate(zip(raw, last, strict=False)) if a != b), min(len(raw), len(last)))
-        rows.append({"k": raw[shared:], "p": shared, "t": Link.parse(right) if right else None, "v": Link.parse(cid)})
+        rows.append(b"\xa4\x61k" + encode(raw[shared:]) + b"\x61p" + encode(shared) + b"\x61t" + _link(right) + b"\x61v" + _link(cid))
         last = raw
-    return encode({"e": rows, "l": Link.parse(left) if left else None})
+    return b"\xa2\x61e" + head(4, len(rows)) + b"".join(rows) + b"\x61l" + _link(left)
+
+
+def _link(cid: str | None) -> bytes:
+    return encode(Link.parse(cid)) if cid else b"\xf6"
 
 
 def decode_node(data: bytes) -> tuple[list[tuple[str, str, str | None]], str | None]:
     """The entries and the left child of a node; wrong shapes, prefixes and orders are errors."""
+    entries, left = _node_parts(bytes(data))
+    return list(entries), left
+
+
+@lru_cache(KEPT_NODES)
+def _node_parts(data: bytes) -> tuple[tuple[tuple[str, str, str | None], ...], str | None]:
     node = decode(data)
     if not isinstance(node, dict) or set(node) != {"e", "l"} or not isinstance(node["e"], list) or len(node["e"]) > 10_000:
         raise ValueError("not a tree node")
@@ -51,7 +70,7 @@ def decode_node(data: bytes) -> tuple[list[tuple[str, str, str | None]], str | N
             raise ValueError("keys out of order or too long")
         out.append((raw.decode(), str(e["v"]), str(e["t"]) if e["t"] else None))
         last = raw
-    return out, str(node["l"]) if node["l"] else None
+    return tuple(out), str(node["l"]) if node["l"] else None
 
 
 # --- the part of a tree that a commit's archive holds -----------------------------------------------------
@@ -66,6 +85,7 @@ class Item:
     level: int
 
 
+@lru_cache(KEPT_KEYS)
 def level_of(key: str) -> int:
     """The layer of a key, as ``key_height``."""
     return (256 - int.from_bytes(hashlib.sha256(key.encode()).digest(), "big").bit_length()) // 2
@@ -121,7 +141,7 @@ def place_of(items: list[Item], key: str) -> tuple[int, bool]:
     for k, item in enumerate(items):
         if item.key == key:
             return k, True
-        if item.key is not None and item.key.encode() < key.encode():
+        if item.key is not None and item.key < key:
             at = k + 1
     if at < len(items) and items[at].key is None:
         raise ValueError("a needed block is missing")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +23,12 @@ from skeinwork.plans import views
 from skeinwork.plans.registry import query
 from skeinwork.plans.stream import _syncs, d07_chain_state
 from skeinwork.plans.views import V_ACCOUNTS, V_OPS, sql_tid, v_accounts, v_ops
-from skeinwork.session import stored
+from skeinwork.session import spread, stored
 from skeinwork.sources import archives, commits, repositories
 from skeinwork.streaming import verifier
 from skeinwork.streaming.verifier import Policy
 
-SIZE = 20
+SIZE, ROWS_AT_ONCE = 20, 64
 START = 1_704_067_200_000_000
 POLICY = Policy(now_us=START + 10**12)
 STRICT = Policy(now_us=START + 10**12, lenient=False, reject_legacy=True)
@@ -82,6 +83,7 @@ def _rev(us: int) -> str:
     return "".join(DIGITS[us * 1024 >> 5 * k & 31] for k in range(12, -1, -1))
 
 
+@lru_cache(256)
 def _sealed(repo: str, rev: str, data: str, version: int = 3) -> tuple[str, bytes]:
     content = commits.unsigned(repo, rev, data, version)
     block = commits.signed(content, sign(repo, encode(content)))
@@ -121,7 +123,6 @@ def _commit(seq: int, repo: str, rev: str, before: str, data: str, ops: list[dic
 def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (repo, seq, path, action, cid, props) sorted by repository and seq to commits."""
     kinds = pa.schema([("seq", pa.int64()), ("repo", pa.string()), ("rev", pa.string()), ("commit", pa.string()), ("prev_data", pa.string()), ("blocks", pa.binary()), ("ops", pa.list_(pa.struct([(n, pa.string()) for n in ("action", "path", "cid", "prev")])))])
-    names = ("seq", "repo", "rev", "commit", "prev_data", "blocks", "ops")
     held: dict[str, str] = {}
     root, n, repo = "", 0, None
 
@@ -152,19 +153,25 @@ def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return rows
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
     chunk: list[tuple] = []
+    done: list[tuple] = []
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if chunk and (row[0] != repo or len(chunk) == SIZE):
-                yield batch(finished(chunk))
+                done += finished(chunk)
                 chunk = []
+                if len(done) >= ROWS_AT_ONCE:
+                    yield batch(done)
+                    done = []
             if row[0] != repo:
                 held, root, n, repo = {}, "", 0, row[0]
             chunk.append(row)
     if chunk:
-        yield batch(finished(chunk))
+        done += finished(chunk)
+    if done:
+        yield batch(done)
 
 
 def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +192,7 @@ def _keys(made: DataFrame) -> DataFrame:
                 keys.append([own] if secret % 3 else [curves.did_key(curve, secret + 1), own])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.string()))], ["repo", "keys"])
 
-    return made.select("repo").distinct().mapInArrow(run, "repo string, keys array<string>")
+    return spread(made.select("repo").distinct(), "repo").mapInArrow(run, "repo string, keys array<string>")
 
 
 def _hosting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ from skeinwork.streaming.files import ordered_files
 _REV = re.compile(rf"\A{TID}\Z")
 #: Commits in a batch of the stream.
 ROWS_A_BATCH = 1_000_000
+#: Commits whose archives a task holds as Python values at once.
+ROWS_AT_ONCE = 64
 OUTPUT = "seq bigint, repo string, rev string, outcome string, note string, missing bigint"
 OPS = "array<struct<action:string,path:string,cid:string,prev:string>>"
 
@@ -134,6 +138,15 @@ def inspect(repo: str, rev: str | None, commit: str, prev_data: str | None, bloc
     return out
 
 
+def _ops_of(column: pa.ListArray) -> list[list[dict]]:
+    """The ops of each row, read by field; null lists are empty."""
+    ops = column.flatten()
+    names = [f.name for f in ops.type]
+    rows = [dict(zip(names, values, strict=True)) for values in zip(*(c.to_pylist() for c in ops.flatten()), strict=True)]
+    ends = list(accumulate(n or 0 for n in pc.list_value_length(column).to_pylist()))
+    return [rows[begin:end] for begin, end in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def inspected(commits: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """(seq, repo, rev, prev_data, ...) of commits (seq, repo, rev, commit, prev_data, blocks, ops), without a shuffle.
 
@@ -142,12 +155,11 @@ def inspected(commits: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shown = []
-            for k in range(batch.num_rows):
-                _, repo, rev, prev, commit, blocks, ops = (c[k].as_py() for c in batch.columns)
-                shown.append(inspect(repo, rev, commit, prev, blocks or b"", ops or [], policy))
-            table = pa.Table.from_pylist([{n: s[n] for n in kinds.names} for s in shown], kinds).combine_chunks()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns)], ["seq", "repo", "rev", "prev_data", *kinds.names])
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                rows = zip(*(c.to_pylist() for c in part.columns[1:6]), _ops_of(part.column(6)), strict=True)
+                shown = [inspect(repo, rev, commit, prev, blocks or b"", ops, policy) for repo, rev, prev, commit, blocks, ops in rows]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *(pa.array([s[k.name] for s in shown], k.type) for k in kinds)], ["seq", "repo", "rev", "prev_data", *kinds.names])
 
     text, flag = pa.string(), pa.bool_()
     kinds = pa.schema([("early", text), ("duplicate", flag), ("data", text), ("rooted", flag), ("legacy", flag), ("inverted", text), ("field", text), ("op_error", text), ("missing", pa.int64()), ("content", pa.binary()), ("signature", pa.binary())])
