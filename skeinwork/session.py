@@ -37,14 +37,17 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/skeinwork/{label}-{uuid.uuid4().hex}"
 
 
+def tasks(spark: SparkSession) -> int:
+    """Three tasks a core, or all shuffle partitions where those are more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """``df`` dealt over three tasks a core, or over all shuffle partitions where those are more.
+    """``df`` dealt over ``tasks``.
 
     For small rows that are costly to work on: adaptive execution counts bytes, so it would give them to a task or two.
     """
-    spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    return df.repartition(tasks, *columns)
+    return df.repartition(tasks(df.sparkSession), *columns)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
