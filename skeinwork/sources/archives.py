@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions.cbor import MAX_SIZE, Link, decode, encode, read_varint, varint
 
+#: Bytes after which a task hands on the blocks or archives that it has, beyond the one at hand.
+BYTES_AT_ONCE = 4 << 20
 BLOCKS = "root string, cid string, data binary, error string"
 
 
@@ -78,11 +80,13 @@ def parse(archives: DataFrame, data: str = "content", path: str = "path") -> Dat
                     raw = content.as_py() or b""
                     roots, at = read_header(raw)
                     root = roots[0]
+                    size = 0
                     for cid, body in read_blocks(raw, at):
                         rows.append((name, root, cid, body, None))
-                        if len(rows) == 4096:
+                        size += len(body)
+                        if len(rows) == 4096 or size > BYTES_AT_ONCE:
                             yield _rows(rows, batch.schema.field(0).type)
-                            rows = []
+                            rows, size = [], 0
                 except (ValueError, KeyError) as why:
                     rows.append((name, root, None, None, str(why)))
                 yield _rows(rows, batch.schema.field(0).type)
@@ -107,24 +111,31 @@ def packed(rows: DataFrame, key: str = "repo") -> DataFrame:
     """
     kind = rows.schema[key].dataType.simpleString()
 
+    def made(done: list[tuple], name: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], name), pa.array([d[1] for d in done], pa.binary())], [key, "archive"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = pa.binary()
         at, out, seen = None, bytearray(), set()
         for batch in batches:
             done: list[tuple] = []
+            size = 0
             for name, root, cid, data in zip(*(batch.column(i) for i in (0, 1, 4, 5)), strict=True):
                 name, cid = name.as_py(), cid.as_py()
                 if name != at:
                     if at is not None:
                         done.append((at, bytes(out)))
+                        size += len(out)
                     at, out, seen = name, bytearray(header([root.as_py()])), set()
+                    if size > BYTES_AT_ONCE:
+                        yield made(done, batch.schema.field(0).type)
+                        done, size = [], 0
                 if cid not in seen:
                     seen.add(cid)
                     out += block(cid, data.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], batch.schema.field(0).type), pa.array([d[1] for d in done], shape)], [key, "archive"])
+            yield made(done, batch.schema.field(0).type)
             last = batch.schema.field(0).type
         if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], last), pa.array([bytes(out)], shape)], [key, "archive"])
+            yield made([(at, bytes(out))], last)
 
     ordered = rows.where(F.col(key).isNotNull()).select(key, "root", "part", "place", "cid", "data").repartition(key).sortWithinPartitions(key, "part", "place", "cid")
     return ordered.mapInArrow(run, f"{key} {kind}, archive binary")
