@@ -9,13 +9,14 @@ which every distinct shingle weighs 1, so that two documents agree with the prob
 similarity; for others both are the same. Two documents at 0.8 in either share no band once in 20 000 times.
 
 Equal word sequences collapse first. Bands of both signatures bring documents into buckets; in every bucket all members
-are held against a leader, and pairs are verified on the whole texts: the probability Jaccard, or the plain one,
-must be at least 0.8. A leader leaves its bucket once it has met all members; as long as the others are of several
-classes they meet again under more leaders, round after round. So every pair of a bucket is either held together or
-already in one class. After the first leaders, documents whose buckets still hold several classes are bounded
-(``limits``): what a document shares with none of the others bounds its similarity to each of them, so a document all
-of whose bounds lie below 0.8 leaves, and others meet only where the bound of the pair allows it, in the first bucket
-that they share and where their signatures agree enough. Only such pairs become rows. Classes are the connected
+are held against a centre, and pairs are verified on the whole texts: the probability Jaccard, or the plain one,
+must be at least 0.8. Documents whose buckets still hold several classes are bounded then (``limits``): what a document
+shares with none of the others bounds its similarity to each of them, so a document all of whose bounds lie below 0.8
+leaves. In a bucket of up to ``SMALL`` of the others, pairs of different classes become rows where the bound of the pair
+allows it, in the first bucket that they share and where their signatures agree enough. Larger buckets that share
+members are one crowd, which is dealt into blocks: a task holds two blocks of shingle sets against each other, all pairs
+exactly, and gives only the links that join classes (``crowded``). So every pair of a bucket is either held together or
+already in one class; what a crowd costs in tasks still grows with its square, its rows don't. Classes are the connected
 components of the verified links, found by label propagation over tables in the shared folder.
 
 Texts without words are alone in their class. Null ids get a null class; rows with one id count as one document,
@@ -41,8 +42,10 @@ THRESHOLD = 0.8
 #: Pairs whose components agree less often than this in both signatures are not read again: at a similarity of 0.8 the
 #: standard deviation over 125 components is 0.036, so this lies five deviations below: once in three million pairs.
 SKETCH_FLOOR = 0.62
-#: How many times more leaders a bucket has from round to round.
-LEADERS = 4
+#: Members up to which a bucket's pairs become rows.
+SMALL = 32
+#: Shingles and documents of a crowd's block (some 12 MB), and into how many blocks smaller crowds are dealt.
+BLOCK_SHINGLES, BLOCK_ROWS, BLOCKS = 1 << 20, 4096, 8
 #: Up to so many ids of candidates (8 bytes each) are broadcast to pick their texts; beyond, the texts are shuffled.
 BROADCAST_IDS = 2_000_000
 _ONE, _TWO = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2545F4914F6CDD1D)
@@ -279,73 +282,177 @@ def _met_by_centres(members: DataFrame, marks: DataFrame) -> DataFrame:
     return agree.where((_agreement("sa", "sb") >= SKETCH_FLOOR) | (_agreement("pa", "pb") >= SKETCH_FLOOR)).select("a", "b", "low", "high")
 
 
-_INFO = ("n", "own", "share", "sig", "plain", "bands")
+_INFO = ("n", "own", "share", "sig", "plain", "bands", "crowd")
 
 
-def _met_by_leaders(members: DataFrame, info: DataFrame, bound: int) -> DataFrame:
-    """The pairs (a, b, low, high) of members with leaders of other classes that may be near."""
+def _met_in_buckets(members: DataFrame, info: DataFrame) -> DataFrame:
+    """The pairs (a, b, low, high) of members of other classes that may be near; those of one crowd meet there."""
     wide = members.join(info, "doc_id")
-    leader = wide.where(F.col("place") < bound).select("bucket", F.col("doc_id").alias("a"), F.col("place").alias("at"), F.col("label").alias("la"), *(F.col(c).alias(f"{c}_a") for c in _INFO))
-    later = (F.col("label") != F.col("la")) & (F.struct("at", "a") < F.struct("place", "doc_id"))
+    leader = wide.select("bucket", F.col("doc_id").alias("a"), F.col("label").alias("la"), *(F.col(c).alias(f"{c}_a") for c in _INFO))
+    later = (F.col("label") != F.col("la")) & (F.col("a") < F.col("doc_id")) & F.coalesce(F.col("crowd") != F.col("crowd_a"), F.lit(True))
     near = _reachable(*({c: F.col(f"{c}{end}") for c in _INFO} for end in ("", "_a")))
     first = F.array_min(F.array_intersect("bands", "bands_a")) == F.col("bucket")
     agree = (_agreement("sig", "sig_a") >= SKETCH_FLOOR) | (_agreement("plain", "plain_a") >= SKETCH_FLOOR)
     met = wide.join(leader, "bucket").where(later & near & first & agree)
-    return met.select("a", F.col("doc_id").alias("b"), F.least("a", "doc_id").alias("low"), F.greatest("a", "doc_id").alias("high"))
+    return met.select("a", F.col("doc_id").alias("b"), F.col("a").alias("low"), F.col("doc_id").alias("high"))
+
+
+# --- crowds --------------------------------------------------------------------------------------------
+
+
+def joining(label: np.ndarray, left: np.ndarray, right: np.ndarray, items: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float]]:
+    """Links (x, y, similarity) between rows ``left`` and ``right`` that join all classes with near rows among them.
+
+    Row r has the distinct shingles items[bounds[r]:bounds[r + 1]] and their counts; equal labels are one class from the
+    start. Where ``left`` and ``right`` are the same, each pair meets once. Common shingles are counted for all pairs:
+    those of many rows by a product of matrices, the others by their postings. They give the plain Jaccard, and with the
+    heaviest shingles of either side a bound of the probability Jaccard, which is worked out only where that allows it.
+    """
+    n, same, cls = np.diff(bounds), np.array_equal(left, right), label.copy()
+    row = np.repeat(np.arange(len(n)), n)
+    _, at, times = np.unique(items, return_inverse=True, return_counts=True)
+    often = times >= max(16, len(n) // 16)
+    number = np.cumsum(often) - 1
+    repeats = np.maximum.reduceat(np.append(counts, 0), bounds[:-1]) > 1 if len(n) else np.zeros(0, bool)
+    heavy = np.lexsort((-counts, row))  # the heaviest first in every row
+    total = np.concatenate([[0], np.cumsum(counts[heavy])])
+    weight = np.maximum(total[bounds[1:]] - total[bounds[:-1]], 1)
+    place = np.full(len(n), -1)
+    place[right] = np.arange(len(right))
+    theirs = np.flatnonzero(place[row] >= 0)
+    rare = theirs[~often[at[theirs]]]
+    rare = rare[np.argsort(at[rare], kind="stable")]
+    first, holder = np.searchsorted(at[rare], np.arange(len(times) + 1)), place[row[rare]]
+    common = theirs[often[at[theirs]]]
+    ny, step, found = n[right], max(1, min(256, (1 << 22) // max(1, len(right)))), []
+    for begin in range(0, len(left), step):
+        strip = left[begin : begin + step]
+        shared = np.zeros((len(strip), len(right)), np.float32)
+        mine = np.full(len(n), -1)
+        mine[strip] = np.arange(len(strip))
+        ours = np.flatnonzero((mine[row] >= 0) & often[at])
+        for low in range(0, int(often.sum()), 1024):
+            x, y = np.zeros((len(strip), 1024), np.float32), np.zeros((len(right), 1024), np.float32)
+            for matrix, entries, where in ((x, ours, mine), (y, common, place)):
+                some = entries[(number[at[entries]] >= low) & (number[at[entries]] < low + 1024)]
+                matrix[where[row[some]], number[at[some]] - low] = 1
+            shared += x @ y.T
+        for k, r in enumerate(strip.tolist()):
+            seen = at[bounds[r] : bounds[r + 1]]
+            seen = seen[~often[seen]]
+            size = first[seen + 1] - first[seen]
+            where = np.repeat(first[seen] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            both = shared[k].astype(np.int64) + np.bincount(holder[where], minlength=len(right))
+            plain = both / np.maximum(1, n[r] + ny - both)
+            p = (total[bounds[r] + both] - total[bounds[r]]) / weight[r]
+            q = (total[bounds[right] + both] - total[bounds[right]]) / weight[right]
+            most = np.where(repeats[r] | repeats[right], p * q / np.maximum(p + q - p * q, 1e-12), 0.0)
+            open_ = (both > 0) & (cls[right] != cls[r]) & ((plain >= THRESHOLD) | (most >= THRESHOLD - 1e-6))
+            if same:
+                open_ &= right > r
+            for j in np.flatnonzero(open_).tolist():
+                other = int(right[j])
+                if cls[other] == cls[r]:
+                    continue
+                (a, b), (c, d) = bounds[[r, r + 1]], bounds[[other, other + 1]]
+                near = plain[j] if plain[j] >= THRESHOLD else probability_jaccard(items[a:b], counts[a:b].astype(float), items[c:d], counts[c:d].astype(float))
+                if near >= THRESHOLD:
+                    found.append((r, other, float(near)))
+                    cls[cls == cls[other]] = cls[r]
+    return found
+
+
+def crowded(docs: DataFrame, placed: DataFrame, text: str = "text") -> DataFrame:
+    """Links (a, b, similarity) that join the classes of every crowd; ``placed`` has (doc_id, label, crowd, n).
+
+    A crowd's documents are dealt into blocks by their ids and go to each pair of blocks that theirs is in.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    size = placed.groupBy("crowd").agg(F.sum(F.coalesce("n", F.lit(0))).alias("all"), F.count("*").alias("rows"))
+    blocks = F.greatest(F.ceil(F.col("all") / BLOCK_SHINGLES), F.ceil(F.col("rows") / BLOCK_ROWS), F.least(F.ceil(F.col("rows") / 128), F.lit(BLOCKS)))
+    dealt = staged(placed.join(size.select("crowd", blocks.cast("int").alias("blocks")), "crowd").select("doc_id", "label", "crowd", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block")), "crowds")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "t", 1 << 20):
+            found = _shingled(batch.column(1))
+            columns = [[item.tobytes() for item, _ in found], [count.astype(np.int32).tobytes() for _, count in found]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in columns)], ["doc_id", "items", "counts"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        column = {c: group.column(c).combine_chunks() for c in ("doc_id", "label", "block", "items", "counts")}
+        (items, ends), (counts, _) = buffer_of(column["items"]), buffer_of(column["counts"])
+        label = column["label"].dictionary_encode()
+        label = (label.combine_chunks() if isinstance(label, pa.ChunkedArray) else label).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        block = column["block"].to_numpy(zero_copy_only=False)
+        left, right = (np.flatnonzero(block == group.column(c)[0].as_py()) for c in ("i", "j"))
+        found = joining(label, left, right, np.frombuffer(items.tobytes(), np.uint64), np.frombuffer(counts.tobytes(), np.int32).astype(np.int64), ends // 8)
+        ids = [column["doc_id"].take(pa.array([f[k] for f in found], pa.int64())) for k in (0, 1)]
+        return pa.Table.from_arrays([*ids, pa.array([f[2] for f in found], pa.float64())], ["a", "b", "similarity"])
+
+    ids = dealt.select("doc_id")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    texts = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")).join(ids, "doc_id", "left_semi")
+    known = staged(texts.mapInArrow(sets, f"doc_id {kind}, items binary, counts binary").join(dealt, "doc_id"), "sets")
+    other = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = other.select("doc_id", "label", "crowd", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "items", "counts")
+    return pairs.groupBy("crowd", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
 def links_of(docs: DataFrame, marks: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between distinct texts, and their classes (id, label).
 
-    ``marks`` has (doc_id, bands, sig, plain) for one document of every distinct text. A member's ``place`` in a bucket of n
-    is drawn from 0 to n by its hash, and is -1 for the one that shares most buckets with others: it meets all the
-    bucket first and, where the members are copies of it, settles it. A later round's leaders are the members with places
-    below a bound that grows ``LEADERS`` times a round; they meet all members with later places.
+    ``marks`` has (doc_id, bands, sig, plain) for one document of every distinct text. A bucket's centre is the member
+    that shares most buckets with others: it meets all the bucket first and, where the members are copies of it, settles
+    it. What is left in buckets of several classes meets in pairs or, where there are many, in crowds.
     """
     buckets = marks.select("doc_id", F.explode("bands").alias("bucket"))
     full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = staged(buckets.join(full, "bucket"), "buckets")
     crowd = shared.groupBy("doc_id").agg(F.sum("n").alias("crowd"))
     centre = shared.join(crowd, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("crowd", F.xxhash64("doc_id"), "doc_id")).alias("centre"))
-    drawn = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) * F.lit(2.0**-53) * F.col("n")
-    place = F.when(F.col("doc_id") == F.col("centre"), -1.0).otherwise(drawn)
-    members = staged(shared.join(centre, "bucket").select("bucket", "doc_id", place.alias("place"), F.col("doc_id").alias("label")), "buckets")
-    links: DataFrame | None = None
-    classes: DataFrame | None = None
-    far: DataFrame | None = None
-    info: DataFrame | None = None
-    bound = 0
-    while True:
-        likely = _met_by_centres(members, marks) if info is None else _met_by_leaders(members, info, bound)
-        if far is not None:  # pairs that another bucket brought together before
-            likely = likely.join(far, ["low", "high"], "left_anti")
-        likely = staged(likely.select("a", "b", "low", "high"), "pairs")
-        new = staged(verify(likely.select("a", "b"), docs, text), "verified")
-        links = new if links is None else links.unionByName(new)
-        far = likely.select("low", "high") if far is None else far.unionByName(likely.select("low", "high"))
-        if classes is None or not new.isEmpty():
-            classes = merged_labels(classes, new)
-        # leaders have met all of their buckets; of the others, buckets that hold more than one class meet again
-        label = classes.select(F.col("id").alias("doc_id"), "label")
-        named = members.where(F.col("place") >= bound).drop("label").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        members = staged(named.join(mixed, "bucket").select("bucket", "doc_id", "place", "label"), "buckets")
-        if info is None and not members.isEmpty():
-            ids = staged(members.select("doc_id").distinct(), "open")
-            known = marks.join(ids, "doc_id", "left_semi").join(limits(docs, ids, text), "doc_id", "left").withColumn("plain", F.coalesce("plain", "sig"))
-            alone = (F.greatest(1 - F.col("own") / F.col("n"), 1 - F.col("share")) < THRESHOLD - 1e-6).alias("alone")
-            info = staged(known.where(~F.coalesce(alone, F.lit(False))).select("doc_id", *_INFO), "limits")
-            members = staged(members.join(info.select("doc_id"), "doc_id", "left_semi").select(*members.columns), "buckets")
-        if members.isEmpty():
-            return links, classes
-        bound = max(1, bound) * LEADERS
+    place = F.when(F.col("doc_id") == F.col("centre"), -1).otherwise(0)
+    members = staged(shared.join(centre, "bucket").select("bucket", "doc_id", place.alias("place")), "buckets")
+    likely = staged(_met_by_centres(members, marks), "pairs")
+    links = staged(verify(likely.select("a", "b"), docs, text), "verified")
+    classes = merged_labels(None, links)
+    # the centres have met all of their buckets; of the others, buckets that hold more than one class meet again
+    label = classes.select(F.col("id").alias("doc_id"), "label")
+    named = members.where("place >= 0").join(label, "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    left = _mixed(named)
+    if left.isEmpty():
+        return links, classes
+    ids = staged(left.select("doc_id").distinct(), "open")
+    known = marks.join(ids, "doc_id", "left_semi").join(limits(docs, ids, text), "doc_id", "left").withColumn("plain", F.coalesce("plain", "sig"))
+    alone = F.greatest(1 - F.col("own") / F.col("n"), 1 - F.col("share")) < THRESHOLD - 1e-6
+    info = staged(known.where(~F.coalesce(alone, F.lit(False))).select("doc_id", *_INFO[:-1]), "limits")
+    left = _mixed(left.join(info.select("doc_id"), "doc_id", "left_semi").select(*left.columns))
+    per = staged(left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "buckets")
+    large = left.join(per.where(F.col("n") > SMALL), "bucket").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    many = not large.isEmpty()
+    crowds = (components(large) if many else classes.limit(0)).select(F.col("id").alias("doc_id"), F.col("label").alias("crowd"))
+    info = staged(info.join(crowds, "doc_id", "left"), "limits") if many else info.withColumn("crowd", F.lit(None).cast(crowds.schema["crowd"].dataType))
+    small = left.join(per.where(F.col("n") <= SMALL).select("bucket"), "bucket", "left_semi")
+    likely = staged(_met_in_buckets(small, info).join(likely, ["low", "high"], "left_anti").select("a", "b"), "pairs")
+    new = staged(verify(likely, docs, text), "verified")
+    if many:
+        placed = info.where("crowd IS NOT NULL").select("doc_id", "crowd", "n").join(left.select("doc_id", "label").distinct(), "doc_id")
+        new = new.unionByName(staged(crowded(docs, placed, text), "verified"))
+    return links.unionByName(new), merged_labels(classes, new)
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members (bucket, doc_id, label) of buckets that hold more than one class."""
+    several = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    return staged(members.join(several, "bucket", "left_semi").select("bucket", "doc_id", "label"), "buckets")
 
 
 def classify(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row for each row of ``docs``: doc_id, class_id (the least id of its class), n_links, is_kept.
 
-    ``n_links`` counts the verified links of the document's text to different texts; ``is_kept`` holds for one
-    document of every class, the one with the class's id.
+    ``n_links`` counts the verified links of the document's text to different texts, of a crowd those that join classes;
+    ``is_kept`` holds for one document of every class, the one with the class's id.
     """
     marks = staged(sketch(docs, text), "marks")
     solid = marks.where("n_words > 0 AND doc_id IS NOT NULL")

@@ -129,3 +129,56 @@ def test_pairs_that_differ_by_a_repeated_line(spark):
     assert len(sets[0].keys() & sets[1].keys()) >= 0.8 * len(sets[0].keys() | sets[1].keys())
     got = {r["doc_id"]: r["class_id"] for r in mh.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
+def grown(draw, size: int, edits: range, repeat: int = 0, words: int = 200) -> list[str]:
+    base = [f"w{i}" for i in range(words)]
+    texts = []
+    for k in range(size):
+        copy = list(base)
+        for at in draw.sample(range(5, words - 5), draw.choice(edits)):
+            copy[at] = f"x{draw.random()}"
+        texts.append(" ".join(copy) + " all rights are reserved by the owner" * (repeat if k % 3 == 0 else 0))
+    return texts
+
+
+def test_rows_of_a_crowd_do_not_grow_with_its_square(spark, monkeypatch):
+    draw, made = random.Random(9), []
+    texts = grown(draw, 500, range(4, 6))
+    sets = [frozenset(shingles(t)) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert len(set(label)) > 50  # most pairs lie between 0.6 and 0.8
+    verify = mh.verify
+    monkeypatch.setattr(mh, "verify", lambda pairs, *rest: made.append(pairs.count()) or verify(pairs, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in mh.classify(docs).collect()}
+    assert got == dict(enumerate(label))
+    assert sum(made) < 25 * len(texts)  # of 124 750 pairs
+
+
+def test_joining_links_the_classes_of_all_pairs():
+    draw = random.Random(3)
+    texts = grown(draw, 36, range(1, 4), 3, 50) + ["", "a b c", "a b c d e f g"]
+    sets = [shingles(t) for t in texts]
+    numbers: dict[tuple, int] = {}
+    found = [sorted((numbers.setdefault(k, len(numbers)), c) for k, c in s.items()) for s in sets]
+    bounds = np.cumsum([0, *(len(f) for f in found)])
+    items, counts = (np.array([p[k] for f in found for p in f]) for k in (0, 1))
+    start = np.array([i // 2 if i < 8 else i for i in range(len(texts))])
+    for left, right in ((range(len(texts)), range(len(texts))), (range(0, 16), range(16, len(texts)))):
+        links = mh.joining(start, np.array(left), np.array(right), items.astype(np.uint64), counts, bounds)
+        want, got = start.copy(), start.copy()
+        for i in left:
+            for j in right:
+                if i != j and want[i] != want[j] and near(sets[i], sets[j]) >= 0.8:
+                    want[want == want[j]] = want[i]
+        for i, j, value in links:
+            assert value >= 0.8 and near(sets[i], sets[j]) >= 0.8
+            got[got == got[j]] = got[i]
+        parts = lambda x: {tuple(np.flatnonzero(x == c)) for c in set(x.tolist())}
+        assert parts(got) == parts(want) and len(links) < len(texts)
