@@ -27,7 +27,7 @@ gives an empty result; other columns may be null or have any name.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,8 @@ SMALL = 32
 BLOCK_SHINGLES, BLOCK_ROWS, BLOCKS = 1 << 20, 4096, 8
 #: Up to so many ids of candidates (8 bytes each) are broadcast to pick their texts; beyond, the texts are shuffled.
 BROADCAST_IDS = 2_000_000
+#: Up to so many documents' labels are broadcast to the links; beyond, both are shuffled.
+BROADCAST_LABELS = 100_000
 _ONE, _TWO = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -209,20 +211,26 @@ def components(links: DataFrame) -> DataFrame:
     """(id, label) for every id in the links (a, b): the least id that links reach, by rounds of joins.
 
     Every round takes the least label among a node and its neighbours, then the label of that label, so that a
-    path halves; each round's table goes to the shared folder.
+    path halves; each round's table goes to the shared folder. Every round reads the links, so they should be stored.
     """
-    both = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    both = links.select("a", "b").union(links.select("b", "a"))
     labels = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), "labels")
+    held = _sent(labels)
     while True:
-        heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("least"))
-        one = labels.join(heard, "id").select("id", F.col("label").alias("old"), F.least("label", "least").alias("label"))
+        heard = both.join(held(labels.withColumnRenamed("id", "b")), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("least"))
+        one = heard.join(held(labels), "id").select("id", F.col("label").alias("old"), F.least("label", "least").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        moved = staged(one.join(jump, "label").select("id", "old", F.least("label", "far").alias("label")), "labels")
+        moved = staged(one.join(held(jump), "label").select("id", "old", F.least("label", "far").alias("label")), "labels")
         labels = moved.select("id", "label")
         if moved.where("label <> old").isEmpty():
             return labels
 
 
+def _sent(labels: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How tables of the size of ``labels`` go into joins."""
+    return F.broadcast if labels.count() <= BROADCAST_LABELS else lambda df: df
+
+
 def _agreement(a: str, b: str) -> Column:
     """The share of equal components of two signatures."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x) / F.lit(float(BANDS * ROWS))
@@ -234,9 +242,10 @@ def merged_labels(known: DataFrame | None, new: DataFrame) -> DataFrame:
     if known is None:
         return components(new)
     ids = staged(known.unionByName(ends.join(known, "id", "left_anti").select("id", F.col("id").alias("label"))), "labels")
-    la, lb = (ids.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    held = _sent(ids)
+    la, lb = (held(ids.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"))) for x in "ab")
     between = new.join(la, "a").join(lb, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    moved = components(between).select(F.col("id").alias("label"), F.col("label").alias("to"))
+    moved = components(staged(between, "links")).select(F.col("id").alias("label"), F.col("label").alias("to"))
     return staged(ids.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
 
 
@@ -282,13 +291,13 @@ def _met_by_centres(members: DataFrame, marks: DataFrame) -> DataFrame:
     return agree.where((_agreement("sa", "sb") >= SKETCH_FLOOR) | (_agreement("pa", "pb") >= SKETCH_FLOOR)).select("a", "b", "low", "high")
 
 
-_INFO = ("n", "own", "share", "sig", "plain", "bands", "crowd")
+_INFO = ("n", "own", "share", "sig", "plain", "bands")
 
 
 def _met_in_buckets(members: DataFrame, info: DataFrame) -> DataFrame:
     """The pairs (a, b, low, high) of members of other classes that may be near; those of one crowd meet there."""
     wide = members.join(info, "doc_id")
-    leader = wide.select("bucket", F.col("doc_id").alias("a"), F.col("label").alias("la"), *(F.col(c).alias(f"{c}_a") for c in _INFO))
+    leader = wide.select("bucket", F.col("doc_id").alias("a"), F.col("label").alias("la"), *(F.col(c).alias(f"{c}_a") for c in ("crowd", *_INFO)))
     later = (F.col("label") != F.col("la")) & (F.col("a") < F.col("doc_id")) & F.coalesce(F.col("crowd") != F.col("crowd_a"), F.lit(True))
     near = _reachable(*({c: F.col(f"{c}{end}") for c in _INFO} for end in ("", "_a")))
     first = F.array_min(F.array_intersect("bands", "bands_a")) == F.col("bucket")
@@ -420,32 +429,30 @@ def links_of(docs: DataFrame, marks: DataFrame, text: str = "text") -> tuple[Dat
     # the centres have met all of their buckets; of the others, buckets that hold more than one class meet again
     label = classes.select(F.col("id").alias("doc_id"), "label")
     named = members.where("place >= 0").join(label, "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    left = _mixed(named)
+    left = staged(_mixed(named), "buckets")
     if left.isEmpty():
         return links, classes
-    ids = staged(left.select("doc_id").distinct(), "open")
+    ids = left.select("doc_id")
     known = marks.join(ids, "doc_id", "left_semi").join(limits(docs, ids, text), "doc_id", "left").withColumn("plain", F.coalesce("plain", "sig"))
     alone = F.greatest(1 - F.col("own") / F.col("n"), 1 - F.col("share")) < THRESHOLD - 1e-6
-    info = staged(known.where(~F.coalesce(alone, F.lit(False))).select("doc_id", *_INFO[:-1]), "limits")
-    left = _mixed(left.join(info.select("doc_id"), "doc_id", "left_semi").select(*left.columns))
-    per = staged(left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "buckets")
-    large = left.join(per.where(F.col("n") > SMALL), "bucket").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    info = staged(known.where(~F.coalesce(alone, F.lit(False))).select("doc_id", *_INFO), "limits")
+    left = staged(_mixed(left.join(info.select("doc_id"), "doc_id", "left_semi")), "buckets")
+    large = left.where((F.col("size") > SMALL) & (F.col("doc_id") != F.col("least"))).select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
     many = not large.isEmpty()
     crowds = (components(large) if many else classes.limit(0)).select(F.col("id").alias("doc_id"), F.col("label").alias("crowd"))
-    info = staged(info.join(crowds, "doc_id", "left"), "limits") if many else info.withColumn("crowd", F.lit(None).cast(crowds.schema["crowd"].dataType))
-    small = left.join(per.where(F.col("n") <= SMALL).select("bucket"), "bucket", "left_semi")
+    small = left.where(F.col("size") <= SMALL).select("bucket", "doc_id", "label").join(crowds, "doc_id", "left")
     likely = staged(_met_in_buckets(small, info).join(likely, ["low", "high"], "left_anti").select("a", "b"), "pairs")
     new = staged(verify(likely, docs, text), "verified")
     if many:
-        placed = info.where("crowd IS NOT NULL").select("doc_id", "crowd", "n").join(left.select("doc_id", "label").distinct(), "doc_id")
+        placed = crowds.join(left.select("doc_id", "label").distinct(), "doc_id").join(info.select("doc_id", "n"), "doc_id")
         new = new.unionByName(staged(crowded(docs, placed, text), "verified"))
     return links.unionByName(new), merged_labels(classes, new)
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """The members (bucket, doc_id, label) of buckets that hold more than one class."""
-    several = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    return staged(members.join(several, "bucket", "left_semi").select("bucket", "doc_id", "label"), "buckets")
+    """The members of buckets that hold more than one class: (bucket, doc_id, label), the bucket's size and least id."""
+    per = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.min("doc_id").alias("least"))
+    return members.select("bucket", "doc_id", "label").join(per.where("low <> high").drop("low", "high"), "bucket")
 
 
 def classify(docs: DataFrame, text: str = "text") -> DataFrame:
