@@ -50,11 +50,11 @@ def read_header(data: bytes) -> tuple[list[str], int]:
     return [str(r) for r in head["roots"]], at + n
 
 
-def read_blocks(data: bytes, at: int) -> Iterator[tuple[str, bytes]]:
-    """Each block after its content id is checked; a body that ends early is an error."""
+def read_blocks(data: bytes, at: int, most: int = MAX_SIZE) -> Iterator[tuple[str, bytes]]:
+    """Each block after its content id is checked; a body that ends early or has more than ``most`` bytes is an error."""
     while at < len(data):
         n, at = read_varint(data, at)
-        if not 36 < n <= MAX_SIZE + 36:
+        if not 36 <= n <= most + 36:
             raise ValueError("bad block length")
         if at + n > len(data):
             raise ValueError("archive cut off in a block")
@@ -67,8 +67,11 @@ def read_blocks(data: bytes, at: int) -> Iterator[tuple[str, bytes]]:
         at += n
 
 
-def parse(archives: DataFrame, data: str = "content", path: str = "path") -> DataFrame:
-    """(path, root, cid, data, error): a row for each block; an error ends an archive with a row that says why."""
+def parse(archives: DataFrame, data: str = "content", path: str = "path", most: int = MAX_SIZE) -> DataFrame:
+    """(path, root, cid, data, error): a row for each block; an error ends an archive with a row that says why.
+
+    Blocks of more than ``most`` bytes are errors; archives of one's own writing may hold larger ones.
+    """
     named = archives.schema[path].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +84,7 @@ def parse(archives: DataFrame, data: str = "content", path: str = "path") -> Dat
                     roots, at = read_header(raw)
                     root = roots[0]
                     size = 0
-                    for cid, body in read_blocks(raw, at):
+                    for cid, body in read_blocks(raw, at, most):
                         rows.append((name, root, cid, body, None))
                         size += len(body)
                         if len(rows) == 4096 or size > BYTES_AT_ONCE:
@@ -107,7 +110,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def packed(rows: DataFrame, key: str = "repo") -> DataFrame:
     """(key, archive) from blocks (key, root, part, place, cid, data), written in the order of part, place and cid.
 
-    A task holds one archive's bytes at a time, not its rows; a content id is written once.
+    A task holds one archive's bytes at a time, not its rows; a content id is written once. Null is a key like others.
     """
     kind = rows.schema[key].dataType.simpleString()
 
@@ -115,17 +118,17 @@ def packed(rows: DataFrame, key: str = "repo") -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], name), pa.array([d[1] for d in done], pa.binary())], [key, "archive"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, out, seen = None, bytearray(), set()
+        begun, at, out, seen = False, None, bytearray(), set()
         for batch in batches:
             done: list[tuple] = []
             size = 0
             for name, root, cid, data in zip(*(batch.column(i) for i in (0, 1, 4, 5)), strict=True):
                 name, cid = name.as_py(), cid.as_py()
-                if name != at:
-                    if at is not None:
+                if not begun or name != at:
+                    if begun:
                         done.append((at, bytes(out)))
                         size += len(out)
-                    at, out, seen = name, bytearray(header([root.as_py()])), set()
+                    begun, at, out, seen = True, name, bytearray(header([root.as_py()])), set()
                     if size > BYTES_AT_ONCE:
                         yield made(done, batch.schema.field(0).type)
                         done, size = [], 0
@@ -134,14 +137,15 @@ def packed(rows: DataFrame, key: str = "repo") -> DataFrame:
                     out += block(cid, data.as_py())
             yield made(done, batch.schema.field(0).type)
             last = batch.schema.field(0).type
-        if at is not None:
+        if begun:
             yield made([(at, bytes(out))], last)
 
-    ordered = rows.where(F.col(key).isNotNull()).select(key, "root", "part", "place", "cid", "data").repartition(key).sortWithinPartitions(key, "part", "place", "cid")
+    ordered = rows.select(key, "root", "part", "place", "cid", "data").repartition(key).sortWithinPartitions(key, "part", "place", "cid")
     return ordered.mapInArrow(run, f"{key} {kind}, archive binary")
 
 
 def export(blocks: DataFrame, roots: DataFrame) -> DataFrame:
     """(repo, archive) from blocks (repo, cid, data) and roots (repo, root); the root's block comes first."""
-    rows = blocks.select("repo", "cid", "data").join(roots.select("repo", "root"), "repo")
+    named = roots.select(F.col("repo").alias("_repo"), "root")
+    rows = blocks.select("repo", "cid", "data").join(named, F.col("repo").eqNullSafe(F.col("_repo"))).drop("_repo")
     return packed(rows.withColumns({"part": (F.col("cid") != F.col("root")).cast("int"), "place": F.lit("")}))
