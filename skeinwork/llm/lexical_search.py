@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from skeinwork.llm.arrays import buffer_of
-from skeinwork.llm.blocks import gathered
+from skeinwork.llm.blocks import gathered, pack, unpack
 from skeinwork.llm.common import staged
 from skeinwork.llm.ranges import ranks_of
 
@@ -37,6 +37,8 @@ MOST = 10
 CHUNK_TERMS = 200_000
 #: Cursors that move in step.
 CURSORS = 1 << 15
+#: Row groups of a few shards: Spark reads a row group at once, and Parquet looks at its size after 100 rows otherwise.
+ROW_GROUPS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 _IN_TERM = np.array([48 <= b < 58 or 97 <= b < 123 or b >= 128 for b in range(256)])
@@ -68,21 +70,25 @@ def inverted(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, list[bytes],
 
 
 def index(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(shard, n_docs, n_terms, ids, sizes, terms, dfs, places, tfs): a row for each shard, written to the shared folder."""
+    """(shard, n_docs, n_terms, ids, terms, dfs, sizes, places, tfs): a row for each shard, written to the shared folder.
+
+    What is as long as the text is packed, so that the JVM passes it on without its elements.
+    """
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
-    shape = f"shard bigint, n_docs bigint, n_terms bigint, ids array<{kind.simpleString()}>, sizes array<int>, terms array<string>, dfs array<int>, places array<int>, tfs array<int>"
+    shape = f"shard bigint, n_docs bigint, n_terms bigint, ids array<{kind.simpleString()}>, terms array<string>, dfs array<int>, sizes binary, places binary, tfs binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 33, 0
         for batch, _ in gathered(batches, "_text", 1):
             ids, sizes, terms, dfs, places, tfs = inverted(batch)
             numbers = [pa.array([x], pa.int64()) for x in (base + n, int((sizes > 0).sum()), int(sizes.sum()))]
-            held = [(ids.cast(id_type), id_type), (sizes, pa.int32()), ([t.decode() for t in terms], pa.string()), *((x, pa.int32()) for x in (dfs, places, tfs))]
-            yield pa.RecordBatch.from_arrays([*numbers, *(_lists(x, [0, len(x)], k) for x, k in held)], ["shard", "n_docs", "n_terms", "ids", "sizes", "terms", "dfs", "places", "tfs"])
+            held = [(ids.cast(id_type), id_type), ([t.decode() for t in terms], pa.string()), (dfs, pa.int32())]
+            packed = [pa.array([pack(x.astype(np.int32))], pa.binary()) for x in (sizes, places, tfs)]
+            yield pa.RecordBatch.from_arrays([*numbers, *(_lists(x, [0, len(x)], k) for x, k in held), *packed], ["shard", "n_docs", "n_terms", "ids", "terms", "dfs", "sizes", "places", "tfs"])
             n += 1
 
-    return staged(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, shape), "index")
+    return staged(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, shape), "index", **ROW_GROUPS)
 
 
 def weighted(found: DataFrame, items: DataFrame, n_docs: int) -> DataFrame:
@@ -190,8 +196,8 @@ def searched(found: DataFrame, chunk: list[tuple[int, list[tuple[str, int]]]], n
             low = high
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, terms, *numbers = (batch.column(name)[k].values for name in ("ids", "terms", "sizes", "dfs", "places", "tfs"))
-                row = {"ids": ids.to_pylist(), "terms": terms.to_pylist()} | {n: x.to_numpy(zero_copy_only=False) for n, x in zip(("sizes", "dfs", "places", "tfs"), numbers, strict=True)}
+                ids, terms, dfs = (batch.column(name)[k].values for name in ("ids", "terms", "dfs"))
+                row = {"ids": ids.to_pylist(), "terms": terms.to_pylist(), "dfs": dfs.to_numpy(zero_copy_only=False)} | {name: unpack(batch.column(name)[k].as_py(), np.int32) for name in ("sizes", "places", "tfs")}
                 shard = Shard(row, number_of, n_docs, n_terms)
                 for group in groups:
                     wand(shard, *group, heaps)
@@ -200,7 +206,7 @@ def searched(found: DataFrame, chunk: list[tuple[int, list[tuple[str, int]]]], n
         yield pa.RecordBatch.from_arrays(columns, ["item", "doc_id", "score"])
 
     kind = found.schema["ids"].dataType.elementType.simpleString()
-    return found.select("ids", "terms", "sizes", "dfs", "places", "tfs").mapInArrow(run, f"item bigint, doc_id {kind}, score bigint")
+    return found.select("ids", "terms", "dfs", "sizes", "places", "tfs").mapInArrow(run, f"item bigint, doc_id {kind}, score bigint")
 
 
 def search(found: DataFrame, items: DataFrame, text: str = "text", chunk_terms: int = CHUNK_TERMS) -> DataFrame:

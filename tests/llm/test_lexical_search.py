@@ -86,3 +86,16 @@ def test_empty_tables(spark):
 def test_equals_sql(spark):
     found = lexical_search.search(lexical_search.index(table(spark, SF, "documents")), table(spark, SF, "benchmark"))
     oracle.check(found, oracle.connection(SF), lexical_search.ORACLE_SQL)
+
+
+def test_row_groups_are_bounded_by_bytes(spark, monkeypatch):
+    """Spark reads a row group at once, so a task's memory doesn't grow with the shards that a file holds."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(lexical_search, "ROW_GROUPS", lexical_search.ROW_GROUPS | {"parquet.block.size": "100000"})
+    draw = random.Random(5)
+    found = lexical_search.index(spark.createDataFrame([(k, " ".join(f"w{draw.randrange(50_000)}" for _ in range(300_000))) for k in range(15)], "doc_id long, text string").coalesce(1))
+    (file,) = found.inputFiles()
+    held = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert held.num_row_groups == held.num_rows == found.count() > 2
+    assert {f.dataType.simpleString() for f in found.schema if f.name in ("sizes", "places", "tfs")} == {"binary"}
