@@ -307,11 +307,10 @@ def a09_export_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a20_verified_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From archives to records: only of commits whose signature holds; a did's own key signed the twins that name it."""
     made = _commits(spark, sf_dir)
-    loaded, blocks = repositories.opened(made, "blocks", "seq")
+    loaded, below = repositories.read(made, "blocks", "seq")
     keyed = loaded.join(made.select(F.col("seq").alias("path"), "repo").join(_keys(made), "repo"), "path")
-    held = stored(curves.verified(keyed, ["path", "root"], "keys").where("valid"), "held")
-    found = repositories.walked(held, blocks)
-    counted = repositories.records(found, blocks).groupBy("path").agg(F.count("*").alias("n_records"), F.count("data").alias("n_read"))
+    held = curves.verified(keyed, ["path", "root"], "keys").where("valid")
+    counted = below.where("kind = 'record'").groupBy("path").agg(F.count("*").alias("n_records"), F.count("data").alias("n_read"))
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return held.select("path").join(counted, "path", "left").select(F.col("path").alias("seq"), n("n_records"), n("n_read"))
 

@@ -49,5 +49,8 @@ def test_archives_are_written_anew_in_order(spark):
 
 
 def test_blocks_do_not_cross_the_network(spark):
-    """No archive's blocks are sent to walk its tree."""
+    """Neither query sends or stores an archive's blocks to walk its tree."""
     assert "Exchange" not in commits.a09_export_complete(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    read = commits.a20_verified_records(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "data#" not in "".join(line for line in read.splitlines() if "Join" in line)
+    assert "kind#" in read
