@@ -8,6 +8,7 @@ sorted by repository and sequence, the stream keeps its state in the state store
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
@@ -31,6 +32,9 @@ from skeinwork.streaming.files import ordered_files
 _REV = re.compile(rf"\A{TID}\Z")
 #: Commits in a batch of the stream.
 ROWS_A_BATCH = 1_000_000
+#: Groups of repositories in the stream. A group costs some milliseconds a batch however few rows it has, and its state
+#: is written anew where any of its repositories has rows.
+GROUPS = 1024
 #: Commits whose archives a task holds as Python values at once.
 ROWS_AT_ONCE = 64
 OUTPUT = "seq bigint, repo string, rev string, outcome string, note string, missing bigint"
@@ -244,21 +248,24 @@ def verify_batch(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
 
 def stateful(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """The verifier on a streaming DataFrame of ``checked`` commits; state lives in the state store, by repository."""
+    """The verifier on a streaming DataFrame of ``checked`` commits; the state store has the state of each repository, by
+    groups of them."""
 
     def run(key, frames, held):
-        state = State(*held.get) if held.exists else State()
+        states = {repo: State(*rest) for repo, *rest in json.loads(held.get[0])} if held.exists else {}
         batch = pd.concat(list(frames), ignore_index=True).sort_values("seq", kind="stable")
+        rows = batch[["repo", *FIELDS]].astype(object)
         said = []
-        for values in batch[FIELDS].itertuples(index=False):
-            c = Checked(*(None if pd.isna(x) else x for x in values))
-            state, outcome, note = step(state, c, policy)
+        for repo, *values in rows.where(rows.notna(), None).itertuples(index=False, name=None):
+            c = Checked(*values)
+            states[repo], outcome, note = step(states.get(repo, State()), c, policy)
             said.append((outcome, note, int(c.missing) if outcome == "verified" else 0))
-        held.update((state.rev, state.data, state.waiting))
+        held.update((json.dumps([(repo, s.rev, s.data, s.waiting) for repo, s in states.items()]),))
         outcomes, notes, missing = zip(*said, strict=True)
-        yield pd.DataFrame({"seq": batch["seq"].to_numpy(), "repo": key[0], "rev": batch["rev"].to_numpy(), "outcome": outcomes, "note": notes, "missing": missing})
+        yield pd.DataFrame({"seq": batch["seq"].to_numpy(), "repo": batch["repo"].to_numpy(), "rev": batch["rev"].to_numpy(), "outcome": outcomes, "note": notes, "missing": missing})
 
-    return rows.groupBy("repo").applyInPandasWithState(run, OUTPUT, "rev string, data string, waiting boolean", "append", "NoTimeout")
+    grouped = rows.withColumn("_group", F.pmod(F.xxhash64("repo"), F.lit(GROUPS)))
+    return grouped.groupBy("_group").applyInPandasWithState(run, OUTPUT, "states string", "append", "NoTimeout")
 
 
 def verify_stream(checked_rows: DataFrame, rows_a_batch: int = ROWS_A_BATCH, least: int = 3, policy: Policy = Policy()) -> DataFrame:

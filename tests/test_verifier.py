@@ -4,6 +4,7 @@ from dataclasses import replace
 
 from skeinwork.operators import crawl
 from skeinwork.plans import commits
+from skeinwork.session import work_dir
 from skeinwork.streaming import verifier
 from skeinwork.streaming.verifier import Checked, Policy, State, early_outcome, is_legacy, step
 
@@ -82,3 +83,17 @@ def test_token_bucket(spark):
     rows = [(i, "a", i) for i in range(7)] + [(7, "a", minute // 5 + 7), (8, "b", 0)]
     got = {r["seq"]: r["allowed"] for r in crawl.allowed(spark.createDataFrame(rows, "seq long, repo string, us long")).collect()}
     assert got == {0: True, 1: True, 2: True, 3: True, 4: True, 5: False, 6: False, 7: True, 8: True}
+
+
+def test_stream_state_is_kept_by_groups_of_repositories(spark, monkeypatch):
+    """A batch costs as many calls and states as there are groups, however many repositories it has."""
+    paths = {}
+    monkeypatch.setattr(verifier, "GROUPS", 3)
+    monkeypatch.setattr(verifier, "work_dir", lambda session, label: paths.setdefault(label, work_dir(session, label)))
+    some = commits._checked(spark, SF)
+    rows = some.unionByName(some.limit(5).selectExpr("-seq AS seq", "CAST(NULL AS STRING) AS repo", *verifier.FIELDS)).localCheckpoint()
+    assert rows.select("repo").distinct().count() > 6
+    got = verifier.verify_stream(rows, policy=commits.POLICY).collect()
+    want = verifier.verify_batch(rows, commits.POLICY).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+    assert 0 < spark.read.format("statestore").load(paths["state"]).count() <= 3
