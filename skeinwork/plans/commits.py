@@ -308,7 +308,8 @@ def a20_verified_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From archives to records: only of commits whose signature holds; a did's own key signed the twins that name it."""
     made = _commits(spark, sf_dir)
     loaded, below = repositories.read(made, "blocks", "seq")
-    keyed = loaded.join(made.select(F.col("seq").alias("path"), "repo").join(_keys(made), "repo"), "path")
+    named = loaded.join(made.select(F.col("seq").alias("path"), "repo"), "path").join(_keys(made), "repo")
+    keyed = spread(named, "repo").sortWithinPartitions("repo")  # a key's comb serves all its signatures
     held = curves.verified(keyed, ["path", "root"], "keys").where("valid")
     counted = below.where("kind = 'record'").groupBy("path").agg(F.count("*").alias("n_records"), F.count("data").alias("n_read"))
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -54,3 +54,9 @@ def test_blocks_do_not_cross_the_network(spark):
     read = commits.a20_verified_records(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "data#" not in "".join(line for line in read.splitlines() if "Join" in line)
     assert "kind#" in read
+
+
+def test_signatures_of_a_key_lie_together(spark):
+    """A worker makes a key's comb once, however many keys there are."""
+    plan = commits.a20_verified_records(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [repo#" in plan and "RepartitionByExpression [repo#" in plan
